@@ -5,7 +5,7 @@ from marketlens.operators.events import first_event, successor_gap_parts
 from marketlens.operators.joins import report_join
 from marketlens.operators.modal import modal_row, mode_value
 from marketlens.operators.pivot import pivot_count
-from marketlens.operators.positional import row_index, zip_by_position
+from marketlens.operators.positional import number_rows, row_index, zip_by_position
 from marketlens.operators.ranking import top_k_per_group, top_n_threshold, within_top_n
 from marketlens.operators.reorder import reorder_top_k
 from marketlens.operators.shares import share_of_total, share_topn_others
@@ -13,6 +13,7 @@ from marketlens.operators.shares import share_of_total, share_topn_others
 __all__ = [
     "first_event",
     "modal_row",
+    "number_rows",
     "mode_value",
     "pivot_count",
     "reorder_top_k",

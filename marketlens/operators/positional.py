@@ -1,24 +1,29 @@
 """Positional numbering and zipping of tables.
 
 ``ROW_NUMBER() OVER ()`` over a whole table normally means one task sees
-every row. ``row_index`` numbers rows in a global order without that:
+every row. ``number_rows`` numbers rows in a global order without that:
 
-1. sort globally (range-partitioned: each task holds one contiguous slice);
+1. tag each input's rows with the input's index and its sort key, union the
+   inputs, and sort globally (range-partitioned: each task holds one
+   contiguous slice of the order);
 2. tag each row with its partition id and its monotonically increasing id
    (partition id in the high bits, position within the task in the low
-   33 bits), then checkpoint so every later read sees the same placement;
-3. count rows per partition (one row per partition), turn the counts into
-   start offsets, and add offset + position.
+   33 bits), then checkpoint, so every later read sees the same placement
+   even if an executor is lost;
+3. per (input, partition): row count and first id -- a table bounded by
+   inputs x partitions, never by the data -- turned into start offsets and
+   broadcast back: ``rn = offset + (id - first id) + 1``.
 
-Only step 3's table (bounded by the number of partitions, not by the
-data) is ever in one task, and it is the only broadcast side.
+All inputs share one sort and one checkpoint, so a zip of several tables
+computed from the same fact evaluates the fact once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.session import checkpoint_root
@@ -31,41 +36,82 @@ def _ensure_checkpoint_dir(df: DataFrame) -> None:
         sc.setCheckpointDir(checkpoint_root(spark))
 
 
-def row_index(df: DataFrame, order: Sequence[Column | str], name: str = "rn") -> DataFrame:
-    """Append ``name`` = 1-based position of each row in ``order``.
+def number_rows(
+    parts: Sequence[tuple[DataFrame, Sequence[str]]], name: str = "rn"
+) -> list[DataFrame]:
+    """Number each input 1..n in its own order (ascending, NULLs last).
 
-    ``order`` should be a total order (ties are numbered in an unspecified
-    but consistent way).
+    ``parts`` is a list of (DataFrame, key column names). Keys should form a
+    total order within each input. Returns the inputs with ``name`` added.
     """
-    _ensure_checkpoint_dir(df)
-    placed = df.orderBy(*order).select(
-        "*",
-        F.spark_partition_id().alias("_pid"),
-        F.monotonically_increasing_id().alias("_mid"),
+    if not parts:
+        return []
+    _ensure_checkpoint_dir(parts[0][0])
+    key_names = [[f"_k{i}_{j}" for j in range(len(keys))] for i, (_, keys) in enumerate(parts)]
+    key_types = [[df.schema[k].dataType for k in keys] for df, keys in parts]
+    row_types = [df.select(F.struct(*df.columns)).schema[0].dataType for df, _ in parts]
+
+    tagged = []
+    for i, (df, keys) in enumerate(parts):
+        cols = [F.lit(i).alias("_part")]
+        for j, names in enumerate(key_names):
+            for c, kname in enumerate(names):
+                val = F.col(keys[c]) if j == i else F.lit(None).cast(key_types[j][c])
+                cols.append(val.alias(kname))
+        for j in range(len(parts)):
+            row = F.struct(*df.columns) if j == i else F.lit(None).cast(row_types[j])
+            cols.append(row.alias(f"_row{j}"))
+        tagged.append(df.select(*cols))
+    unioned = reduce(DataFrame.unionByName, tagged)
+
+    order = [F.col("_part").asc()] + [
+        F.col(k).asc_nulls_last() for names in key_names for k in names
+    ]
+    placed = (
+        unioned.orderBy(*order)
+        .select(
+            "_part",
+            *[f"_row{j}" for j in range(len(parts))],
+            F.spark_partition_id().alias("_pid"),
+            F.monotonically_increasing_id().alias("_mid"),
+        )
+        .checkpoint(eager=True)
+    )
+    stats = placed.groupBy("_part", "_pid").agg(
+        F.count(F.lit(1)).alias("_size"), F.min("_mid").alias("_first")
     )
-    placed = placed.checkpoint(eager=True)
-    sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_pid", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    before = (
+        Window.partitionBy("_part").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (
-        placed.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, (F.col("_offset") + local + 1).cast("long"))
-        .drop("_pid", "_mid", "_offset")
+    offsets = stats.select(
+        "_part",
+        "_pid",
+        "_first",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
     )
+    numbered = placed.join(F.broadcast(offsets), ["_part", "_pid"]).withColumn(
+        name, (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).cast("long")
+    )
+    return [
+        numbered.filter(F.col("_part") == i).select(name, f"_row{i}.*")
+        for i in range(len(parts))
+    ]
+
+
+def row_index(df: DataFrame, keys: Sequence[str], name: str = "rn") -> DataFrame:
+    """``df`` with ``name`` = 1-based position in ``keys`` order (NULLs last)."""
+    return number_rows([(df, keys)], name)[0]
 
 
 def zip_by_position(
-    parts: Sequence[tuple[DataFrame, Sequence[Column | str]]], name: str = "rn"
+    parts: Sequence[tuple[DataFrame, Sequence[str]]], name: str = "rn"
 ) -> DataFrame:
     """Number each input in its order and inner-join them on the number.
 
     The result is as long as the shortest input. Column names other than
-    ``name`` must already be distinct across inputs.
+    ``name`` must be distinct across inputs.
     """
-    numbered = [row_index(df, order, name) for df, order in parts]
+    numbered = number_rows(parts, name)
     out = numbered[0]
     for nxt in numbered[1:]:
         out = out.join(nxt, name, "inner")

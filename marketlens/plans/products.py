@@ -152,15 +152,12 @@ def top_transaction_category(s: DataFrame, p: ReportParams, k: int = 3) -> DataF
     return top.select("purchase_year", "product_category", "count", "yearly_rank")
 
 
-def _asc(*names: str):
-    return [F.col(n).asc_nulls_last() for n in names]
-
-
 def top_summary(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
     """Line-by-line zip of the four top-k tables.
 
     Each table is numbered in (year, rank, name[, product]) order, NULLs
-    last, and the four are inner-joined on that number: the result is as
+    last (one shared sort and checkpoint for all four), and the four are
+    inner-joined on that number: the result is as
     long as the shortest table, and one line may mix different years.
     """
     cat = top_reorder_category(s, p, k)
@@ -175,7 +172,7 @@ def top_summary(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
                 F.col("total_reorder").alias("total_reorder_category"),
                 F.col("yearly_rank").alias("reorder_rank"),
             ),
-            _asc("date_year", "reorder_rank", "top_reorder_category"),
+            ["date_year", "reorder_rank", "top_reorder_category"],
         ),
         (
             prod.select(
@@ -185,7 +182,7 @@ def top_summary(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
                 "total_reorder",
                 F.col("yearly_rank").alias("reorder_product_rank"),
             ),
-            _asc("_y2", "reorder_product_rank", "top_reorder_product_category", "top_product_id"),
+            ["_y2", "reorder_product_rank", "top_reorder_product_category", "top_product_id"],
         ),
         (
             rev.select(
@@ -194,7 +191,7 @@ def top_summary(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
                 "revenue",
                 F.col("yearly_rank").alias("revenue_rank"),
             ),
-            _asc("_y3", "revenue_rank", "top_category_revenue"),
+            ["_y3", "revenue_rank", "top_category_revenue"],
         ),
         (
             trx.select(
@@ -203,7 +200,7 @@ def top_summary(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
                 F.col("count").alias("total_transaction"),
                 F.col("yearly_rank").alias("transaction_rank"),
             ),
-            _asc("_y4", "transaction_rank", "top_transaction_category"),
+            ["_y4", "transaction_rank", "top_transaction_category"],
         ),
     ]
     zipped = zip_by_position(parts, "rn")
