@@ -56,10 +56,15 @@ def share_topn_others(
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
     total = per_label.agg(F.sum("_cnt")).scalar()
-    scaled = per_label.withColumn(
-        "_pct", scaled_half_up(F.col("_cnt") * 100, total, dp)
-    )
-    keep = F.col("_pct") >= top_n_threshold(scaled, "_pct", n)
+
+    def pct(count):
+        return scaled_half_up(count * 100, total, dp)
+
+    scaled = per_label.withColumn("_pct", pct(F.col("_cnt")))
+    # Rounding is monotone, so the n-th largest rounded share is the share
+    # of the n-th largest count: the threshold needs no total, and the two
+    # scalar subqueries run independently.
+    keep = F.col("_pct") >= pct(top_n_threshold(per_label, "_cnt", n))
     bucket = F.when(keep, F.col(label_col)).otherwise(F.lit(other))
     return scaled.groupBy(bucket.alias(bucket_name)).agg(
         descale(F.sum("_pct"), dp).alias("total_percentage"),

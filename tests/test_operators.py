@@ -124,3 +124,31 @@ def test_number_rows_many_partitions(spark):
     assert rn_a == list(range(1, 2001))
     got_b = [r.v for r in nb.orderBy("rn").collect()]
     assert got_b == sorted(i * 7 % 1000 for i in range(777))
+
+
+def test_share_topn_others_matches_global_rank(spark):
+    from marketlens.operators import share_topn_others
+
+    rnd = random.Random(17)
+    for trial in range(4):
+        # many labels with close counts, so rounding creates ties at rank 5
+        counts = {f"L{i}": rnd.choice([1, 2, 3, 50, 51, 52, 400, 401]) for i in range(60)}
+        counts["others"] = 3  # a real label equal to the pooled name merges by value
+        ents = [(f"{k}-{j}", k, "s") for k, c in counts.items() for j in range(c)]
+        df = spark.createDataFrame(ents, "id string, city string, state string")
+        dp = trial % 2 + 1
+        got = {
+            r.top_5: (r.total_percentage, r.total_cities)
+            for r in share_topn_others(df, ["id", "city", "state"], "city", dp, "n").collect()
+        }
+        total = sum(counts.values())
+        scale = 10**dp
+        pct = {k: (2 * c * 100 * scale + total) // (2 * total) for k, c in counts.items()}
+        want: dict[str, list[int]] = {}
+        for k, p in pct.items():
+            rank = 1 + sum(1 for q in pct.values() if q > p)
+            label = k if rank <= 5 else "others"
+            acc = want.setdefault(label, [0, 0])
+            acc[0] += p
+            acc[1] += 1
+        assert got == {k: (v[0] / scale, v[1]) for k, v in want.items()}
