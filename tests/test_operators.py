@@ -138,7 +138,7 @@ def test_share_topn_others_matches_global_rank(spark):
         df = spark.createDataFrame(ents, "id string, city string, state string")
         dp = trial % 2 + 1
         got = {
-            r.top_5: (r.total_percentage, r.total_cities)
+            r.top_5: (r.total_percentage, r.n)
             for r in share_topn_others(df, ["id", "city", "state"], "city", dp, "n").collect()
         }
         total = sum(counts.values())
