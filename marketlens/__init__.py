@@ -16,6 +16,6 @@ Layout
 """
 
 from marketlens.params import ReportParams
-from marketlens.session import checkpoint_root, local_session
+from marketlens.session import apply_scale_conf, checkpoint_root, local_session
 
-__all__ = ["ReportParams", "checkpoint_root", "local_session"]
+__all__ = ["ReportParams", "apply_scale_conf", "checkpoint_root", "local_session"]

@@ -8,16 +8,28 @@ order-level totals repeated on every item row.
 
 Plan shape
 ----------
-All order-grain inputs -- orders (with their customer), payment totals and
-reviews -- are combined first into one ``order_side`` keyed by
-``order_id`` (full outer joins, so an input missing an order never hides
-another input's rows). The item table then meets it in a single left join
-on ``order_id``: one shuffle of the items, and a join whose two inputs are
-both shuffle stages, which is what lets adaptive execution split a hot
-order (a third of all items on one key) across many tasks. Product and
-seller attributes join last on their own keys; Spark broadcasts them only
-when their measured size is under the broadcast threshold and shuffles
-otherwise.
+Every input is shuffled once on its join key; no join leaves a hot key in
+one task (a single order, customer or review group may hold a third of all
+rows):
+
+* ``order_level``: orders (with their customer) and payment totals, one row
+  per order. Orders meet customers in a left join on ``customer_id`` whose
+  preserved side (orders) adaptive execution can split.
+* ``order_side``: ``reviews LEFT JOIN order_level`` (reviews are the
+  preserved, splittable side) plus ``order_level`` rows whose order has no
+  review (anti join against the distinct review keys, which are reduced
+  map-side before they are shuffled). Together this is the full outer join,
+  one row per (order, review).
+* the fact: ``items INNER JOIN order_side`` -- an inner join, so adaptive
+  execution may split a hot order on either side -- plus the items whose
+  order appears nowhere (anti join against the distinct order keys), with
+  NULL order attributes, plus items without an order id (a pushed-down
+  IS NULL scan, never shuffled). Together this is ``items LEFT JOIN
+  order_side``; the inner and the anti join read one shared item shuffle.
+
+Product and seller attributes join last on their own keys; Spark broadcasts
+them only when their measured size is under the broadcast threshold and
+shuffles (with skew splitting on the item side) otherwise.
 
 Only the inputs whose columns a report asks for are joined (``columns``).
 Dimension keys (order, customer, product, seller ids) are primary keys of
@@ -106,36 +118,61 @@ def _items(t: MarketTables, need: set[str]) -> DataFrame:
     return t.items.select(*[exprs[c].alias(c) for c in wanted])
 
 
-def order_side(t: MarketTables, need: set[str]) -> DataFrame:
-    """Order-grain attributes, one row per (order, review)."""
-    parts: list[DataFrame] = []
+def order_level(t: MarketTables, need: set[str]) -> DataFrame | None:
+    """One row per order: order attributes, customer attributes, payment
+    totals (only those in ``need``); None when none is needed."""
+    level: DataFrame | None = None
     if need & (ORDER_COLS | CUSTOMER_COLS):
         cols = [F.col("order_id")]
         cols += [F.col(src).alias(dst) for dst, src in _ORDER_SOURCE.items() if dst in need]
         if need & CUSTOMER_COLS:
             cols.append(F.col("customer_id"))
-        orders = t.orders.select(*cols)
+        level = t.orders.select(*cols)
         if need & CUSTOMER_COLS:
             customers = t.customers.select(
                 "customer_id", *[c for c in sorted(CUSTOMER_COLS) if c in need]
             )
-            orders = orders.join(customers, "customer_id", "left").drop("customer_id")
-        parts.append(orders)
+            level = level.join(customers, "customer_id", "left").drop("customer_id")
     if need & PAYMENT_COLS:
-        # Pre-aggregated per order before any join: no payment fan-out.
-        parts.append(
-            t.payments.groupBy("order_id").agg(
-                F.count("payment_sequential").alias("total_payment_sequential"),
-                F.sum("payment_installments").alias("total_payment_installments"),
-                F.sum("payment_value").alias("total_payment_value"),
-            )
+        # Pre-aggregated per order (combined map-side): no payment fan-out.
+        payments = t.payments.groupBy("order_id").agg(
+            F.count("payment_sequential").alias("total_payment_sequential"),
+            F.sum("payment_installments").alias("total_payment_installments"),
+            F.sum("payment_value").alias("total_payment_value"),
         )
+        # Both sides hold at most one row per order: no hot key possible.
+        level = payments if level is None else level.join(payments, "order_id", "full")
+    return level
+
+
+def order_side(t: MarketTables, need: set[str]) -> DataFrame:
+    """Order-grain attributes, one row per (order, review): the full outer
+    join of ``order_level`` and reviews, written as a left join from the
+    reviews plus the unreviewed orders."""
     review_cols = ["order_id"] + (["review_score"] if "review_score" in need else [])
-    parts.append(t.reviews.select(*review_cols))
-    side = parts[0]
-    for part in parts[1:]:
-        side = side.join(part, "order_id", "full")
-    return side
+    # A NULL order id never matches an item: such rows are dropped up
+    # front, which also gives both uses of each input one identical
+    # (reusable) shuffle.
+    reviews = t.reviews.select(*review_cols).filter(F.col("order_id").isNotNull())
+    level = order_level(t, need)
+    if level is None:
+        return reviews
+    level = level.filter(F.col("order_id").isNotNull())
+    reviewed = reviews.join(level, "order_id", "left")
+    review_keys = reviews.select("order_id").distinct()
+    unreviewed = level.join(review_keys, "order_id", "left_anti")
+    return reviewed.unionByName(unreviewed, allowMissingColumns=True)
+
+
+def order_side_keys(t: MarketTables, need: set[str]) -> DataFrame:
+    """Distinct order ids present in ``order_side``, read from the sources'
+    key columns (reduced map-side), without re-running its joins."""
+    keys = t.reviews.select("order_id")
+    if need & (ORDER_COLS | CUSTOMER_COLS):
+        keys = keys.unionByName(t.orders.select("order_id"))
+    if need & PAYMENT_COLS:
+        keys = keys.unionByName(t.payments.select("order_id"))
+    return keys.filter(F.col("order_id").isNotNull()).distinct()
 
 
 def build_summary(
@@ -148,7 +185,15 @@ def build_summary(
         raise ValueError(f"not summary columns: {sorted(unknown)}")
     need = set(cols)
 
-    fact = _items(t, need).join(order_side(t, need), "order_id", "left")
+    items = _items(t, need)
+    keyed = items.filter(F.col("order_id").isNotNull())
+    side = order_side(t, need)
+    matched = keyed.join(side, "order_id", "inner")
+    unmatched = keyed.join(order_side_keys(t, need), "order_id", "left_anti")
+    no_key = items.filter(F.col("order_id").isNull())
+    fact = matched.unionByName(unmatched, allowMissingColumns=True).unionByName(
+        no_key, allowMissingColumns=True
+    )
     if need & PRODUCT_COLS:
         products = t.products.select(
             "product_id",

@@ -16,15 +16,29 @@ from pyspark.sql import SparkSession
 # Settings the reports rely on at any scale: adaptive execution re-plans
 # joins from real shuffle sizes (size-checked broadcast, skew splitting,
 # partition coalescing); UTC keeps calendar parts stable.
+#
+# unionOutputPartitioning=false: the fact joins the items to a union (rows
+# of reviewed and unreviewed orders). If a union of hash-partitioned inputs
+# keeps their partitioning, no shuffle precedes that join and adaptive
+# execution cannot split a hot order; with a planned shuffle it can. The
+# price is one shuffle of the narrow order-level rows.
 SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 
 
+def apply_scale_conf(spark: SparkSession) -> SparkSession:
+    """Apply ``SCALE_CONF`` to an existing session (all are runtime SQL confs)."""
+    for k, v in SCALE_CONF.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def local_session(
     cores: int | str = "*",
     shuffle_partitions: int = 8,
