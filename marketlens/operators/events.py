@@ -17,7 +17,9 @@ def first_event(df: DataFrame, entity: str, date: str, name: str | None = None)
     return df.groupBy(entity).agg(F.min(date).alias(name or date))
 
 
-def successor_gap_parts(df: DataFrame, entity: str, date: str) -> DataFrame:
+def successor_gap_parts(
+    df: DataFrame, entity: str, date: str, weight: str | None = None
+) -> DataFrame:
     """Sum and count of ``|next_date - date - 1|`` over each entity's sorted dates.
 
     For every entity, sort its event dates (repeats kept) and pair each
@@ -32,12 +34,14 @@ def successor_gap_parts(df: DataFrame, entity: str, date: str) -> DataFrame:
     entity, a bound set by the calendar, not by the data volume.
     A date repeated m times yields m-1 pairs with gap 0 (tau 1 each); the
     last repeat pairs with the next distinct date (tau = gap - 1 >= 0).
-    NULL dates pair with nothing.
+    NULL dates pair with nothing. ``weight`` (default 1 per row) says how
+    many events a row stands for.
     """
+    events = F.count(F.lit(1)) if weight is None else F.sum(weight)
     per_day = (
         df.filter(F.col(date).isNotNull())
         .groupBy(entity, date)
-        .agg(F.count(F.lit(1)).alias("_m"))
+        .agg(events.alias("_m"))
     )
     nxt = F.lead(F.col(date)).over(Window.partitionBy(entity).orderBy(date))
     per_day = per_day.withColumn("_next", nxt)

@@ -18,16 +18,17 @@ def reorder_top_k(
     k: int = 3,
     rank_col: str = "yearly_rank",
     total_name: str = "total_reorder",
+    weight: str | None = None,
 ) -> DataFrame:
     """Per ``period``, the top-k ``keys`` by re-orders, ties kept.
 
-    Rows per (period, customer, keys) are counted; groups with more than one
-    row contribute ``count - 1`` re-orders to their ``keys``. Both steps are
+    Rows per (period, customer, keys) are counted (or their ``weight``
+    summed); groups with more than one row contribute ``count - 1``
+    re-orders to their ``keys``. Both steps are
     partial aggregations, and the rank is group-limited per task.
     """
-    per_customer = df.groupBy(period, customer, *keys).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    per_customer = df.groupBy(period, customer, *keys).agg(rows.alias("_n"))
     reorders = (
         per_customer.filter(F.col("_n") > 1)
         .groupBy(period, *keys)

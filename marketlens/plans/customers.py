@@ -1,7 +1,8 @@
 """Customer growth and transaction reports (purchase-date years).
 
-"Orders" and "transactions" here are fact rows (item x review), as in the
-original analysis: a customer with one two-item order is a repeat customer.
+"Orders" and "transactions" here are summary rows (item x review), as in
+the original analysis: a customer with one two-item order is a repeat
+customer. Rows are counted as the weight sum of the item-grain fact.
 Customers are counted by ``customer_unique_id``; NULL ids form one group
 where rows are grouped but are skipped where ids are counted.
 """
@@ -20,11 +21,16 @@ from marketlens.operators import (
     two_level_avg,
 )
 from marketlens.params import ReportParams
+from marketlens.plans.fact import SCORE_N, SCORE_SUM, WEIGHT
 
 GROWTH_COLS = ("purchase_date", "customer_unique_id")
 TRANSACTION_COLS = ("purchase_date", "customer_unique_id", "order_id", "review_score")
 
 
+def _rows():
+    return F.sum(WEIGHT)
+
+
 def _year(s: DataFrame) -> DataFrame:
     return s.withColumn("date_year", year_of("purchase_date"))
 
@@ -70,9 +76,7 @@ def new_customer(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
 
 def repeat_order_cust(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     """Customers with more than one fact row in the year."""
-    per = _year(s).groupBy("date_year", "customer_unique_id").agg(
-        F.count(F.lit(1)).alias("total_order")
-    )
+    per = _per_customer_year(s)
     return (
         per.filter(F.col("total_order") > 1)
         .groupBy("date_year")
@@ -82,7 +86,9 @@ def repeat_order_cust(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
 
 def avg_order(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     """Mean fact rows per customer and year, 3 decimals."""
-    return two_level_avg(_year(s), ["date_year"], ["customer_unique_id"], "avg_order", 3)
+    return two_level_avg(
+        _year(s), ["date_year"], ["customer_unique_id"], "avg_order", 3, inner_agg=_rows()
+    )
 
 
 def yearly_customer(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
@@ -118,7 +124,7 @@ def day_diff(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     Each customer's rows are taken in purchase-date order; only years with
     at least one successor appear.
     """
-    parts = successor_gap_parts(s, "customer_unique_id", "purchase_date")
+    parts = successor_gap_parts(s, "customer_unique_id", "purchase_date", WEIGHT)
     sums = (
         _year(parts)
         .groupBy("date_year")
@@ -131,7 +137,7 @@ def day_diff(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
 
 def _per_customer_year(s: DataFrame) -> DataFrame:
     return _year(s).groupBy("date_year", "customer_unique_id").agg(
-        F.count(F.lit(1)).alias("total_order")
+        _rows().alias("total_order")
     )
 
 
@@ -154,14 +160,19 @@ def mode_of_transaction(s: DataFrame, p: ReportParams | None = None) -> DataFram
 def avg_unique_items(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     """Mean fact rows per order and year (review fan-out included)."""
     return two_level_avg(
-        _year(s), ["date_year"], ["order_id"], "avg_unique_items_each_transaction", 2
+        _year(s),
+        ["date_year"],
+        ["order_id"],
+        "avg_unique_items_each_transaction",
+        2,
+        inner_agg=_rows(),
     )
 
 
 def avg_rating(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     """Mean review score per year, item-weighted; NULL scores skipped."""
     return _year(s).groupBy("date_year").agg(
-        ratio_half_up(F.sum("review_score"), F.count("review_score"), 2).alias("avg_rating")
+        ratio_half_up(F.sum(SCORE_SUM), F.sum(SCORE_N), 2).alias("avg_rating")
     )
 
 

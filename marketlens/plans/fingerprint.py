@@ -1,7 +1,8 @@
 """A compact, exact fingerprint of the whole fact.
 
 One row per (order_status, seller_state) with counts, distinct counts and
-exact sums touching every one of the 23 columns, so two engines can agree on
+exact sums touching every one of the 23 summary columns (computed on the
+item-grain weighted fact), so two engines can agree on
 the fact without shipping it. Money and weights are summed as decimals,
 dates as day numbers: no floating-point sums whose value depends on order.
 """
@@ -12,34 +13,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.params import ReportParams
+from marketlens.plans.fact import SCORE_N, SCORE_SUM, WEIGHT
 from marketlens.plans.summary import SUMMARY_COLUMNS
 
 FINGERPRINT_COLS = SUMMARY_COLUMNS
 
 
+def _w(c) -> object:
+    return (F.col(c) if isinstance(c, str) else c) * F.col(WEIGHT)
+
+
 def _days(c: str):
-    return F.sum(F.unix_date(F.col(c))).cast("long")
+    return F.sum(_w(F.unix_date(F.col(c)))).cast("long")
 
 
 def _money(c: str):
-    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    return F.sum(_w(F.col(c).cast("decimal(18,2)"))).cast("double")
 
 
 def summary_fingerprint(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
+    """Over the item-grain fact: row counts are weight sums, sums are
+    weighted sums, distinct counts are unchanged."""
     return s.groupBy("order_status", "seller_state").agg(
-        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(WEIGHT).alias("n_rows"),
         F.countDistinct("order_id").alias("n_orders"),
         F.countDistinct("product_id").alias("n_products"),
-        F.sum("order_item_id").cast("long").alias("sum_item_id"),
+        F.sum(_w("order_item_id")).cast("long").alias("sum_item_id"),
         F.countDistinct("seller_id").alias("n_sellers"),
         F.countDistinct("product_category").alias("n_categories"),
         _money("price").alias("sum_price"),
         _money("shipping_cost").alias("sum_shipping_cost"),
-        F.sum("total_cost").cast("double").alias("sum_total_cost"),
-        F.count("review_score").alias("n_scores"),
-        F.sum("review_score").cast("long").alias("sum_review_score"),
+        F.sum(_w("total_cost")).cast("double").alias("sum_total_cost"),
+        F.sum(SCORE_N).alias("n_scores"),
+        F.sum(SCORE_SUM).cast("long").alias("sum_review_score"),
         _days("purchase_date").alias("sum_purchase_day"),
-        F.count("approved_date").alias("n_approved"),
+        F.sum(F.when(F.col("approved_date").isNotNull(), F.col(WEIGHT)).otherwise(0)).alias(
+            "n_approved"
+        ),
         _days("approved_date").alias("sum_approved_day"),
         _days("est_delivery_date").alias("sum_est_delivery_day"),
         _days("shipping_limit").alias("sum_shipping_limit_day"),
@@ -48,7 +58,7 @@ def summary_fingerprint(s: DataFrame, p: ReportParams | None = None) -> DataFram
         F.countDistinct("customer_unique_id").alias("n_customers"),
         F.countDistinct("customer_city").alias("n_customer_cities"),
         F.countDistinct("customer_state").alias("n_customer_states"),
-        F.sum("total_payment_sequential").cast("long").alias("sum_payment_sequential"),
-        F.sum("total_payment_installments").cast("long").alias("sum_payment_installments"),
+        F.sum(_w("total_payment_sequential")).cast("long").alias("sum_payment_sequential"),
+        F.sum(_w("total_payment_installments")).cast("long").alias("sum_payment_installments"),
         _money("total_payment_value").alias("sum_payment_value"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import percent_half_up, year_of
 from marketlens.operators import report_join, share_topn_others, top_k_per_group
 from marketlens.params import ReportParams
+from marketlens.plans.fact import WEIGHT
 
 SIDES = {
     "customer": {
@@ -61,7 +62,7 @@ def highest_state(s: DataFrame, side: str) -> DataFrame:
     d = SIDES[side]
     counts = s.groupBy(
         year_of("purchase_date").alias("date_year"), F.col(d["state"]).alias("highest_state")
-    ).agg(F.count(F.lit(1)).alias("total_transaction_in_state"))
+    ).agg(F.sum(WEIGHT).alias("total_transaction_in_state"))
     return top_k_per_group(
         counts, ["date_year"], [F.col("total_transaction_in_state").desc()], 1
     )
@@ -69,12 +70,15 @@ def highest_state(s: DataFrame, side: str) -> DataFrame:
 
 def highest_city(s: DataFrame, side: str) -> DataFrame:
     d = SIDES[side]
-    base = s
     if d["city_grain"] == "order":
+        # distinct (order, purchase date, city): every tuple counts once
         base = s.select("order_id", "purchase_date", d["city"]).distinct()
+        rows = F.count(F.lit(1))
+    else:
+        base, rows = s, F.sum(WEIGHT)
     counts = base.groupBy(
         year_of("purchase_date").alias("date_year"), F.col(d["city"]).alias("highest_city")
-    ).agg(F.count(F.lit(1)).alias("total_transaction_in_city"))
+    ).agg(rows.alias("total_transaction_in_city"))
     return top_k_per_group(
         counts, ["date_year"], [F.col("total_transaction_in_city").desc()], 1
     )
@@ -82,10 +86,11 @@ def highest_city(s: DataFrame, side: str) -> DataFrame:
 
 def home_share(s: DataFrame, side: str, p: ReportParams) -> DataFrame:
     d = SIDES[side]
-    n = F.count(F.lit(1))
+    n = F.sum(WEIGHT)
 
     def share(col: str, value: str):
-        return percent_half_up(F.sum(F.when(F.col(col) == value, 1).otherwise(0)), n, 2)
+        hits = F.sum(F.when(F.col(col) == value, F.col(WEIGHT)).otherwise(0))
+        return percent_half_up(hits, n, 2)
 
     return s.groupBy(year_of("est_delivery_date").alias("date_year")).agg(
         n.alias("total_transaction"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import year_of
 from marketlens.operators import report_join, reorder_top_k, top_k_per_group, zip_by_position
 from marketlens.params import ReportParams
+from marketlens.plans.fact import WEIGHT
 
 REVENUE_COLS = ("order_status", "est_delivery_date", "product_category", "total_cost")
 CANCEL_COLS = ("order_status", "approved_date", "product_category")
@@ -32,6 +33,14 @@ TOP_SUMMARY_COLS = tuple(
 )
 
 
+def _rows():
+    return F.sum(WEIGHT)
+
+
+def _revenue():
+    return F.sum(F.col("total_cost") * F.col(WEIGHT))
+
+
 def _delivered(s: DataFrame, p: ReportParams) -> DataFrame:
     return s.filter(F.col("order_status") == p.delivered)
 
@@ -44,7 +53,7 @@ def _category_revenue(s: DataFrame, p: ReportParams) -> DataFrame:
     return (
         _delivered(s, p)
         .groupBy(year_of("est_delivery_date").alias("date_year"), "product_category")
-        .agg(F.sum("total_cost").alias("revenue"))
+        .agg(_revenue().alias("revenue"))
     )
 
 
@@ -53,7 +62,7 @@ def yearly_revenue(s: DataFrame, p: ReportParams) -> DataFrame:
     return (
         _delivered(s, p)
         .groupBy(year_of("est_delivery_date").alias("date_year"))
-        .agg(F.sum("total_cost").alias("revenue"))
+        .agg(_revenue().alias("revenue"))
     )
 
 
@@ -62,7 +71,7 @@ def yearly_cancel(s: DataFrame, p: ReportParams) -> DataFrame:
     return (
         _canceled(s, p)
         .groupBy(year_of("approved_date").alias("date_year"))
-        .agg(F.count(F.lit(1)).alias("total_cancel"))
+        .agg(_rows().alias("total_cancel"))
     )
 
 
@@ -79,7 +88,7 @@ def top_cancel(s: DataFrame, p: ReportParams) -> DataFrame:
     counts = (
         _canceled(s, p)
         .groupBy(year_of("approved_date").alias("date_year"), "product_category")
-        .agg(F.count(F.lit(1)).alias("total_cancel"))
+        .agg(_rows().alias("total_cancel"))
     )
     top = top_k_per_group(counts, ["date_year"], [F.col("total_cancel").desc()], 1)
     return top.select("date_year", F.col("product_category").alias("most_canceled"))
@@ -106,6 +115,7 @@ def top_reorder_product(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
         "customer_unique_id",
         ["product_category", "product_id"],
         k,
+        weight=WEIGHT,
     )
     return ranked.select(
         "date_year",
@@ -123,6 +133,7 @@ def top_reorder_category(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame
         "customer_unique_id",
         ["product_category"],
         k,
+        weight=WEIGHT,
     )
     return ranked.select(
         "date_year",
@@ -147,7 +158,7 @@ def top_category_revenue(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame
 def top_transaction_category(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
     counts = s.groupBy(
         year_of("purchase_date").alias("purchase_year"), "product_category"
-    ).agg(F.count(F.lit(1)).alias("count"))
+    ).agg(_rows().alias("count"))
     top = top_k_per_group(counts, ["purchase_year"], [F.col("count").desc()], k)
     return top.select("purchase_year", "product_category", "count", "yearly_rank")
 

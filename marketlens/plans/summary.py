@@ -164,6 +164,27 @@ def order_side(t: MarketTables, need: set[str]) -> DataFrame:
     return reviewed.unionByName(unreviewed, allowMissingColumns=True)
 
 
+def join_dimensions(t: MarketTables, fact: DataFrame, need: set[str]) -> DataFrame:
+    """Left-join product and seller attributes (only when needed)."""
+    if need & PRODUCT_COLS:
+        products = t.products.select(
+            "product_id",
+            *(
+                [F.col("product_category_name").alias("product_category")]
+                if "product_category" in need
+                else []
+            ),
+            *(["product_weight_g"] if "product_weight_g" in need else []),
+        )
+        fact = fact.join(products, "product_id", "left")
+    if need & SELLER_COLS:
+        sellers = t.sellers.select(
+            "seller_id", *[c for c in ("seller_city", "seller_state") if c in need]
+        )
+        fact = fact.join(sellers, "seller_id", "left")
+    return fact
+
+
 def order_side_keys(t: MarketTables, need: set[str]) -> DataFrame:
     """Distinct order ids present in ``order_side``, read from the sources'
     key columns (reduced map-side), without re-running its joins."""
@@ -194,20 +215,5 @@ def build_summary(
     fact = matched.unionByName(unmatched, allowMissingColumns=True).unionByName(
         no_key, allowMissingColumns=True
     )
-    if need & PRODUCT_COLS:
-        products = t.products.select(
-            "product_id",
-            *(
-                [F.col("product_category_name").alias("product_category")]
-                if "product_category" in need
-                else []
-            ),
-            *(["product_weight_g"] if "product_weight_g" in need else []),
-        )
-        fact = fact.join(products, "product_id", "left")
-    if need & SELLER_COLS:
-        sellers = t.sellers.select(
-            "seller_id", *[c for c in ("seller_city", "seller_state") if c in need]
-        )
-        fact = fact.join(sellers, "seller_id", "left")
+    fact = join_dimensions(t, fact, need)
     return fact.select(*cols)

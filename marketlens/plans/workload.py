@@ -1,9 +1,10 @@
 """What a report reads: base tables, parameters, and the fact.
 
-Reports are functions of a summary DataFrame that carries only the columns
-they need. ``Workload.fact`` builds that projection lazily from the base
-tables (joining only the needed inputs), or selects it from a fact that was
-materialised once for a whole run of reports.
+Reports are functions of the item-grain weighted fact (``plans.fact``)
+carrying only the columns they need. ``Workload.fact`` builds that
+projection lazily from the base tables (joining only the needed inputs), or
+selects it from a fact that was materialised once for a whole run of
+reports.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.params import ReportParams
-from marketlens.plans.summary import SUMMARY_COLUMNS, build_summary
+from marketlens.plans.fact import SCORE_N, SCORE_SUM, WEIGHT, build_fact
+from marketlens.plans.summary import SUMMARY_COLUMNS
 from marketlens.sources.sinks import materialize
 from marketlens.sources.tables import MarketTables
 
@@ -27,10 +29,13 @@ class Workload:
     def fact(self, *columns: str) -> DataFrame:
         cols = list(columns) if columns else list(SUMMARY_COLUMNS)
         if self.stored_fact is not None:
-            return self.stored_fact.select(*cols)
-        return build_summary(self.tables, cols)
+            out = [c for c in cols if c != "review_score"] + [WEIGHT]
+            if "review_score" in cols:
+                out += [SCORE_SUM, SCORE_N]
+            return self.stored_fact.select(*out)
+        return build_fact(self.tables, cols)
 
     def with_stored_fact(self, spark: SparkSession) -> Workload:
         """Materialise the full fact once below ``spark.checkpoint.dir``."""
-        stored = materialize(spark, build_summary(self.tables), "summary")
+        stored = materialize(spark, build_fact(self.tables), "fact")
         return replace(self, stored_fact=stored)

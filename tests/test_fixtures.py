@@ -8,6 +8,7 @@ from helpers import D, item, make_tables, order, rows
 from marketlens.operators import share_topn_others, top_k_per_group, zip_by_position
 from marketlens.params import ReportParams
 from marketlens.plans import Workload, build_summary
+from marketlens.plans.fact import build_fact
 from marketlens.plans import customers as C
 from marketlens.plans import geo, origin, payments, products
 
@@ -50,7 +51,7 @@ def _one_customer(spark, dates):
 
 def test_f3_day_diff(spark):
     t = _one_customer(spark, [D(2017, 1, 1), D(2017, 1, 1), D(2017, 1, 2), D(2017, 1, 6)])
-    s = build_summary(t, C.GROWTH_COLS)
+    s = build_fact(t, C.GROWTH_COLS)
     got = rows(C.day_diff(s))
     # taus 1, 0, 3 (the last row has no successor): mean 4/3
     assert got == [{"date_year": 2017, "day_diff": 1.33}]
@@ -81,7 +82,7 @@ def test_f7_repeat_customer_by_rows(spark):
         orders=[order("o1", "c1")],
         items=[item("o1", 1), item("o1", 2)],
     )
-    s = build_summary(t, C.GROWTH_COLS)
+    s = build_fact(t, C.GROWTH_COLS)
     assert rows(C.repeat_order_cust(s)) == [{"date_year": 2017, "repeat_order_cust": 1}]
     assert rows(C.avg_order(s)) == [{"date_year": 2017, "avg_order": 2.0}]
 
@@ -97,10 +98,11 @@ def test_f8_review_fan_out(spark):
     )
     s = build_summary(t)
     assert s.count() == 2
-    assert rows(C.avg_rating(build_summary(t, ["purchase_date", "review_score"]))) == [
+    assert build_fact(t).agg({"w": "sum"}).first()[0] == 2
+    assert rows(C.avg_rating(build_fact(t, ["purchase_date", "review_score"]))) == [
         {"date_year": 2017, "avg_rating": 3.0}
     ]
-    rev = rows(products.yearly_revenue(build_summary(t, products.REVENUE_COLS), P))
+    rev = rows(products.yearly_revenue(build_fact(t, products.REVENUE_COLS), P))
     assert float(rev[0]["revenue"]) == 22.0
 
 
@@ -120,7 +122,7 @@ def test_f10_month_without_new_customers(spark):
     os_ += [order(f"f{i}", f"c{i}", purchase=D(2017, 2, 5)) for i in range(3)]
     its = [item(o[0]) for o in os_]
     t = make_tables(spark, customers=cs, orders=os_, items=its)
-    got = {r["date_month"]: r for r in rows(C.monthly_customer(build_summary(t, C.GROWTH_COLS)))}
+    got = {r["date_month"]: r for r in rows(C.monthly_customer(build_fact(t, C.GROWTH_COLS)))}
     assert got[2]["new_customer"] == 0 and got[2]["old_customer"] == 3
     assert got[2]["total_customer"] == 3
     assert got[1]["new_customer"] == 3 and got[1]["old_customer"] == 0
@@ -133,7 +135,7 @@ def test_f11_reorder_excludes_single_purchase(spark):
     ]
     its = [item(o[0], pid="p1") for o in os_]
     t = make_tables(spark, customers=cs, orders=os_, items=its, products=[("p1", "cat", 1.0)])
-    got = rows(products.top_reorder_product(build_summary(t, products.REORDER_PRODUCT_COLS), P))
+    got = rows(products.top_reorder_product(build_fact(t, products.REORDER_PRODUCT_COLS), P))
     assert got == [
         {
             "date_year": 2017,
@@ -186,7 +188,7 @@ def test_f14_tied_winners_multiply(spark):
     os_ = [order(f"o{i}", f"c{i}") for i in range(1, 5)]
     its = [item("o1", 1), item("o1", 2), item("o2"), item("o3"), item("o4", 1), item("o4", 2)]
     t = make_tables(spark, customers=cs, orders=os_, items=its)
-    s = build_summary(t, origin.origin_cols("customer"))
+    s = build_fact(t, origin.origin_cols("customer"))
     got = rows(origin.origin(s, "customer", P))
     assert len(got) == 6
     assert {r["highest_customer_state"] for r in got} == {"s1", "s2"}
@@ -199,7 +201,7 @@ def test_f15_year_bases_of_product_summary(spark):
         order("o2", "c1", status="delivered", purchase=D(2017, 1, 1), est=D(2017, 2, 1)),
     ]
     t = make_tables(spark, orders=os_, items=[item("o1"), item("o2")], products=[("p1", "cat", 1.0)])
-    got = rows(products.product_summary(build_summary(t, products.PRODUCT_SUMMARY_COLS), P))
+    got = rows(products.product_summary(build_fact(t, products.PRODUCT_SUMMARY_COLS), P))
     assert len(got) == 1
     assert got[0]["date_year"] == 2017 and got[0]["total_cancel"] is None
 
@@ -211,7 +213,7 @@ def test_f16_seller_city_counts_orders(spark):
         items=[item("o1", n) for n in (1, 2, 3)],
         sellers=[("s1", "town", "ST")],
     )
-    s = build_summary(t, origin.origin_cols("seller"))
+    s = build_fact(t, origin.origin_cols("seller"))
     assert rows(origin.highest_city(s, "seller"))[0]["total_transaction_in_city"] == 1
     assert rows(origin.highest_state(s, "seller"))[0]["total_transaction_in_state"] == 3
 
@@ -231,7 +233,7 @@ def test_f18_city_counts_distinct_triples(spark):
         orders=[order("o1", "c1"), order("o2", "c2")],
         items=[item("o1"), item("o2")],
     )
-    s = build_summary(t, origin.share_cols("customer"))
+    s = build_fact(t, origin.share_cols("customer"))
     got = rows(origin.origin_share(s, "customer", "city", 3, "total_cities", P))
     assert got == [{"top_5": "same", "total_percentage": 100.0, "total_cities": 1}]
 
@@ -243,7 +245,7 @@ def test_f19_null_customer_not_counted_as_new(spark):
         orders=[order("o1", "c1"), order("o2", "missing")],
         items=[item("o1"), item("o2")],
     )
-    got = rows(C.new_customer(build_summary(t, C.GROWTH_COLS)))
+    got = rows(C.new_customer(build_fact(t, C.GROWTH_COLS)))
     assert got == [{"date_year": 2017, "new_customer": 1}]
 
 
@@ -253,7 +255,7 @@ def test_f20_null_approval_lands_in_no_year(spark):
         order("o2", "c1", status="delivered", est=D(2017, 3, 1)),
     ]
     t = make_tables(spark, orders=os_, items=[item("o1"), item("o2")], products=[("p1", "cat", 1.0)])
-    s = build_summary(t, products.PRODUCT_SUMMARY_COLS)
+    s = build_fact(t, products.PRODUCT_SUMMARY_COLS)
     assert rows(products.yearly_cancel(s, P)) == [{"date_year": None, "total_cancel": 1}]
     got = rows(products.product_summary(s, P))
     assert got[0]["total_cancel"] is None and got[0]["most_canceled"] is None

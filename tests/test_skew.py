@@ -56,3 +56,25 @@ def test_hot_order_join_is_split(spark):
     assert len(rows) == 300 * 40 + 60 + 1
     assert sum(1 for r in rows if r.order_id == "lost" and r.purchase_date is None) == 1
     assert "skew=true" in plan
+
+
+def test_hot_order_in_weighted_fact_is_split(spark):
+    from marketlens.plans.fact import build_fact
+
+    others = [f"o{i}" for i in range(60)]
+    t = make_tables(
+        spark,
+        customers=[("c1", "u1", "x", "s")],
+        orders=[order("hot", "c1")] + [order(o, "c1") for o in others],
+        items=[item("hot", n) for n in range(3000)] + [item(o) for o in others],
+        reviews=[("hot", 1 + n % 5) for n in range(500)] + [(o, 3) for o in others],
+    )
+    with conf(spark, SKEW_CONF):
+        df = build_fact(t, ["order_id", "purchase_date", "review_score"])
+        rows = df.collect()
+        plan = executed_plan(df)
+    # one row per item; the hot order's 500 reviews became a weight
+    assert len(rows) == 3060
+    hot = [r for r in rows if r.order_id == "hot"]
+    assert {r.w for r in hot} == {500} and {r.score_n for r in hot} == {500}
+    assert "skew=true" in plan
