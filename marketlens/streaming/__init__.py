@@ -1,0 +1,14 @@
+"""Streaming: intentionally empty.
+
+The analysed workload is a batch script over stored tables. It has no
+streams, watermarks, event-time windows, late data or stateful operators,
+so there is nothing to re-express with Structured Streaming, and no
+streaming operator is added here (only what the workload does is built).
+
+Reports are plain DataFrame functions, so a caller that lands new
+marketplace files incrementally can re-run them per batch (for example from
+``foreachBatch``) against the accumulated tables; that orchestration is the
+caller's, not part of this package.
+"""
+
+__all__: list[str] = []
