@@ -7,7 +7,7 @@ create missing and duplicated reviews, split payments, NULL approval dates
 and an excluded payment type, so that the reports' NULL and fan-out rules
 are exercised.
 
-Every derived table is a projection of one scan (plus the 25-row nation /
+Every derived table is a projection of one or two scans (plus the 25-row nation /
 5-row region lookup), so Catalyst prunes unread columns and pushes filters
 into the Parquet scans.
 """
@@ -42,19 +42,28 @@ def _case(col: Column, mapping: dict[str, str]) -> Column:
     return out
 
 
-def _places(read) -> DataFrame:
-    # TPC-H fixes nation at 25 rows and region at 5: a proven size bound,
-    # so the lookup is broadcast to every join that uses it.
-    nation = read("nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = read("region").select("r_regionkey", "r_name")
-    places = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
-    return F.broadcast(
-        places.select(
-            F.col("n_nationkey").alias("nationkey"),
+def _with_place(df: DataFrame, nationkey: str, read) -> DataFrame:
+    """Add ``place_city`` (nation name) and ``place_state`` (region name).
+
+    TPC-H fixes nation at 25 rows and region at 5: a proven size bound, so
+    both lookups are broadcast, and as two independent leaves they are
+    built concurrently.
+    """
+    nation = F.broadcast(
+        read("nation").select(
+            F.col("n_nationkey").alias("_nk"),
             F.col("n_name").alias("place_city"),
-            F.col("r_name").alias("place_state"),
+            F.col("n_regionkey").alias("_rk"),
         )
     )
+    region = F.broadcast(
+        read("region").select(F.col("r_regionkey").alias("_rk2"), F.col("r_name").alias("place_state"))
+    )
+    return (
+        df.join(nation, F.col(nationkey) == F.col("_nk"), "left")
+        .join(region, F.col("_rk") == F.col("_rk2"), "left")
+        .drop("_nk", "_rk", "_rk2")
+    )
 
 
 def from_tpch(spark: SparkSession, sf_dir: str) -> MarketTables:
@@ -63,7 +72,6 @@ def from_tpch(spark: SparkSession, sf_dir: str) -> MarketTables:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    places = _places(read)
     o = read("orders")
     k = F.col("o_orderkey")
     purchase = F.to_date(F.col("o_orderdate"))
@@ -80,7 +88,7 @@ def from_tpch(spark: SparkSession, sf_dir: str) -> MarketTables:
     )
 
     c = read("customer")
-    customers = c.join(places, c.c_nationkey == places.nationkey, "left").select(
+    customers = _with_place(c, "c_nationkey", read).select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("customer_unique_id"),
         F.col("place_city").alias("customer_city"),
@@ -88,7 +96,7 @@ def from_tpch(spark: SparkSession, sf_dir: str) -> MarketTables:
     )
 
     s = read("supplier")
-    sellers = s.join(places, s.s_nationkey == places.nationkey, "left").select(
+    sellers = _with_place(s, "s_nationkey", read).select(
         F.col("s_suppkey").alias("seller_id"),
         F.col("place_city").alias("seller_city"),
         F.col("place_state").alias("seller_state"),
@@ -137,7 +145,7 @@ def from_tpch(spark: SparkSession, sf_dir: str) -> MarketTables:
         )
     )
 
-    geolocation = c.join(places, c.c_nationkey == places.nationkey, "left").select(
+    geolocation = _with_place(c, "c_nationkey", read).select(
         F.col("c_nationkey").alias("geolocation_zip_code_prefix"),
         (F.col("c_custkey") % 3).cast("double").alias("geolocation_lat"),
         (-(F.col("c_custkey") % 3)).cast("double").alias("geolocation_lng"),
