@@ -30,14 +30,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.plans.summary import (
-    PRODUCT_COLS,
-    SELLER_COLS,
-    SUMMARY_COLUMNS,
-    _items,
-    join_dimensions,
-    order_level,
-)
+from marketlens.plans.summary import SUMMARY_COLUMNS, _items, join_dimensions, order_level
 from marketlens.sources.tables import MarketTables
 
 WEIGHT = "w"
@@ -77,9 +70,11 @@ def build_fact(t: MarketTables, columns: Iterable[str] | None = None) -> DataFra
     weight = F.greatest(F.coalesce(F.col("_reviews"), F.lit(0)), F.lit(1)).cast("long")
     out = [c for c in cols if c != "review_score"] + [weight.alias(WEIGHT)]
     if with_scores:
-        out += [F.coalesce(F.col(SCORE_SUM), F.lit(0)).alias(SCORE_SUM),
-                F.coalesce(F.col(SCORE_N), F.lit(0)).alias(SCORE_N)]
+        out += [
+            F.coalesce(F.col(SCORE_SUM), F.lit(0)).alias(SCORE_SUM),
+            F.coalesce(F.col(SCORE_N), F.lit(0)).alias(SCORE_N),
+        ]
     return fact.select(*out)
 
 
-__all__ = ["PRODUCT_COLS", "SELLER_COLS", "SCORE_N", "SCORE_SUM", "WEIGHT", "build_fact", "review_stats"]
+__all__ = ["SCORE_N", "SCORE_SUM", "WEIGHT", "build_fact", "review_stats"]
