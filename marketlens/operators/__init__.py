@@ -1,6 +1,7 @@
 """Reusable DataFrame -> DataFrame analytic operators."""
 
 from marketlens.operators.averages import two_level_avg
+from marketlens.operators.checks import duplicate_keys
 from marketlens.operators.events import first_event, successor_gap_parts
 from marketlens.operators.joins import report_join
 from marketlens.operators.modal import modal_row, mode_value
@@ -11,6 +12,7 @@ from marketlens.operators.reorder import reorder_top_k
 from marketlens.operators.shares import share_of_total, share_topn_others
 
 __all__ = [
+    "duplicate_keys",
     "first_event",
     "modal_row",
     "number_rows",

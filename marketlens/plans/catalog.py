@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from marketlens.plans import customers, fingerprint, geo, origin, payments, products
+from marketlens.plans.summary import build_summary
 from marketlens.plans.workload import Workload
 
 
@@ -67,6 +68,11 @@ def all_reports() -> dict[str, Report]:
     ps = products.PRODUCT_SUMMARY_COLS
     reports = [
         _tables("geolocation_dataset", lambda tables, p: geo.dedupe_geolocation(tables)),
+        Report(
+            "summary",
+            lambda w: fingerprint.summary_rows(build_summary(w.tables), w.params),
+            None,
+        ),
         _fact("summary_fingerprint", fingerprint.FINGERPRINT_COLS, fingerprint.summary_fingerprint),
         _fact("yearly_customer", g, customers.yearly_customer),
         _fact("yearly_customer__avg_monthly_customer", g, customers.avg_monthly_customer),

@@ -62,3 +62,17 @@ def summary_fingerprint(s: DataFrame, p: ReportParams | None = None) -> DataFram
         F.sum(_w("total_payment_installments")).cast("long").alias("sum_payment_installments"),
         _money("total_payment_value").alias("sum_payment_value"),
     )
+
+
+def summary_rows(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
+    """The row-level view itself, for cross-engine comparison: dates as ISO
+    text and the decimal cost as double (the other columns as they are)."""
+    cols = []
+    for c in SUMMARY_COLUMNS:
+        col = F.col(c)
+        if c in ("purchase_date", "approved_date", "est_delivery_date", "shipping_limit"):
+            col = F.date_format(col, "yyyy-MM-dd")
+        elif c == "total_cost":
+            col = col.cast("double")
+        cols.append(col.alias(c))
+    return s.select(*cols)

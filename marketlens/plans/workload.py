@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.params import ReportParams
 from marketlens.plans.fact import SCORE_N, SCORE_SUM, WEIGHT, build_fact
-from marketlens.plans.summary import SUMMARY_COLUMNS
+from marketlens.plans.summary import SUMMARY_COLUMNS, build_summary
 from marketlens.sources.sinks import materialize
 from marketlens.sources.tables import MarketTables
 
@@ -39,3 +39,10 @@ class Workload:
         """Materialise the full fact once below ``spark.checkpoint.dir``."""
         stored = materialize(spark, build_fact(self.tables), "fact")
         return replace(self, stored_fact=stored)
+
+    def register_views(self, prefix: str = "") -> None:
+        """CREATE VIEW: expose the base tables under their export names and
+        the row-level fact as ``summary`` to ``spark.sql`` (temp views are
+        plans, not copies)."""
+        self.tables.register_views(prefix)
+        build_summary(self.tables).createOrReplaceTempView(prefix + "summary")
