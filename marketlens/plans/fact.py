@@ -65,7 +65,16 @@ def build_fact(t: MarketTables, columns: Iterable[str] | None = None) -> DataFra
     level = order_level(t, need)
     if level is not None:
         side = level.filter(F.col("order_id").isNotNull()).join(side, "order_id", "full")
-    fact = _items(t, need).join(side, "order_id", "left")
+    items = _items(t, need)
+    # Items without an order id can never match: they are appended as they
+    # are (a pushed-down IS NULL scan, never shuffled). Joining only keyed
+    # items keeps the item shuffle identical in every branch of a report,
+    # whether or not a filter turns the join into an inner join, so Spark
+    # reuses one item shuffle across all parts of a report.
+    keyed = items.filter(F.col("order_id").isNotNull())
+    fact = keyed.join(side, "order_id", "left").unionByName(
+        items.filter(F.col("order_id").isNull()), allowMissingColumns=True
+    )
     fact = join_dimensions(t, fact, need)
     weight = F.greatest(F.coalesce(F.col("_reviews"), F.lit(0)), F.lit(1)).cast("long")
     out = [c for c in cols if c != "review_score"] + [weight.alias(WEIGHT)]
