@@ -21,7 +21,7 @@ def share_of_total(
     """
     total = df.agg(F.sum(metric)).scalar()
     return df.withColumn(
-        name, descale(scaled_half_up(F.col(metric).cast("long") * 100, total, dp), dp)
+        name, descale(scaled_half_up(F.col(metric).cast("decimal(38,0)") * 100, total, dp), dp)
     )
 
 

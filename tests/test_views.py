@@ -41,3 +41,14 @@ def test_geolocation_prefixes_are_unique(spark):
     assert duplicate_keys(geo, ["geolocation_zip_code_prefix"]).isEmpty()
     raw = from_tpch(spark, SF_DIR).geolocation
     assert not duplicate_keys(raw, ["geolocation_zip_code_prefix"]).isEmpty()
+
+
+def test_stored_fact_path_equals_lazy_path_for_every_report(spark):
+    """The production run (fact materialised once under spark.checkpoint.dir)
+    gives the same result as building each report from the base tables."""
+    lazy = Workload(from_tpch(spark, SF_DIR), ADAPTER_PARAMS)
+    stored = lazy.with_stored_fact(spark)
+    for name, report in all_reports().items():
+        a = sorted(map(tuple, report.build(lazy).collect()), key=repr)
+        b = sorted(map(tuple, report.build(stored).collect()), key=repr)
+        assert a == b, name
