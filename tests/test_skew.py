@@ -78,3 +78,40 @@ def test_hot_order_in_weighted_fact_is_split(spark):
     hot = [r for r in rows if r.order_id == "hot"]
     assert {r.w for r in hot} == {500} and {r.score_n for r in hot} == {500}
     assert "skew=true" in plan
+
+
+def test_hot_customer_is_split(spark):
+    from marketlens.plans.fact import build_fact
+
+    orders = [order(f"h{i}", "hotc") for i in range(2000)] + [order(f"o{i}", f"c{i}") for i in range(60)]
+    t = make_tables(
+        spark,
+        customers=[("hotc", "uh", "x", "s")] + [(f"c{i}", f"u{i}", "y", "s") for i in range(60)],
+        orders=orders,
+        items=[item(o[0]) for o in orders],
+    )
+    with conf(spark, SKEW_CONF):
+        df = build_fact(t, ["order_id", "customer_unique_id", "customer_city"])
+        rows = df.collect()
+        plan = executed_plan(df)
+    assert len(rows) == 2060
+    assert sum(1 for r in rows if r.customer_unique_id == "uh") == 2000
+    assert "skew=true" in plan
+
+
+def test_hot_order_in_payments_is_split(spark):
+    from marketlens.params import ReportParams
+    from marketlens.plans import payments
+
+    orders = [order("hot", "c1", est=D(2017, 5, 1))] + [order(f"o{i}", "c1", est=D(2016, 5, 1)) for i in range(60)]
+    pays = [("hot", n, "credit_card", 1, 1.0) for n in range(3000)]
+    pays += [(f"o{i}", 1, "boleto", 1, 1.0) for i in range(60)]
+    t = make_tables(spark, orders=orders, payments=pays)
+    with conf(spark, SKEW_CONF):
+        df = payments.payment_dates(t, ReportParams())
+        n = len(df.collect())
+        plan = executed_plan(df)
+        summary = {r.payment_type: r for r in payments.payment_summary(t, ReportParams()).collect()}
+    assert n == 3060
+    assert summary["credit_card"]["2017"] == 3000 and summary["boleto"]["2016"] == 60
+    assert "skew=true" in plan
