@@ -73,3 +73,18 @@ def test_write_report_modes(spark):
         write_report(first, out, mode="errorifexists")
     with pytest.raises(ValueError):
         write_report(first, out, mode="bogus")
+
+
+def test_filters_and_pruning_reach_the_parquet_scan(spark):
+    root = _export(spark, "parquet")
+    w = Workload(read_marketplace(spark, root, fmt="parquet"), ADAPTER_PARAMS)
+    df = all_reports()["top_category_revenue"].build(w)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    orders_scan = [l for l in plan.splitlines() if "FileScan parquet" in l and "orders_dataset" in l]
+    assert orders_scan and all("EqualTo(order_status,delivered)" in l for l in orders_scan)
+    items_scan = [l for l in plan.splitlines() if "FileScan parquet" in l and "order_items_dataset" in l]
+    assert items_scan
+    for line in items_scan:
+        schema = line.split("ReadSchema: ")[1]
+        assert "shipping_limit_date" not in schema and "seller_id" not in schema
