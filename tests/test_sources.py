@@ -88,3 +88,23 @@ def test_filters_and_pruning_reach_the_parquet_scan(spark):
     for line in items_scan:
         schema = line.split("ReadSchema: ")[1]
         assert "shipping_limit_date" not in schema and "seller_id" not in schema
+
+
+def test_cli_runs_the_workload_on_an_export(spark):
+    from marketlens.cli import main
+
+    root = _export(spark, "parquet")
+    out = tempfile.mkdtemp(prefix="marketlens-cli-")
+    written = main(
+        [
+            "--input", root, "--output", out,
+            "--reports", "yearly_customer,payment_summary",
+            "--home-state", "ASIA", "--home-city", "NATION_1", "--payment-years", "1996,1997,1998",
+        ],
+        spark=spark,
+    )
+    assert set(written) == {"yearly_customer", "payment_summary"}
+    got = spark.read.parquet(written["payment_summary"])
+    assert got.columns == ["payment_type", "total_transaction", "1996", "1997", "1998"]
+    direct = all_reports()["payment_summary"].build(Workload(from_tpch(spark, SF_DIR), ADAPTER_PARAMS))
+    assert _rows(got) == _rows(direct)
