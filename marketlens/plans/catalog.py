@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from marketlens.plans import customers, fingerprint, geo, origin, payments, products
+from marketlens.plans.dimensions import Dimensions
 from marketlens.plans.summary import build_summary
 from marketlens.plans.workload import Workload
 
@@ -29,6 +30,13 @@ def _fact(name: str, cols: tuple[str, ...], fn) -> Report:
     return Report(name, lambda w: fn(w.fact(*cols), w.params), tuple(cols))
 
 
+def _fact_dims(name: str, cols: tuple[str, ...], fn) -> Report:
+    """A report that attaches product / seller attributes after aggregating."""
+    return Report(
+        name, lambda w: fn(w.fact(*cols), w.params, Dimensions.of(w.tables)), tuple(cols)
+    )
+
+
 def _tables(name: str, fn) -> Report:
     return Report(name, lambda w: fn(w.tables, w.params), None)
 
@@ -43,15 +51,25 @@ def _origin_reports(side: str, table: str) -> list[Report]:
         city = ("city", 2, "total_cities")
         state = ("state", 2, "total_state")
     return [
-        _fact(table, cols, lambda s, p: origin.origin(s, side, p)),
-        _fact(f"{table}__total_city_state", cols, lambda s, p: origin.total_city_state(s, side)),
-        _fact(f"{table}__highest_state", cols, lambda s, p: origin.highest_state(s, side)),
-        _fact(f"{table}__highest_city", cols, lambda s, p: origin.highest_city(s, side)),
-        _fact(
-            f"{table}__percentage_state_city", cols, lambda s, p: origin.home_share(s, side, p)
+        _fact_dims(table, cols, lambda s, p, d: origin.origin(s, side, p, d)),
+        _fact_dims(
+            f"{table}__total_city_state", cols, lambda s, p, d: origin.total_city_state(s, side, d)
+        ),
+        _fact_dims(
+            f"{table}__highest_state", cols, lambda s, p, d: origin.highest_state(s, side, d)
+        ),
+        _fact_dims(f"{table}__highest_city", cols, lambda s, p, d: origin.highest_city(s, side, d)),
+        _fact_dims(
+            f"{table}__percentage_state_city",
+            cols,
+            lambda s, p, d: origin.home_share(s, side, p, d),
+        ),
+        _fact_dims(
+            f"{table}_city", share, lambda s, p, d: origin.origin_share(s, side, *city, p, d)
+        ),
+        _fact_dims(
+            f"{table}_state", share, lambda s, p, d: origin.origin_share(s, side, *state, p, d)
         ),
-        _fact(f"{table}_city", share, lambda s, p: origin.origin_share(s, side, *city, p)),
-        _fact(f"{table}_state", share, lambda s, p: origin.origin_share(s, side, *state, p)),
     ]
 
 
@@ -87,16 +105,22 @@ def all_reports() -> dict[str, Report]:
         _fact("yearly_transaction__avg_rating", ("purchase_date", "review_score"), customers.avg_rating),
         _fact("mode_of_transaction", g, customers.mode_of_transaction),
         *_origin_reports("customer", "origin_customer"),
-        _fact("product_summary", ps, products.product_summary),
+        _fact_dims("product_summary", ps, products.product_summary),
         _fact("product_summary__yearly_revenue", products.REVENUE_COLS, _revenue_double(products.yearly_revenue)),
         _fact("product_summary__yearly_cancel", products.CANCEL_COLS, products.yearly_cancel),
-        _fact("product_summary__top_product", products.REVENUE_COLS, products.top_product),
-        _fact("product_summary__top_cancel", products.CANCEL_COLS, products.top_cancel),
-        _fact("top_reorder_product", products.REORDER_PRODUCT_COLS, products.top_reorder_product),
-        _fact("top_reorder_category", products.REORDER_CATEGORY_COLS, products.top_reorder_category),
-        _fact("top_category_revenue", products.REVENUE_COLS, products.top_category_revenue),
-        _fact("top_transaction_category", products.TRANSACTION_COLS, products.top_transaction_category),
-        _fact("top_summary", products.TOP_SUMMARY_COLS, products.top_summary),
+        _fact_dims("product_summary__top_product", products.REVENUE_COLS, products.top_product),
+        _fact_dims("product_summary__top_cancel", products.CANCEL_COLS, products.top_cancel),
+        _fact_dims(
+            "top_reorder_product", products.REORDER_PRODUCT_COLS, products.top_reorder_product
+        ),
+        _fact_dims(
+            "top_reorder_category", products.REORDER_CATEGORY_COLS, products.top_reorder_category
+        ),
+        _fact_dims("top_category_revenue", products.REVENUE_COLS, products.top_category_revenue),
+        _fact_dims(
+            "top_transaction_category", products.TRANSACTION_COLS, products.top_transaction_category
+        ),
+        _fact_dims("top_summary", products.TOP_SUMMARY_COLS, products.top_summary),
         *_origin_reports("seller", "origin_seller"),
         _tables("payment_summary", payments.payment_summary),
         _tables("payment_percentage", payments.payment_percentage),

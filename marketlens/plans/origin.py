@@ -4,16 +4,23 @@
 distinct-place totals and home-place shares by estimated-delivery year,
 top places by purchase year. The base table (delivery years) decides which
 years appear; tied top places multiply rows.
+
+Customer places come with the order (joined at order grain). Seller places
+are attached after aggregating by ``seller_id`` (``Dimensions``), so the
+item rows are never shuffled on the seller key: every seller report first
+reduces the fact to one row per (year, seller) -- or per distinct
+(order, date, seller) for the top city -- and looks up the place of those.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import percent_half_up, year_of
 from marketlens.operators import report_join, share_topn_others, top_k_per_group
 from marketlens.params import ReportParams
+from marketlens.plans.dimensions import Dimensions
 from marketlens.plans.fact import WEIGHT
 
 SIDES = {
@@ -37,9 +44,15 @@ SIDES = {
 }
 
 
+def _deferred(side: str) -> bool:
+    """Seller places are looked up after aggregating by seller id."""
+    return side == "seller"
+
+
 def origin_cols(side: str) -> tuple[str, ...]:
     d = SIDES[side]
-    cols = ["purchase_date", "est_delivery_date", d["city"], d["state"]]
+    places = ["seller_id"] if _deferred(side) else [d["city"], d["state"]]
+    cols = ["purchase_date", "est_delivery_date", *places]
     if d["city_grain"] == "order":
         cols.append("order_id")
     return tuple(cols)
@@ -47,66 +60,87 @@ def origin_cols(side: str) -> tuple[str, ...]:
 
 def share_cols(side: str) -> tuple[str, ...]:
     d = SIDES[side]
-    return (d["id"], d["city"], d["state"])
+    return ("seller_id",) if _deferred(side) else (d["id"], d["city"], d["state"])
+
+
+def place_rows(s: DataFrame, side: str, year: Column, dims: Dimensions | None) -> DataFrame:
+    """Summary rows (``n`` = weight sum) per (``date_year``, city, state)."""
+    d = SIDES[side]
+    keyed = s.withColumn("date_year", year)
+    if not _deferred(side):
+        return keyed.groupBy("date_year", d["city"], d["state"]).agg(F.sum(WEIGHT).alias("n"))
+    per_seller = keyed.groupBy("date_year", "seller_id").agg(F.sum(WEIGHT).alias("n"))
+    attached = dims.attach(per_seller, "seller_id", [d["city"], d["state"]])
+    return attached.groupBy("date_year", d["city"], d["state"]).agg(F.sum("n").alias("n"))
 
 
-def total_city_state(s: DataFrame, side: str) -> DataFrame:
+def total_city_state(s: DataFrame, side: str, dims: Dimensions | None = None) -> DataFrame:
     d = SIDES[side]
-    return s.groupBy(year_of("est_delivery_date").alias("date_year")).agg(
+    rows = place_rows(s, side, year_of("est_delivery_date"), dims)
+    return rows.groupBy("date_year").agg(
         F.countDistinct(d["city"]).alias("total_city"),
         F.countDistinct(d["state"]).alias("total_state"),
     )
 
 
-def highest_state(s: DataFrame, side: str) -> DataFrame:
+def highest_state(s: DataFrame, side: str, dims: Dimensions | None = None) -> DataFrame:
     d = SIDES[side]
-    counts = s.groupBy(
-        year_of("purchase_date").alias("date_year"), F.col(d["state"]).alias("highest_state")
-    ).agg(F.sum(WEIGHT).alias("total_transaction_in_state"))
+    rows = place_rows(s, side, year_of("purchase_date"), dims)
+    counts = rows.groupBy("date_year", F.col(d["state"]).alias("highest_state")).agg(
+        F.sum("n").alias("total_transaction_in_state")
+    )
     return top_k_per_group(
         counts, ["date_year"], [F.col("total_transaction_in_state").desc()], 1
     )
 
 
-def highest_city(s: DataFrame, side: str) -> DataFrame:
+def highest_city(s: DataFrame, side: str, dims: Dimensions | None = None) -> DataFrame:
     d = SIDES[side]
     if d["city_grain"] == "order":
         # distinct (order, purchase date, city): every tuple counts once
-        base = s.select("order_id", "purchase_date", d["city"]).distinct()
-        rows = F.count(F.lit(1))
+        tuples = s.select("order_id", "purchase_date", "seller_id").distinct()
+        if _deferred(side):
+            tuples = dims.attach(tuples, "seller_id", [d["city"]])
+        tuples = tuples.select("order_id", "purchase_date", d["city"]).distinct()
+        counts = tuples.groupBy(
+            year_of("purchase_date").alias("date_year"), F.col(d["city"]).alias("highest_city")
+        ).agg(F.count(F.lit(1)).alias("total_transaction_in_city"))
     else:
-        base, rows = s, F.sum(WEIGHT)
-    counts = base.groupBy(
-        year_of("purchase_date").alias("date_year"), F.col(d["city"]).alias("highest_city")
-    ).agg(rows.alias("total_transaction_in_city"))
+        rows = place_rows(s, side, year_of("purchase_date"), dims)
+        counts = rows.groupBy("date_year", F.col(d["city"]).alias("highest_city")).agg(
+            F.sum("n").alias("total_transaction_in_city")
+        )
     return top_k_per_group(
         counts, ["date_year"], [F.col("total_transaction_in_city").desc()], 1
     )
 
 
-def home_share(s: DataFrame, side: str, p: ReportParams) -> DataFrame:
+def home_share(
+    s: DataFrame, side: str, p: ReportParams, dims: Dimensions | None = None
+) -> DataFrame:
     d = SIDES[side]
-    n = F.sum(WEIGHT)
+    rows = place_rows(s, side, year_of("est_delivery_date"), dims)
+    n = F.sum("n")
 
     def share(col: str, value: str):
-        hits = F.sum(F.when(F.col(col) == value, F.col(WEIGHT)).otherwise(0))
+        hits = F.sum(F.when(F.col(col) == value, F.col("n")).otherwise(0))
         return percent_half_up(hits, n, 2)
 
-    return s.groupBy(year_of("est_delivery_date").alias("date_year")).agg(
+    return rows.groupBy("date_year").agg(
         n.alias("total_transaction"),
         share(d["state"], p.home_state).alias("state_percentage_from_total"),
         share(d["city"], p.home_city).alias("city_percentage_from_total"),
     )
 
 
-def origin(s: DataFrame, side: str, p: ReportParams) -> DataFrame:
+def origin(s: DataFrame, side: str, p: ReportParams, dims: Dimensions | None = None) -> DataFrame:
     d = SIDES[side]
     joined = report_join(
-        total_city_state(s, side),
+        total_city_state(s, side, dims),
         [
-            highest_state(s, side).drop("yearly_rank"),
-            highest_city(s, side).drop("yearly_rank"),
-            home_share(s, side, p).drop("total_transaction"),
+            highest_state(s, side, dims).drop("yearly_rank"),
+            highest_city(s, side, dims).drop("yearly_rank"),
+            home_share(s, side, p, dims).drop("total_transaction"),
         ],
     )
     return joined.select(
@@ -123,12 +157,22 @@ def origin(s: DataFrame, side: str, p: ReportParams) -> DataFrame:
 
 
 def origin_share(
-    s: DataFrame, side: str, level: str, dp: int, count_name: str, p: ReportParams
+    s: DataFrame,
+    side: str,
+    level: str,
+    dp: int,
+    count_name: str,
+    p: ReportParams,
+    dims: Dimensions | None = None,
 ) -> DataFrame:
     """Top-n places by share of distinct (id, city, state), rest as others."""
     d = SIDES[side]
+    entities = s
+    if _deferred(side):
+        ids = s.select("seller_id").distinct()
+        entities = dims.attach(ids, "seller_id", [d["city"], d["state"]])
     return share_topn_others(
-        s,
+        entities,
         [d["id"], d["city"], d["state"]],
         d[level],
         dp,

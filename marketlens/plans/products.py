@@ -4,6 +4,10 @@ Years come from three different dates, as in the original analysis:
 revenue and re-orders by estimated delivery year, cancellations by approval
 year, transaction counts by purchase year. Ranks are RANK (ties kept) and a
 NULL revenue ranks first.
+
+Categories are attached after aggregating by product (``Dimensions``): the
+fact is aggregated per (year, product) map-side and only those rows meet
+the product table, so the item rows are never shuffled on ``product_id``.
 """
 
 from __future__ import annotations
@@ -14,20 +18,15 @@ from pyspark.sql import functions as F
 from marketlens.functions import year_of
 from marketlens.operators import report_join, reorder_top_k, top_k_per_group, zip_by_position
 from marketlens.params import ReportParams
+from marketlens.plans.dimensions import Dimensions
 from marketlens.plans.fact import WEIGHT
 
-REVENUE_COLS = ("order_status", "est_delivery_date", "product_category", "total_cost")
-CANCEL_COLS = ("order_status", "approved_date", "product_category")
+REVENUE_COLS = ("order_status", "est_delivery_date", "product_id", "total_cost")
+CANCEL_COLS = ("order_status", "approved_date", "product_id")
 PRODUCT_SUMMARY_COLS = tuple(dict.fromkeys(REVENUE_COLS + CANCEL_COLS))
-REORDER_PRODUCT_COLS = (
-    "order_status",
-    "est_delivery_date",
-    "customer_unique_id",
-    "product_category",
-    "product_id",
-)
-REORDER_CATEGORY_COLS = REORDER_PRODUCT_COLS[:-1]
-TRANSACTION_COLS = ("purchase_date", "product_category")
+REORDER_PRODUCT_COLS = ("order_status", "est_delivery_date", "customer_unique_id", "product_id")
+REORDER_CATEGORY_COLS = REORDER_PRODUCT_COLS
+TRANSACTION_COLS = ("purchase_date", "product_id")
 TOP_SUMMARY_COLS = tuple(
     dict.fromkeys(REORDER_PRODUCT_COLS + REVENUE_COLS + TRANSACTION_COLS)
 )
@@ -49,15 +48,25 @@ def _canceled(s: DataFrame, p: ReportParams) -> DataFrame:
     return s.filter(F.col("order_status") == p.canceled)
 
 
-def _category_revenue(s: DataFrame, p: ReportParams) -> DataFrame:
+def _by_category(per_product: DataFrame, d: Dimensions, keys: list[str], measure: str) -> DataFrame:
+    """Attach categories to per-product aggregates and re-aggregate."""
     return (
+        d.attach(per_product, "product_id", ["product_category"])
+        .groupBy(*keys, "product_category")
+        .agg(F.sum(measure).alias(measure))
+    )
+
+
+def _category_revenue(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
+    per_product = (
         _delivered(s, p)
-        .groupBy(year_of("est_delivery_date").alias("date_year"), "product_category")
+        .groupBy(year_of("est_delivery_date").alias("date_year"), "product_id")
         .agg(_revenue().alias("revenue"))
     )
+    return _by_category(per_product, d, ["date_year"], "revenue")
 
 
-def yearly_revenue(s: DataFrame, p: ReportParams) -> DataFrame:
+def yearly_revenue(s: DataFrame, p: ReportParams, d: Dimensions | None = None) -> DataFrame:
     """Delivered revenue per estimated-delivery year (exact decimal sum)."""
     return (
         _delivered(s, p)
@@ -66,7 +75,7 @@ def yearly_revenue(s: DataFrame, p: ReportParams) -> DataFrame:
     )
 
 
-def yearly_cancel(s: DataFrame, p: ReportParams) -> DataFrame:
+def yearly_cancel(s: DataFrame, p: ReportParams, d: Dimensions | None = None) -> DataFrame:
     """Cancelled fact rows per approval year (NULL approval is a NULL year)."""
     return (
         _canceled(s, p)
@@ -75,29 +84,30 @@ def yearly_cancel(s: DataFrame, p: ReportParams) -> DataFrame:
     )
 
 
-def top_product(s: DataFrame, p: ReportParams) -> DataFrame:
+def top_product(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
     """Category with the highest delivered revenue per year (all ties)."""
     top = top_k_per_group(
-        _category_revenue(s, p), ["date_year"], [F.col("revenue").desc_nulls_first()], 1
+        _category_revenue(s, p, d), ["date_year"], [F.col("revenue").desc_nulls_first()], 1
     )
     return top.select("date_year", F.col("product_category").alias("top_product"))
 
 
-def top_cancel(s: DataFrame, p: ReportParams) -> DataFrame:
+def top_cancel(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
     """Category with the most cancelled rows per approval year (all ties)."""
-    counts = (
+    per_product = (
         _canceled(s, p)
-        .groupBy(year_of("approved_date").alias("date_year"), "product_category")
+        .groupBy(year_of("approved_date").alias("date_year"), "product_id")
         .agg(_rows().alias("total_cancel"))
     )
+    counts = _by_category(per_product, d, ["date_year"], "total_cancel")
     top = top_k_per_group(counts, ["date_year"], [F.col("total_cancel").desc()], 1)
     return top.select("date_year", F.col("product_category").alias("most_canceled"))
 
 
-def product_summary(s: DataFrame, p: ReportParams) -> DataFrame:
+def product_summary(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
     """Revenue, cancellations and top categories; years with revenue only."""
     joined = report_join(
-        yearly_revenue(s, p), [yearly_cancel(s, p), top_product(s, p), top_cancel(s, p)]
+        yearly_revenue(s, p), [yearly_cancel(s, p), top_product(s, p, d), top_cancel(s, p, d)]
     )
     return joined.select(
         "date_year",
@@ -108,16 +118,30 @@ def product_summary(s: DataFrame, p: ReportParams) -> DataFrame:
     )
 
 
-def top_reorder_product(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
+def _per_customer_product(s: DataFrame, p: ReportParams) -> DataFrame:
+    """Delivered summary rows per (year, customer, product)."""
+    return (
+        _delivered(s, p)
+        .groupBy(
+            year_of("est_delivery_date").alias("date_year"), "customer_unique_id", "product_id"
+        )
+        .agg(_rows().alias("_n"))
+    )
+
+
+def top_reorder_product(s: DataFrame, p: ReportParams, d: Dimensions, k: int = 3) -> DataFrame:
+    # A product has one category, so ranking (year, product) and attaching
+    # the category to the ranked rows equals grouping by (year, category,
+    # product); only the top rows meet the product table.
     ranked = reorder_top_k(
-        _delivered(s, p).withColumn("date_year", year_of("est_delivery_date")),
+        _per_customer_product(s, p),
         "date_year",
         "customer_unique_id",
-        ["product_category", "product_id"],
+        ["product_id"],
         k,
-        weight=WEIGHT,
+        weight="_n",
     )
-    return ranked.select(
+    return d.attach(ranked, "product_id", ["product_category"]).select(
         "date_year",
         "product_category",
         F.col("product_id").alias("top_product_id"),
@@ -126,14 +150,10 @@ def top_reorder_product(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
     )
 
 
-def top_reorder_category(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
+def top_reorder_category(s: DataFrame, p: ReportParams, d: Dimensions, k: int = 3) -> DataFrame:
+    per_customer = d.attach(_per_customer_product(s, p), "product_id", ["product_category"])
     ranked = reorder_top_k(
-        _delivered(s, p).withColumn("date_year", year_of("est_delivery_date")),
-        "date_year",
-        "customer_unique_id",
-        ["product_category"],
-        k,
-        weight=WEIGHT,
+        per_customer, "date_year", "customer_unique_id", ["product_category"], k, weight="_n"
     )
     return ranked.select(
         "date_year",
@@ -143,9 +163,9 @@ def top_reorder_category(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame
     )
 
 
-def top_category_revenue(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
+def top_category_revenue(s: DataFrame, p: ReportParams, d: Dimensions, k: int = 3) -> DataFrame:
     top = top_k_per_group(
-        _category_revenue(s, p), ["date_year"], [F.col("revenue").desc_nulls_first()], k
+        _category_revenue(s, p, d), ["date_year"], [F.col("revenue").desc_nulls_first()], k
     )
     return top.select(
         "date_year",
@@ -155,15 +175,18 @@ def top_category_revenue(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame
     )
 
 
-def top_transaction_category(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
-    counts = s.groupBy(
-        year_of("purchase_date").alias("purchase_year"), "product_category"
+def top_transaction_category(
+    s: DataFrame, p: ReportParams, d: Dimensions, k: int = 3
+) -> DataFrame:
+    per_product = s.groupBy(
+        year_of("purchase_date").alias("purchase_year"), "product_id"
     ).agg(_rows().alias("count"))
+    counts = _by_category(per_product, d, ["purchase_year"], "count")
     top = top_k_per_group(counts, ["purchase_year"], [F.col("count").desc()], k)
     return top.select("purchase_year", "product_category", "count", "yearly_rank")
 
 
-def top_summary(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
+def top_summary(s: DataFrame, p: ReportParams, d: Dimensions, k: int = 3) -> DataFrame:
     """Line-by-line zip of the four top-k tables.
 
     Each table is numbered in (year, rank, name[, product]) order, NULLs
@@ -171,10 +194,10 @@ def top_summary(s: DataFrame, p: ReportParams, k: int = 3) -> DataFrame:
     inner-joined on that number: the result is as
     long as the shortest table, and one line may mix different years.
     """
-    cat = top_reorder_category(s, p, k)
-    prod = top_reorder_product(s, p, k)
-    rev = top_category_revenue(s, p, k)
-    trx = top_transaction_category(s, p, k)
+    cat = top_reorder_category(s, p, d, k)
+    prod = top_reorder_product(s, p, d, k)
+    rev = top_category_revenue(s, p, d, k)
+    trx = top_transaction_category(s, p, d, k)
     parts = [
         (
             cat.select(

@@ -8,6 +8,7 @@ from helpers import D, item, make_tables, order, rows
 from marketlens.operators import share_topn_others, top_k_per_group, zip_by_position
 from marketlens.params import ReportParams
 from marketlens.plans import Workload, build_summary
+from marketlens.plans.dimensions import Dimensions
 from marketlens.plans.fact import build_fact
 from marketlens.plans import customers as C
 from marketlens.plans import geo, origin, payments, products
@@ -135,7 +136,11 @@ def test_f11_reorder_excludes_single_purchase(spark):
     ]
     its = [item(o[0], pid="p1") for o in os_]
     t = make_tables(spark, customers=cs, orders=os_, items=its, products=[("p1", "cat", 1.0)])
-    got = rows(products.top_reorder_product(build_fact(t, products.REORDER_PRODUCT_COLS), P))
+    got = rows(
+        products.top_reorder_product(
+            build_fact(t, products.REORDER_PRODUCT_COLS), P, Dimensions.of(t)
+        )
+    )
     assert got == [
         {
             "date_year": 2017,
@@ -201,7 +206,9 @@ def test_f15_year_bases_of_product_summary(spark):
         order("o2", "c1", status="delivered", purchase=D(2017, 1, 1), est=D(2017, 2, 1)),
     ]
     t = make_tables(spark, orders=os_, items=[item("o1"), item("o2")], products=[("p1", "cat", 1.0)])
-    got = rows(products.product_summary(build_fact(t, products.PRODUCT_SUMMARY_COLS), P))
+    got = rows(
+        products.product_summary(build_fact(t, products.PRODUCT_SUMMARY_COLS), P, Dimensions.of(t))
+    )
     assert len(got) == 1
     assert got[0]["date_year"] == 2017 and got[0]["total_cancel"] is None
 
@@ -214,8 +221,9 @@ def test_f16_seller_city_counts_orders(spark):
         sellers=[("s1", "town", "ST")],
     )
     s = build_fact(t, origin.origin_cols("seller"))
-    assert rows(origin.highest_city(s, "seller"))[0]["total_transaction_in_city"] == 1
-    assert rows(origin.highest_state(s, "seller"))[0]["total_transaction_in_state"] == 3
+    d = Dimensions.of(t)
+    assert rows(origin.highest_city(s, "seller", d))[0]["total_transaction_in_city"] == 1
+    assert rows(origin.highest_state(s, "seller", d))[0]["total_transaction_in_state"] == 3
 
 
 def test_f17_payment_percentage(spark):
@@ -257,7 +265,7 @@ def test_f20_null_approval_lands_in_no_year(spark):
     t = make_tables(spark, orders=os_, items=[item("o1"), item("o2")], products=[("p1", "cat", 1.0)])
     s = build_fact(t, products.PRODUCT_SUMMARY_COLS)
     assert rows(products.yearly_cancel(s, P)) == [{"date_year": None, "total_cancel": 1}]
-    got = rows(products.product_summary(s, P))
+    got = rows(products.product_summary(s, P, Dimensions.of(t)))
     assert got[0]["total_cancel"] is None and got[0]["most_canceled"] is None
 
 
