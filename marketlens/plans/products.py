@@ -57,30 +57,45 @@ def _by_category(per_product: DataFrame, d: Dimensions, keys: list[str], measure
     )
 
 
-def _category_revenue(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
-    per_product = (
+def _revenue_by_product(s: DataFrame, p: ReportParams) -> DataFrame:
+    """Delivered revenue per (estimated-delivery year, product)."""
+    return (
         _delivered(s, p)
         .groupBy(year_of("est_delivery_date").alias("date_year"), "product_id")
         .agg(_revenue().alias("revenue"))
     )
-    return _by_category(per_product, d, ["date_year"], "revenue")
+
+
+def _cancels_by_product(s: DataFrame, p: ReportParams) -> DataFrame:
+    """Cancelled summary rows per (approval year, product)."""
+    return (
+        _canceled(s, p)
+        .groupBy(year_of("approved_date").alias("date_year"), "product_id")
+        .agg(_rows().alias("total_cancel"))
+    )
+
+
+def _category_revenue(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
+    return _by_category(_revenue_by_product(s, p), d, ["date_year"], "revenue")
 
 
 def yearly_revenue(s: DataFrame, p: ReportParams, d: Dimensions | None = None) -> DataFrame:
-    """Delivered revenue per estimated-delivery year (exact decimal sum)."""
+    """Delivered revenue per estimated-delivery year (exact decimal sum).
+
+    Summed from the per-product revenue that the top-category part also
+    reads, so within ``product_summary`` both share one computation.
+    """
     return (
-        _delivered(s, p)
-        .groupBy(year_of("est_delivery_date").alias("date_year"))
-        .agg(_revenue().alias("revenue"))
+        _revenue_by_product(s, p).groupBy("date_year").agg(F.sum("revenue").alias("revenue"))
     )
 
 
 def yearly_cancel(s: DataFrame, p: ReportParams, d: Dimensions | None = None) -> DataFrame:
-    """Cancelled fact rows per approval year (NULL approval is a NULL year)."""
+    """Cancelled summary rows per approval year (NULL approval is a NULL year)."""
     return (
-        _canceled(s, p)
-        .groupBy(year_of("approved_date").alias("date_year"))
-        .agg(_rows().alias("total_cancel"))
+        _cancels_by_product(s, p)
+        .groupBy("date_year")
+        .agg(F.sum("total_cancel").alias("total_cancel"))
     )
 
 
@@ -94,12 +109,7 @@ def top_product(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
 
 def top_cancel(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
     """Category with the most cancelled rows per approval year (all ties)."""
-    per_product = (
-        _canceled(s, p)
-        .groupBy(year_of("approved_date").alias("date_year"), "product_id")
-        .agg(_rows().alias("total_cancel"))
-    )
-    counts = _by_category(per_product, d, ["date_year"], "total_cancel")
+    counts = _by_category(_cancels_by_product(s, p), d, ["date_year"], "total_cancel")
     top = top_k_per_group(counts, ["date_year"], [F.col("total_cancel").desc()], 1)
     return top.select("date_year", F.col("product_category").alias("most_canceled"))
 
