@@ -72,16 +72,6 @@ SUMMARY_COLUMNS: tuple[str, ...] = (
     "total_payment_value",
 )
 
-ITEM_COLS = {
-    "order_id",
-    "product_id",
-    "order_item_id",
-    "seller_id",
-    "price",
-    "shipping_cost",
-    "total_cost",
-    "shipping_limit",
-}
 ORDER_COLS = {"order_status", "purchase_date", "approved_date", "est_delivery_date"}
 CUSTOMER_COLS = {"customer_unique_id", "customer_city", "customer_state"}
 PRODUCT_COLS = {"product_category", "product_weight_g"}
@@ -91,7 +81,6 @@ PAYMENT_COLS = {
     "total_payment_installments",
     "total_payment_value",
 }
-REVIEW_COLS = {"review_score"}
 
 _ORDER_SOURCE = {
     "order_status": "order_status",
