@@ -3,6 +3,13 @@
 "Orders" and "transactions" here are summary rows (item x review), as in
 the original analysis: a customer with one two-item order is a repeat
 customer. Rows are counted as the weight sum of the item-grain fact.
+
+Every report here except the per-order and rating parts reads one
+aggregate of the fact, ``activity``: summary rows per (customer, purchase
+date). All parts read it with its row count ``n`` (``active`` keeps the
+days with rows), so Catalyst plans one identical aggregate for all of them
+and the fact is joined once per report; the parts re-read only that
+aggregate, which a hot customer reduces to one row per day.
 Customers are counted by ``customer_unique_id``; NULL ids form one group
 where rows are grouped but are skipped where ids are counted.
 """
@@ -31,6 +38,16 @@ def _rows():
     return F.sum(WEIGHT)
 
 
+def activity(s: DataFrame) -> DataFrame:
+    """Summary rows ``n`` per (customer, purchase date); partial aggregation."""
+    return s.groupBy("customer_unique_id", "purchase_date").agg(_rows().alias("n"))
+
+
+def active(s: DataFrame) -> DataFrame:
+    """(customer, purchase date) pairs with at least one summary row."""
+    return activity(s).filter(F.col("n") > 0)
+
+
 def _year(s: DataFrame) -> DataFrame:
     return s.withColumn("date_year", year_of("purchase_date"))
 
@@ -42,7 +59,7 @@ def _year_month(s: DataFrame) -> DataFrame:
 def monthly_active(s: DataFrame) -> DataFrame:
     """Distinct customers per (year, month)."""
     return (
-        _year_month(s)
+        _year_month(active(s))
         .groupBy("date_year", "date_month")
         .agg(F.countDistinct("customer_unique_id").alias("total_customer"))
     )
@@ -51,7 +68,7 @@ def monthly_active(s: DataFrame) -> DataFrame:
 def avg_monthly_customer(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     """Mean of monthly distinct customers per year (months present only)."""
     return two_level_avg(
-        _year_month(s),
+        _year_month(active(s)),
         ["date_year"],
         ["date_month"],
         "avg_monthly_customer",
@@ -62,7 +79,7 @@ def avg_monthly_customer(s: DataFrame, p: ReportParams | None = None) -> DataFra
 
 def _first_orders(s: DataFrame) -> DataFrame:
     # Each customer's earliest purchase date (the NULL id is one customer).
-    return first_event(s, "customer_unique_id", "purchase_date")
+    return first_event(active(s), "customer_unique_id", "purchase_date")
 
 
 def new_customer(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
@@ -87,7 +104,12 @@ def repeat_order_cust(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
 def avg_order(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     """Mean fact rows per customer and year, 3 decimals."""
     return two_level_avg(
-        _year(s), ["date_year"], ["customer_unique_id"], "avg_order", 3, inner_agg=_rows()
+        _year(activity(s)),
+        ["date_year"],
+        ["customer_unique_id"],
+        "avg_order",
+        3,
+        inner_agg=F.sum("n"),
     )
 
 
@@ -124,7 +146,7 @@ def day_diff(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     Each customer's rows are taken in purchase-date order; only years with
     at least one successor appear.
     """
-    parts = successor_gap_parts(s, "customer_unique_id", "purchase_date", WEIGHT)
+    parts = successor_gap_parts(activity(s), "customer_unique_id", "purchase_date", "n")
     sums = (
         _year(parts)
         .groupBy("date_year")
@@ -136,8 +158,8 @@ def day_diff(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
 
 
 def _per_customer_year(s: DataFrame) -> DataFrame:
-    return _year(s).groupBy("date_year", "customer_unique_id").agg(
-        _rows().alias("total_order")
+    return _year(activity(s)).groupBy("date_year", "customer_unique_id").agg(
+        F.sum("n").alias("total_order")
     )
 
 
