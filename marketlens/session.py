@@ -53,7 +53,11 @@ def local_session(
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
     )
-    for k, v in {**SCALE_CONF, **(extra or {})}.items():
+    extra = dict(extra or {})
+    # Catalog tables of tests and the bench go to a private folder, not the
+    # working directory.
+    extra.setdefault("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="marketlens-wh-"))
+    for k, v in {**SCALE_CONF, **extra}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -40,11 +40,21 @@ def write_report(
     df.write.mode(mode).format(fmt).save(path)
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
-    """CTAS into the session catalog (managed Parquet table)."""
+def save_table(
+    df: DataFrame, name: str, mode: str = "overwrite", path: str | None = None
+) -> None:
+    """CTAS into the session catalog as a Parquet table.
+
+    With ``path`` the table is external (its files live at ``path``, e.g. on
+    shared storage); otherwise it is managed in the warehouse folder.
+    ``mode='ignore'`` keeps an existing table (CREATE TABLE IF NOT EXISTS).
+    """
     if mode not in SAVE_MODES:
         raise ValueError(f"mode must be one of {SAVE_MODES}")
-    df.write.mode(mode).format("parquet").saveAsTable(name)
+    writer = df.write.mode(mode).format("parquet")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
 
 
 def materialize(

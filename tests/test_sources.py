@@ -108,3 +108,18 @@ def test_cli_runs_the_workload_on_an_export(spark):
     assert got.columns == ["payment_type", "total_transaction", "1996", "1997", "1998"]
     direct = all_reports()["payment_summary"].build(Workload(from_tpch(spark, SF_DIR), ADAPTER_PARAMS))
     assert _rows(got) == _rows(direct)
+
+
+def test_save_table_modes_with_external_path(spark):
+    from marketlens.sources import save_table
+
+    path = os.path.join(tempfile.mkdtemp(prefix="marketlens-table-"), "t")
+    name = f"marketlens_ctas_{os.getpid()}"
+    save_table(spark.range(3), name, mode="errorifexists", path=path)
+    save_table(spark.range(7), name, mode="ignore", path=path)  # IF NOT EXISTS keeps it
+    assert spark.table(name).count() == 3
+    save_table(spark.range(7), name, mode="overwrite", path=path)
+    assert spark.table(name).count() == 7
+    with pytest.raises(Exception):
+        save_table(spark.range(1), name, mode="errorifexists", path=path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
