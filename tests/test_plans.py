@@ -100,3 +100,60 @@ def test_top_summary_plan_has_no_python(spark):
     df = E.queries()["top_summary"](spark, SF_DIR)
     text = plan_text(df)
     assert not any(p in text for p in PYTHON_NODES)
+
+
+@pytest.mark.parametrize(
+    "name,key",
+    [
+        ("top_category_revenue", "product_id"),
+        ("top_transaction_category", "product_id"),
+        ("product_summary", "product_id"),
+        ("origin_seller", "seller_id"),
+    ],
+)
+def test_dimension_joins_see_aggregates(spark, name, key):
+    """At scale, the rows shuffled to meet the product / seller table are
+    per-key aggregates, never item rows."""
+    at_scale = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k, None) for k in at_scale}
+    try:
+        for k, v in at_scale.items():
+            spark.conf.set(k, v)
+        df = E.queries()[name](spark, SF_DIR)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    lines = plan.split("== Initial Plan ==")[0].splitlines()
+
+    def op_col(line: str) -> int:
+        m = re.search(r"[A-Za-z*]", line.replace("+-", "  "))
+        return m.start() if m else 0
+
+    found = 0
+    for i, line in enumerate(lines):
+        if "ReusedExchange" in line or not re.search(
+            rf"Exchange hashpartitioning\({key}#\d+L?, ", line
+        ):
+            continue
+        col = op_col(line)
+        subtree = []
+        for nxt in lines[i + 1 :]:
+            if op_col(nxt) <= col:
+                break
+            subtree.append(nxt)
+        first = next(
+            l for l in subtree if "HashAggregate" in l or "FileScan" in l or "Scan ExistingRDD" in l
+        )
+        if "part.parquet" in first or "supplier.parquet" in first:
+            continue  # the dimension side itself
+        found += 1
+        assert "HashAggregate" in first, (name, first.strip()[:120])
+    assert found > 0
