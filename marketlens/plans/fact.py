@@ -21,6 +21,11 @@ and review aggregates are combined into one table with exactly one row per
 order (full outer joins of unique-key inputs: no hot key possible). The
 items then meet it in one left join on ``order_id`` whose inputs are both
 shuffles, so adaptive execution can split a hot order on the item side.
+Items without an order id skip the join (they cannot match), which keeps
+the item shuffle identical in every report part. Product and seller
+attributes can be requested here (item-level join, used by the
+fingerprint and the stored fact), but the reports attach them after
+aggregating (``plans.dimensions``).
 """
 
 from __future__ import annotations
