@@ -15,7 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.params import ReportParams
 from marketlens.plans.fact import SCORE_N, SCORE_SUM, WEIGHT, build_fact
-from marketlens.plans.summary import SUMMARY_COLUMNS, build_summary
+from marketlens.plans.summary import (
+    PRODUCT_COLS,
+    SELLER_COLS,
+    SUMMARY_COLUMNS,
+    build_summary,
+    join_dimensions,
+)
 from marketlens.sources.sinks import materialize
 from marketlens.sources.tables import MarketTables
 
@@ -28,16 +34,27 @@ class Workload:
 
     def fact(self, *columns: str) -> DataFrame:
         cols = list(columns) if columns else list(SUMMARY_COLUMNS)
-        if self.stored_fact is not None:
-            out = [c for c in cols if c != "review_score"] + [WEIGHT]
-            if "review_score" in cols:
-                out += [SCORE_SUM, SCORE_N]
+        if self.stored_fact is None:
+            return build_fact(self.tables, cols)
+        out = [c for c in cols if c != "review_score"] + [WEIGHT]
+        if "review_score" in cols:
+            out += [SCORE_SUM, SCORE_N]
+        dims = set(cols) & (PRODUCT_COLS | SELLER_COLS)
+        if not dims:
             return self.stored_fact.select(*out)
-        return build_fact(self.tables, cols)
+        # The stored fact has no dimension attributes: join them here (only
+        # checks that need them per item row ask for them).
+        fact = join_dimensions(self.tables, self.stored_fact, dims)
+        return fact.select(*out)
 
     def with_stored_fact(self, spark: SparkSession) -> Workload:
-        """Materialise the full fact once below ``spark.checkpoint.dir``."""
-        stored = materialize(spark, build_fact(self.tables), "fact")
+        """Materialise the fact once below ``spark.checkpoint.dir``.
+
+        Product and seller attributes are left out: reports attach them after
+        aggregating, so materialising never joins a dimension at item grain.
+        """
+        cols = [c for c in SUMMARY_COLUMNS if c not in PRODUCT_COLS | SELLER_COLS]
+        stored = materialize(spark, build_fact(self.tables, cols), "fact")
         return replace(self, stored_fact=stored)
 
     def register_views(self, prefix: str = "") -> None:
