@@ -114,11 +114,58 @@ def top_cancel(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
     return top.select("date_year", F.col("product_category").alias("most_canceled"))
 
 
+def _status_measures(s: DataFrame, p: ReportParams) -> DataFrame:
+    """One aggregate for both status branches of the product summary.
+
+    Per (estimated-delivery year, approval year, product): delivered revenue
+    and rows, cancelled rows. The measures travel together in one struct and
+    each branch selects by a condition on the aggregated values, so every
+    part reads the same aggregate -- one pass over the fact -- instead of one
+    filtered copy per status.
+    """
+    delivered = F.col("order_status") == p.delivered
+    canceled = F.col("order_status") == p.canceled
+    return s.groupBy(
+        year_of("est_delivery_date").alias("est_year"),
+        year_of("approved_date").alias("approved_year"),
+        "product_id",
+    ).agg(
+        F.struct(
+            F.sum(F.when(delivered, F.col("total_cost") * F.col(WEIGHT))).alias("revenue"),
+            F.sum(F.when(delivered, F.col(WEIGHT))).alias("delivered"),
+            F.sum(F.when(canceled, F.col(WEIGHT))).alias("canceled"),
+        ).alias("m")
+    )
+
+
 def product_summary(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
     """Revenue, cancellations and top categories; years with revenue only."""
-    joined = report_join(
-        yearly_revenue(s, p), [yearly_cancel(s, p), top_product(s, p, d), top_cancel(s, p, d)]
+    m = _status_measures(s, p)
+    revenue = (
+        m.filter(F.col("m.delivered") > 0)
+        .groupBy(F.col("est_year").alias("date_year"), "product_id")
+        .agg(F.sum("m.revenue").alias("revenue"))
+    )
+    cancels = (
+        m.filter(F.col("m.canceled") > 0)
+        .groupBy(F.col("approved_year").alias("date_year"), "product_id")
+        .agg(F.sum("m.canceled").alias("total_cancel"))
     )
+    yearly_rev = revenue.groupBy("date_year").agg(F.sum("revenue").alias("revenue"))
+    yearly_can = cancels.groupBy("date_year").agg(F.sum("total_cancel").alias("total_cancel"))
+    best = top_k_per_group(
+        _by_category(revenue, d, ["date_year"], "revenue"),
+        ["date_year"],
+        [F.col("revenue").desc_nulls_first()],
+        1,
+    ).select("date_year", F.col("product_category").alias("top_product"))
+    worst = top_k_per_group(
+        _by_category(cancels, d, ["date_year"], "total_cancel"),
+        ["date_year"],
+        [F.col("total_cancel").desc()],
+        1,
+    ).select("date_year", F.col("product_category").alias("most_canceled"))
+    joined = report_join(yearly_rev, [yearly_can, best, worst])
     return joined.select(
         "date_year",
         F.col("revenue").cast("double").alias("revenue"),
