@@ -4,9 +4,11 @@ Hamming search, exact weighted-shingle similarity.
 Texts are word sequences (lower-cased). A shingle is a run of ``ngram`` words;
 its weight is the number of the bytes of its words.
 
-* Every benchmark item of n words belongs to the class of the largest window
-  length L of a fixed ladder (factor 1.5) with L + stride(L) - 1 <= n. All its
-  windows of L words get a 64-bit SimHash of their weighted shingles.
+* Every benchmark item belongs to the class of the largest window length L of a
+  fixed ladder (factor 1.5) with L + stride(L) - 1 <= its clean run: the whole
+  item up to 48 words; beyond, the words in a row that must be unchanged in a
+  passage that reaches the threshold (a changed word takes ``ngram`` shingles).
+  All its windows of L words get a 64-bit SimHash of their weighted shingles.
 * Every document is cut into windows of each class's length at the class's
   stride, over the whole text, so an occurrence of an item always holds a
   window that is aligned with one of the item's. SimHashes of all windows come
@@ -60,10 +62,22 @@ def _stride(length: int) -> int:
     return max(1, length // 6)
 
 
-def window_length(n: int, ngram: int) -> int:
-    """The class of an item of n words: n itself up to 12, then the ladder."""
+def clean_run(n: int, ngram: int, threshold: float) -> int:
+    """Words in a row that an occurrence of an item of n words has unchanged: a
+    changed word takes ``ngram`` shingles, and the threshold allows so many of
+    them; the longest run between is this long at least."""
+    shingles = n - ngram + 1
+    changed = int(shingles * (1 - threshold) / (1 + threshold) / ngram)
+    return (n - changed) // (changed + 1)
+
+
+def window_length(n: int, ngram: int, threshold: float = 0.8) -> int:
+    """The class of an item of n words: its clean run up to 12, then the ladder."""
+    if n < ngram:
+        return 0
+    n = clean_run(n, ngram, threshold)
     if n <= 12:
-        return n if n >= ngram else 0
+        return max(n, ngram)
     best, length = 12, 12
     while length + _stride(length) - 1 <= n:
         best, length = length, length * 3 // 2
@@ -153,13 +167,13 @@ def similarity(a: Counter, b: Counter) -> float:
 class ItemIndex:
     """The classes, fingerprints and shingles of one part of the benchmark."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], ngram: int, radius: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], ngram: int, radius: int, threshold: float = 0.8):
         self.ngram, self.items, classes = ngram, [], {}
         table = word_table([text for _, text in items])
         for i, (item_id, _) in enumerate(items):
             own = slice(table.starts[i], table.starts[i + 1])
             n = own.stop - own.start
-            length = window_length(n, ngram)
+            length = window_length(n, ngram, threshold)
             if not length:
                 continue
             shingles, weights = shingle_hashes(table.hashes[own], ngram), _weights(table.sizes[own], ngram)
@@ -257,7 +271,7 @@ def mark_hits(
     parts = max(1, -(-total // part_words))
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-        index = spark.sparkContext.broadcast(ItemIndex([(r.id, r.text) for r in own.collect()], ngram, radius))
+        index = spark.sparkContext.broadcast(ItemIndex([(r.id, r.text) for r in own.collect()], ngram, radius, threshold))
         name = out_col if part == 0 else free_name(docs, out_col + "_more")
         schema = T.StructType([*docs.schema.fields]).add(name, HITS_TYPE)
         at = docs.columns.index(text_col)

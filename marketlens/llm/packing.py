@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -38,10 +39,10 @@ from marketlens.llm._shared import written
 # A single space between two characters that are no white space begins a new
 # pre-token of the byte-level pattern, so ids on both sides are independent.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_UNSAFE = re.compile(r"\s \s?| \s|^ | $")
+_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 _tokenizers: dict[str, object] = {}
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, list[dict[str, bytes]]] = {}
 
 
 def _tokenizer(name: str):
@@ -54,7 +55,7 @@ def _tokenizer(name: str):
         from tokenizers import Tokenizer
 
         _tokenizers[name] = Tokenizer.from_file(public_tokenizers.path(name))
-        _known[name] = {}
+        _known[name] = [{}, {}]
     return _tokenizers[name], _known[name]
 
 
@@ -62,31 +63,51 @@ def _units(text: str) -> list[str]:
     """Parts of a text, all but the first led by one (removed) space."""
     if not text:
         return []
-    return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
+    beside_white = text[0] == " " or text[-1] == " " or any(c in text and (" " + c in text or c + " " in text) for c in _OTHER)
+    if beside_white or "  " in text:
+        return _SAFE.split(text)
+    return text.split(" ")
 
 
 class TokenIds:
     """Ids of texts as little-endian uint32 bytes, each distinct unit encoded once.
 
-    The table of known units is bounded; it lives as long as the worker.
+    The table of known units lives as long as the worker and is bounded: it
+    keeps two generations of up to ``remember`` units, and a unit of the older
+    one that is met again moves to the younger.
     """
 
     def __init__(self, tokenizer: str, remember: int = 500_000):
-        self.tokenizer, self.known = _tokenizer(tokenizer)
+        self.tokenizer, self.generations = _tokenizer(tokenizer)
         self.remember = remember
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [_units(t) for t in texts]
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        # Later units never begin with white space; the key of a first unit does.
-        new = list({u for p in parts if p for u in (" " + p[0], *p[1:]) if u not in known})
-        if new:
-            texts = [u[1:] if u[0] == " " else " " + u for u in new]
-            for u, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, "<u4").tobytes()
-        return [known[" " + p[0]] + b"".join([known[u] for u in p[1:]]) if p else b"" for p in parts]
+        for p in parts:
+            if p:
+                p[0] = " " + p[0]  # later units never begin with white space
+        if len(self.generations[0]) > self.remember:
+            self.generations[:] = [{}, self.generations[0]]
+        known, older = self.generations
+        units = [u for p in parts for u in p]
+        ids = list(map(known.get, units))
+        missing = [i for i, got in enumerate(ids) if got is None]
+        if missing:
+            new = {units[i]: None for i in missing}
+            for u in new:
+                if u in older:
+                    known[u] = older[u]
+            new = [u for u in new if u not in known]
+            plain = [u[1:] if u[0] == " " else " " + u for u in new]
+            for u, e in zip(new, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+                known[u] = array("I", e.ids).tobytes()
+            for i in missing:
+                ids[i] = known[units[i]]
+        out, at = [], 0
+        for p in parts:
+            out.append(b"".join(ids[at : at + len(p)]))
+            at += len(p)
+        return out
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,8 +11,8 @@ per transition exceeds ``threshold`` and that meets no base span is a secret.
 Both models are learned from labelled samples of the corpus: the values that
 the base patterns found (random) and the runs of ``train_run`` or more token
 characters in documents without a base span (ordinary), each from at most
-``sample`` documents, those with the smallest hash of their text. With no
-sample at all a model is the uniform one (add-one smoothing). The learned
+``sample`` documents, those with the smallest hash of their text. Both are
+blended with the uniform model; where a sample says nothing a model is uniform. The learned
 table is a constant of the plan: 68 x 68 numbers, whatever the corpus.
 
 Every step is a projection of the document's row: no shuffle of texts, so a
@@ -40,6 +40,9 @@ KINDS = ("assign", "access", "hex", "markov")
 MIN_LENGTH = {"assign": 12, "access": 18, "hex": 16}
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 RUN = "[A-Za-z0-9+/_=-]"
+# Share of the uniform distribution in the model of random strings (whose
+# alphabet the samples need not show) and in that of ordinary identifiers.
+UNIFORM = (0.3, 0.01)
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -112,9 +115,16 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = 2000, train_run
     k = len(SYMBOLS)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(text.alias("t")).withColumn("v", _values(F.col("t")))
-    by_hash = F.xxhash64("t")
-    random = rows.where(F.size("v") > 0).select("t", "v").orderBy(by_hash, "t").limit(sample)
-    plain = rows.where((F.size("v") == 0) & (F.col("t") != "")).select("t").orderBy(by_hash, "t").limit(sample)
+    rows = rows.withColumn("h", F.xxhash64("t"))
+
+    def sampled(some: DataFrame) -> DataFrame:
+        """Up to ``sample`` different texts: hashes are ranked, not texts, and
+        copies of a text are combined before the shuffle."""
+        last = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        return some.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("t").alias("t"), F.first("v").alias("v"))
+
+    random = sampled(rows.where(F.size("v") > 0))
+    plain = sampled(rows.where((F.size("v") == 0) & (F.col("t") != "")))
     ordinary = plain.select(
         F.explode(F.regexp_extract_all("t", F.lit(f"{RUN}{{{train_run},}}"), F.lit(0))).alias("token")
     )
@@ -124,13 +134,19 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = 2000, train_run
         .union(_counts(ordinary).withColumn("kind", F.lit(1)))
         .collect()  # at most 2 x 68 x 68 rows
     )
-    table = [[1.0] * (k * k), [1.0] * (k * k)]
+    table = [[0] * (k * k), [0] * (k * k)]
     for r in counts:
         table[r.kind][r.pair] += r.n
     logs = []
-    for t in table:
+    for t, blend in zip(table, UNIFORM, strict=True):
         totals = [sum(t[i * k : (i + 1) * k]) for i in range(k)]
-        logs.append([math.log(t[i * k + j] / totals[i]) for i in range(k) for j in range(k)])
+        logs.append(
+            [
+                math.log((1 - blend) * t[i * k + j] / totals[i] + blend / k if totals[i] else 1 / k)
+                for i in range(k)
+                for j in range(k)
+            ]
+        )
     return [round(a - b, 4) for a, b in zip(*logs, strict=True)]
 
 
@@ -178,14 +194,12 @@ def scan(
 
 def joined(names: dict[str, str], kinds: tuple[str, ...]) -> Column:
     """kind:start:end of all spans by start, then kind as listed, comma-joined."""
-    tagged = F.concat(
-        *[
-            F.transform(
-                names[kind], lambda s, n=i: F.struct(s["start"].alias("s"), F.lit(n).alias("k"), s["end"].alias("e"))
-            )
-            for i, kind in enumerate(kinds)
-        ]
-    )
+    def of_kind(i: int) -> Column:
+        return F.transform(
+            names[kinds[i]], lambda s: F.struct(s["start"].alias("s"), F.lit(i).alias("k"), s["end"].alias("e"))
+        )
+
+    tagged = F.concat(*map(of_kind, range(len(kinds))))
     kind_name = F.array(*[F.lit(k) for k in kinds])
     return F.array_join(
         F.transform(
