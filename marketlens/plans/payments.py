@@ -39,6 +39,12 @@ def payment_summary(t: MarketTables, p: ReportParams) -> DataFrame:
 
 
 def payment_percentage(t: MarketTables, p: ReportParams) -> DataFrame:
-    """Each type's share of all counted payment rows, 1 decimal."""
-    counts = _payment_counts(t, p).select("payment_type", "total_transaction")
+    """Each type's share of all counted payment rows, 1 decimal. Counted from
+    the payments alone: an order has one row in ``orders``, so joining them
+    would change no count."""
+    counts = (
+        t.payments.filter(F.col("payment_type") != p.excluded_payment_type)
+        .groupBy("payment_type")
+        .agg(F.count("*").alias("total_transaction"))
+    )
     return share_of_total(counts, "total_transaction", 1, "percentage")

@@ -127,7 +127,8 @@ def order_level(t: MarketTables, need: set[str]) -> DataFrame | None:
         payments = t.payments.groupBy("order_id").agg(
             F.count("payment_sequential").alias("total_payment_sequential"),
             F.sum("payment_installments").alias("total_payment_installments"),
-            F.sum("payment_value").alias("total_payment_value"),
+            # Exact whatever the order of the rows: money is added as decimals.
+            F.sum(F.col("payment_value").cast("decimal(18,2)")).cast("double").alias("total_payment_value"),
         )
         # Both sides hold at most one row per order: no hot key possible.
         level = payments if level is None else level.join(payments, "order_id", "full")

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from marketlens.plans import all_reports
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -38,11 +39,11 @@ def _canon(cols, rows):
     return order, sorted(tuple(_norm(r[i]) for i in idx) for r in rows)
 
 
-def test_every_query_has_oracle_sql():
-    assert set(E.oracle_sql()) == set(E.queries())
+def test_every_report_has_oracle_sql():
+    assert set(all_reports()) <= set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(all_reports()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_DIR)
     got = _canon(df.columns, [tuple(r) for r in df.collect()])
