@@ -12,7 +12,6 @@ Layout
 ``functions``  column expressions (exact half-up ratios, calendar parts)
 ``operators``  reusable DataFrame -> DataFrame analytic operators
 ``plans``      the enriched fact and the reports built from the operators
-``streaming``  (no streaming in the analysed workload; see its docstring)
 """
 
 from marketlens.params import ReportParams

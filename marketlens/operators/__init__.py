@@ -6,8 +6,8 @@ from marketlens.operators.events import first_event, successor_gap_parts
 from marketlens.operators.joins import report_join
 from marketlens.operators.modal import modal_row, mode_value
 from marketlens.operators.pivot import pivot_count
-from marketlens.operators.positional import number_rows, row_index, zip_by_position
-from marketlens.operators.ranking import top_k_per_group, top_n_threshold, within_top_n
+from marketlens.operators.positional import number_rows, zip_by_position
+from marketlens.operators.ranking import top_k_per_group, top_n_threshold
 from marketlens.operators.reorder import reorder_top_k
 from marketlens.operators.shares import share_of_total, share_topn_others
 
@@ -20,13 +20,11 @@ __all__ = [
     "pivot_count",
     "reorder_top_k",
     "report_join",
-    "row_index",
     "share_of_total",
     "share_topn_others",
     "successor_gap_parts",
     "top_k_per_group",
     "top_n_threshold",
     "two_level_avg",
-    "within_top_n",
     "zip_by_position",
 ]

@@ -89,7 +89,7 @@ def number_rows(
         "_first",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
     )
-    numbered = placed.join(F.broadcast(offsets), ["_part", "_pid"]).withColumn(
+    numbered = placed.join(offsets, ["_part", "_pid"]).withColumn(
         name, (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).cast("long")
     )
     return [
@@ -98,11 +98,6 @@ def number_rows(
     ]
 
 
-def row_index(df: DataFrame, keys: Sequence[str], name: str = "rn") -> DataFrame:
-    """``df`` with ``name`` = 1-based position in ``keys`` order (NULLs last)."""
-    return number_rows([(df, keys)], name)[0]
-
-
 def zip_by_position(
     parts: Sequence[tuple[DataFrame, Sequence[str]]], name: str = "rn"
 ) -> DataFrame:

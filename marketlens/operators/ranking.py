@@ -49,8 +49,3 @@ def top_n_threshold(df: DataFrame, value: str, n: int) -> Column:
         .limit(n)
     )
     return top.agg(F.min(value)).scalar()
-
-
-def within_top_n(df: DataFrame, value: str, n: int) -> Column:
-    """Boolean column: ``rank() over (order by value desc) <= n``."""
-    return F.col(value) >= top_n_threshold(df, value, n)

@@ -26,14 +26,18 @@ class Report:
     fact_columns: tuple[str, ...] | None  # None: reads base tables
 
 
-def _fact(name: str, cols: tuple[str, ...], fn) -> Report:
-    return Report(name, lambda w: fn(w.fact(*cols), w.params), tuple(cols))
+def _fact(name: str, cols: tuple[str, ...], fn, weighted: bool = True) -> Report:
+    """``weighted=False``: the report asks which values occur, never how many
+    rows there are, so the reviews (the rows' weights) are not read."""
+    return Report(name, lambda w: fn(w.fact(*cols, weighted=weighted), w.params), tuple(cols))
 
 
-def _fact_dims(name: str, cols: tuple[str, ...], fn) -> Report:
+def _fact_dims(name: str, cols: tuple[str, ...], fn, weighted: bool = True) -> Report:
     """A report that attaches product / seller attributes after aggregating."""
     return Report(
-        name, lambda w: fn(w.fact(*cols), w.params, Dimensions.of(w.tables)), tuple(cols)
+        name,
+        lambda w: fn(w.fact(*cols, weighted=weighted), w.params, Dimensions.of(w.tables)),
+        tuple(cols),
     )
 
 
@@ -58,17 +62,17 @@ def _origin_reports(side: str, table: str) -> list[Report]:
         _fact_dims(
             f"{table}__highest_state", cols, lambda s, p, d: origin.highest_state(s, side, d)
         ),
-        _fact_dims(f"{table}__highest_city", cols, lambda s, p, d: origin.highest_city(s, side, d)),
+        _fact_dims(f"{table}__highest_city", cols, lambda s, p, d: origin.highest_city(s, side, d), side == "customer"),
         _fact_dims(
             f"{table}__percentage_state_city",
             cols,
             lambda s, p, d: origin.home_share(s, side, p, d),
         ),
         _fact_dims(
-            f"{table}_city", share, lambda s, p, d: origin.origin_share(s, side, *city, p, d)
+            f"{table}_city", share, lambda s, p, d: origin.origin_share(s, side, *city, p, d), False
         ),
         _fact_dims(
-            f"{table}_state", share, lambda s, p, d: origin.origin_share(s, side, *state, p, d)
+            f"{table}_state", share, lambda s, p, d: origin.origin_share(s, side, *state, p, d), False
         ),
     ]
 
@@ -93,11 +97,11 @@ def all_reports() -> dict[str, Report]:
         ),
         _fact("summary_fingerprint", fingerprint.FINGERPRINT_COLS, fingerprint.summary_fingerprint),
         _fact("yearly_customer", g, customers.yearly_customer),
-        _fact("yearly_customer__avg_monthly_customer", g, customers.avg_monthly_customer),
-        _fact("yearly_customer__new_customer", g, customers.new_customer),
+        _fact("yearly_customer__avg_monthly_customer", g, customers.avg_monthly_customer, False),
+        _fact("yearly_customer__new_customer", g, customers.new_customer, False),
         _fact("yearly_customer__repeat_order_cust", g, customers.repeat_order_cust),
         _fact("yearly_customer__avg_order", g, customers.avg_order),
-        _fact("monthly_customer", g, customers.monthly_customer),
+        _fact("monthly_customer", g, customers.monthly_customer, False),
         _fact("yearly_transaction", t, customers.yearly_transaction),
         _fact("yearly_transaction__day_diff", g, customers.day_diff),
         _fact("yearly_transaction__yearly_stats", g, customers.yearly_stats),

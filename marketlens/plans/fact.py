@@ -56,9 +56,15 @@ def review_stats(t: MarketTables, with_scores: bool) -> DataFrame:
     )
 
 
-def build_fact(t: MarketTables, columns: Iterable[str] | None = None) -> DataFrame:
+def build_fact(
+    t: MarketTables, columns: Iterable[str] | None = None, weighted: bool = True
+) -> DataFrame:
     """Item-grain fact with ``columns`` plus ``w`` (and score columns when
-    ``review_score`` is requested; the column itself is not carried)."""
+    ``review_score`` is requested; the column itself is not carried).
+
+    ``weighted=False`` is for readers that only ask which values occur: every
+    item weighs 1 and the reviews are not read.
+    """
     cols = list(columns) if columns is not None else list(SUMMARY_COLUMNS)
     unknown = set(cols) - set(SUMMARY_COLUMNS)
     if unknown:
@@ -66,10 +72,12 @@ def build_fact(t: MarketTables, columns: Iterable[str] | None = None) -> DataFra
     need = set(cols)
     with_scores = "review_score" in need
 
-    side = review_stats(t, with_scores)
+    weighted = weighted or with_scores
+    side = review_stats(t, with_scores) if weighted else None
     level = order_level(t, need)
     if level is not None:
-        side = level.filter(F.col("order_id").isNotNull()).join(side, "order_id", "full")
+        level = level.filter(F.col("order_id").isNotNull())
+        side = level if side is None else level.join(side, "order_id", "full")
     items = _items(t, need)
     # Items without an order id can never match: they are appended as they
     # are (a pushed-down IS NULL scan, never shuffled). Joining only keyed
@@ -77,11 +85,12 @@ def build_fact(t: MarketTables, columns: Iterable[str] | None = None) -> DataFra
     # whether or not a filter turns the join into an inner join, so Spark
     # reuses one item shuffle across all parts of a report.
     keyed = items.filter(F.col("order_id").isNotNull())
-    fact = keyed.join(side, "order_id", "left").unionByName(
-        items.filter(F.col("order_id").isNull()), allowMissingColumns=True
-    )
+    fact = keyed if side is None else keyed.join(side, "order_id", "left")
+    fact = fact.unionByName(items.filter(F.col("order_id").isNull()), allowMissingColumns=True)
     fact = join_dimensions(t, fact, need)
-    weight = F.greatest(F.coalesce(F.col("_reviews"), F.lit(0)), F.lit(1)).cast("long")
+    weight = F.lit(1).cast("long")
+    if weighted:
+        weight = F.greatest(F.coalesce(F.col("_reviews"), F.lit(0)), F.lit(1)).cast("long")
     out = [c for c in cols if c != "review_score"] + [weight.alias(WEIGHT)]
     if with_scores:
         out += [

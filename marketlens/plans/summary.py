@@ -199,8 +199,15 @@ def build_summary(
     items = _items(t, need)
     keyed = items.filter(F.col("order_id").isNotNull())
     side = order_side(t, need)
-    matched = keyed.join(side, "order_id", "inner")
-    unmatched = keyed.join(order_side_keys(t, need), "order_id", "left_anti")
+    # Compared as one-element arrays: the union's own partitioning by order_id
+    # does not serve that key, so both inputs are shuffled for this join and
+    # adaptive execution can split a hot order, whatever the session's settings.
+    key = F.array("order_id")
+    side = side.withColumn("_key", key).drop("order_id")
+    keyed_by = keyed.withColumn("_key", key)
+    matched = keyed_by.join(side, "_key", "inner").drop("_key")
+    known = order_side_keys(t, need).select(key.alias("_key"))
+    unmatched = keyed_by.join(known, "_key", "left_anti").drop("_key")
     no_key = items.filter(F.col("order_id").isNull())
     fact = matched.unionByName(unmatched, allowMissingColumns=True).unionByName(
         no_key, allowMissingColumns=True

@@ -32,10 +32,10 @@ class Workload:
     params: ReportParams = ReportParams()
     stored_fact: DataFrame | None = None
 
-    def fact(self, *columns: str) -> DataFrame:
+    def fact(self, *columns: str, weighted: bool = True) -> DataFrame:
         cols = list(columns) if columns else list(SUMMARY_COLUMNS)
         if self.stored_fact is None:
-            return build_fact(self.tables, cols)
+            return build_fact(self.tables, cols, weighted)
         out = [c for c in cols if c != "review_score"] + [WEIGHT]
         if "review_score" in cols:
             out += [SCORE_SUM, SCORE_N]

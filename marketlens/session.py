@@ -8,8 +8,8 @@ built here (tests) gets a private folder, and only when that setting is unset.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,7 +51,7 @@ def local_session(
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
     )
     extra = dict(extra or {})
     # Catalog tables of tests and the bench go to a private folder, not the
@@ -87,14 +87,4 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the checkpoint root for one materialised table."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/marketlens/{name}-{os.getpid()}-{next(_counter)}"
-
-
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_counter = _count()
+    return f"{root}/marketlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -61,7 +61,6 @@ def materialize(
     spark: SparkSession,
     df: DataFrame,
     name: str,
-    partition_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
 
@@ -69,8 +68,5 @@ def materialize(
     the joins) and lets many readers share one computation.
     """
     path = scratch_path(spark, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

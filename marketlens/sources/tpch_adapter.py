@@ -45,19 +45,15 @@ def _case(col: Column, mapping: dict[str, str]) -> Column:
 def _with_place(df: DataFrame, nationkey: str, read) -> DataFrame:
     """Add ``place_city`` (nation name) and ``place_state`` (region name).
 
-    TPC-H fixes nation at 25 rows and region at 5: a proven size bound, so
-    both lookups are broadcast, and as two independent leaves they are
-    built concurrently.
+    No broadcast hint: Spark broadcasts both lookups where their size allows.
     """
-    nation = F.broadcast(
-        read("nation").select(
-            F.col("n_nationkey").alias("_nk"),
-            F.col("n_name").alias("place_city"),
-            F.col("n_regionkey").alias("_rk"),
-        )
+    nation = read("nation").select(
+        F.col("n_nationkey").alias("_nk"),
+        F.col("n_name").alias("place_city"),
+        F.col("n_regionkey").alias("_rk"),
     )
-    region = F.broadcast(
-        read("region").select(F.col("r_regionkey").alias("_rk2"), F.col("r_name").alias("place_state"))
+    region = read("region").select(
+        F.col("r_regionkey").alias("_rk2"), F.col("r_name").alias("place_state")
     )
     return (
         df.join(nation, F.col(nationkey) == F.col("_nk"), "left")

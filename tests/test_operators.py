@@ -17,7 +17,7 @@ from marketlens.operators import (
     share_of_total,
     successor_gap_parts,
     top_k_per_group,
-    within_top_n,
+    top_n_threshold,
 )
 
 
@@ -54,7 +54,7 @@ def test_within_top_n_equals_rank(spark):
     vals = [(i, rnd.choice([1, 2, 3, 5, 5, 8, 8, 8, 13, 21])) for i in range(300)]
     df = spark.createDataFrame(vals, "id int, v int")
     for n in (1, 3, 5, 7):
-        ours = {r.id for r in df.filter(within_top_n(df, "v", n)).collect()}
+        ours = {r.id for r in df.filter(F.col("v") >= top_n_threshold(df, "v", n)).collect()}
         ranked = df.withColumn("rk", F.rank().over(Window.orderBy(F.col("v").desc())))
         ref = {r.id for r in ranked.filter(F.col("rk") <= n).collect()}
         assert ours == ref

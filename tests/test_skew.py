@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import dataclasses
 
 from helpers import D, item, make_tables, order
 from marketlens.plans import build_summary
-from marketlens.session import SCALE_CONF
 
-# The library's scale settings, with thresholds small enough for a fixture.
+# Default settings but for thresholds small enough for a fixture: the plans
+# must be safe by their own shape, without the library's scale settings.
 SKEW_CONF = {
-    **SCALE_CONF,
+    "spark.sql.unionOutputPartitioning": "true",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
@@ -46,14 +47,15 @@ def test_hot_order_join_is_split(spark):
         spark,
         customers=[("c1", "u1", "x", "s")],
         orders=[order("hot", "c1", purchase=D(2017, 1, 1))] + [order(o, "c1") for o in others],
-        items=[item("hot", n) for n in range(300)] + [item(o) for o in others] + [item("lost")],
+        items=[item("hot", n) for n in range(3000)] + [item(o) for o in others] + [item("lost")],
         reviews=[("hot", 1 + n % 5) for n in range(40)] + [(o, 3) for o in others],
     )
+    t = dataclasses.replace(t, items=t.items.repartition(12))
     with conf(spark, SKEW_CONF):
         df = build_summary(t, ["order_id", "review_score", "purchase_date"])
         rows = df.collect()
         plan = executed_plan(df)
-    assert len(rows) == 300 * 40 + 60 + 1
+    assert len(rows) == 3000 * 40 + 60 + 1
     assert sum(1 for r in rows if r.order_id == "lost" and r.purchase_date is None) == 1
     assert "skew=true" in plan
 
