@@ -6,7 +6,7 @@ probabilities of all positions of a document are averaged (pooled) and the
 largest is the prediction. Gates and candidate use the soft-sign x / (1 + |x|),
 which needs no exponentials. The network is trained in numpy by
 backpropagation through time (Adam) on a bounded sample: up to ``per_lang``
-labelled documents of each language, those with the smallest hash of their id,
+labelled documents of each language, chosen by a hash of their id,
 and up to ``per_doc`` segments of each. Prediction runs over all whole texts in
 Arrow batches, grouped by bytes, and looks at the text only.
 
@@ -243,16 +243,19 @@ def fit(
 ) -> LanguageModel:
     """A model from a bounded sample: ``per_lang`` documents of each of the
     (at most ``max_langs``, the most frequent) languages for which ``usable``
-    holds, chosen by a hash of the id."""
+    holds, chosen by a hash of the id. Only ids are ranked, not texts."""
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).select(lang_col)
-    # Ranks see ids only; at most per_lang rows of a language leave a task.
+    langs = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs)
+    # Of a language's hashes only the lowest share is ranked, some four times
+    # the rows wanted, so a frequent language is no larger a group than a rare one.
+    lowest = F.least(F.lit(1.0), (4.0 * per_lang + 64) / F.col("count"))
     by_hash = Window.partitionBy(lang_col).orderBy("h", id_col)
     chosen = (
         known.select(id_col, lang_col, F.xxhash64(id_col).alias("h"))
+        .join(F.broadcast(langs.select(lang_col, lowest.alias("lowest"))), lang_col)
+        .where(F.pmod("h", F.lit(1 << 30)) < F.col("lowest") * (1 << 30))
         .withColumn("k", F.row_number().over(by_hash))
         .where(F.col("k") <= per_lang)
-        .join(F.broadcast(langs), lang_col)
         .select(id_col)
         .distinct()
     )
