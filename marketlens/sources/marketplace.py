@@ -1,9 +1,11 @@
 """Readers for marketplace exports (Parquet or CSV), one file/folder per table.
 
 Parquet is read with its own schema and then conformed (column subset,
-casts); CSV is read with the explicit schema, never inferred. Column
-selection and filters placed downstream still reach the Parquet scan,
-because conforming is a plain projection.
+casts); CSV is read as text by the names in its header (further columns and
+any order are fine, quoted fields may hold line breaks) and cast to the
+explicit schema, never inferred. Column selection and filters placed
+downstream still reach the Parquet scan, because conforming is a plain
+projection.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         c = F.col(f.name)
         if isinstance(f.dataType, T.DateType):
             c = F.to_date(c)
+        elif isinstance(df.schema[f.name].dataType, T.StringType):
+            c = c.try_cast(f.dataType)  # unreadable text is NULL
         else:
             c = c.cast(f.dataType)
         cols.append(c.alias(f.name))
@@ -44,36 +48,40 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_table(
-    spark: SparkSession, path: str, name: str, fmt: str = "parquet"
+    spark: SparkSession, path: str, name: str, fmt: str = "parquet", multi_line: bool = True
 ) -> DataFrame:
+    """One table, conformed to its schema.
+
+    ``multi_line=False`` is for CSV files without quoted line breaks: a large
+    file is then split among tasks instead of read whole by one.
+    """
     schema = schemas.TABLES[name]
     if fmt == "parquet":
         raw = spark.read.parquet(path)
     elif fmt == "csv":
-        # Dates as text first: exports carry "YYYY-MM-DD hh:mm:ss".
-        text_schema = T.StructType(
-            [
-                T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DateType) else f.dataType, True)
-                for f in schema.fields
-            ]
-        )
-        raw = spark.read.csv(path, header=True, schema=text_schema, enforceSchema=False)
+        # Without a schema every column is text, named by the header.
+        raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
     else:
         raise ValueError(f"unsupported format {fmt!r}")
     return conform(raw, schema)
 
 
 def read_marketplace(
-    spark: SparkSession, root: str, fmt: str = "parquet", suffix: str | None = None
+    spark: SparkSession,
+    root: str,
+    fmt: str = "parquet",
+    suffix: str | None = None,
+    multi_line: bool = True,
 ) -> MarketTables:
     """Read ``<root>/<table><suffix>`` for the eight tables.
 
-    ``suffix`` defaults to ``.parquet`` / ``.csv`` by format.
+    ``suffix`` defaults to ``.parquet`` / ``.csv`` by format; ``multi_line``
+    as in ``read_table``.
     """
     suffix = suffix if suffix is not None else f".{fmt}"
     root = root.rstrip("/")
     loaded = {
-        _ATTR[name]: read_table(spark, f"{root}/{name}{suffix}", name, fmt)
+        _ATTR[name]: read_table(spark, f"{root}/{name}{suffix}", name, fmt, multi_line)
         for name in schemas.TABLES
     }
     return MarketTables(**loaded)

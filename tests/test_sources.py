@@ -60,6 +60,22 @@ def test_read_marketplace_runs_reports(spark, fmt):
         assert _rows(reports[name].build(exported)) == _rows(reports[name].build(direct)), name
 
 
+def test_csv_is_read_by_header_name(spark):
+    """Further columns, another order and quoted line breaks, in all tables."""
+    tables = from_tpch(spark, SF_DIR)
+    root = tempfile.mkdtemp(prefix="marketlens-header-")
+    for name, attr in _EXPORT.items():
+        df = getattr(tables, attr)
+        note = F.lit('two\nlines, one "quoted" word').alias("note")
+        odd = df.select(note, *reversed(df.columns), F.lit(1).alias("more"))
+        odd.write.csv(os.path.join(root, f"{name}.csv"), header=True, escape='"')
+    got = read_marketplace(spark, root, fmt="csv")
+    for name, attr in _EXPORT.items():
+        want = getattr(tables, attr)
+        columns = [F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]
+        assert _rows(getattr(got, attr)) == _rows(want.select(columns)), name
+
+
 def test_write_report_modes(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="marketlens-sink-"), "report")
     first = spark.range(3).withColumn("v", F.lit(1))
