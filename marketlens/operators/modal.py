@@ -19,16 +19,22 @@ def _as_list(cols: str | Sequence[str]) -> list[str]:
 
 
 def modal_row(
-    df: DataFrame, key: str | Sequence[str], value_cols: Sequence[str]
+    df: DataFrame,
+    key: str | Sequence[str],
+    value_cols: Sequence[str],
+    tie_cols: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per ``key`` holding the most frequent ``value_cols`` tuple.
 
-    Ties go to the smallest tuple (column by column, NULL first). NULL
-    attributes of the winning tuple stay NULL: the whole tuple is picked.
+    Ties go to the smallest tuple (column by column, NULL first), compared by
+    ``tie_cols`` (some of ``value_cols``) before the others. NULL attributes of the winning tuple stay NULL: the whole tuple is picked.
     """
     keys, values = _as_list(key), list(value_cols)
     counted = df.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("_n"))
-    order = F.struct((-F.col("_n")).alias("_neg_n"), *[F.col(c) for c in values])
+    ranked = [*(tie_cols or ()), *[c for c in values if c not in (tie_cols or ())]]
+    if set(ranked) != set(values):
+        raise ValueError("tie_cols must be value columns")
+    order = F.struct((-F.col("_n")).alias("_neg_n"), *[F.col(c) for c in ranked])
     picked = counted.groupBy(*keys).agg(
         F.min_by(F.struct(*[F.col(c) for c in values]), order).alias("_win")
     )

@@ -9,7 +9,7 @@ those) or reads base tables directly.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -24,6 +24,8 @@ class Report:
     name: str
     build: Callable[[Workload], DataFrame]
     fact_columns: tuple[str, ...] | None  # None: reads base tables
+    reads: tuple[str, ...] = ()  # reports that the script builds it from
+    from_stored: Callable[..., DataFrame] | None = None  # it, of those tables
 
 
 def _fact(name: str, cols: tuple[str, ...], fn, weighted: bool = True) -> Report:
@@ -129,4 +131,11 @@ def all_reports() -> dict[str, Report]:
         _tables("payment_summary", payments.payment_summary),
         _tables("payment_percentage", payments.payment_percentage),
     ]
-    return {r.name: r for r in reports}
+    by_name = {r.name: r for r in reports}
+    top = ("top_reorder_category", "top_reorder_product", "top_category_revenue", "top_transaction_category")
+    for name, reads, build in (
+        ("top_summary", top, products.zip_top_tables),
+        ("payment_percentage", ("payment_summary",), payments.percentage_of),
+    ):
+        by_name[name] = replace(by_name[name], reads=reads, from_stored=build)
+    return by_name

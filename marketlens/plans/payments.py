@@ -48,3 +48,9 @@ def payment_percentage(t: MarketTables, p: ReportParams) -> DataFrame:
         .agg(F.count("*").alias("total_transaction"))
     )
     return share_of_total(counts, "total_transaction", 1, "percentage")
+
+
+def percentage_of(summary: DataFrame) -> DataFrame:
+    """``payment_percentage`` of a stored ``payment_summary``."""
+    counts = summary.select("payment_type", "total_transaction")
+    return share_of_total(counts, "total_transaction", 1, "percentage")

@@ -244,17 +244,23 @@ def top_transaction_category(
 
 
 def top_summary(s: DataFrame, p: ReportParams, d: Dimensions, k: int = 3) -> DataFrame:
-    """Line-by-line zip of the four top-k tables.
+    """Line-by-line zip of the four top-k tables."""
+    return zip_top_tables(
+        top_reorder_category(s, p, d, k),
+        top_reorder_product(s, p, d, k),
+        top_category_revenue(s, p, d, k),
+        top_transaction_category(s, p, d, k),
+    )
+
+
+def zip_top_tables(cat: DataFrame, prod: DataFrame, rev: DataFrame, trx: DataFrame) -> DataFrame:
+    """``top_summary`` of the four (stored) top-k tables.
 
     Each table is numbered in (year, rank, name[, product]) order, NULLs
     last (one shared sort and checkpoint for all four), and the four are
     inner-joined on that number: the result is as
     long as the shortest table, and one line may mix different years.
     """
-    cat = top_reorder_category(s, p, d, k)
-    prod = top_reorder_product(s, p, d, k)
-    rev = top_category_revenue(s, p, d, k)
-    trx = top_transaction_category(s, p, d, k)
     parts = [
         (
             cat.select(

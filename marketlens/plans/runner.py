@@ -2,22 +2,26 @@
 
 The original script creates one table per report, each re-reading the fact
 view. Here the item-grain fact is materialised once below
-``spark.checkpoint.dir``, every report is computed from it and written with
-the chosen save mode (``ignore`` = CREATE TABLE IF NOT EXISTS, keeping a
-stale table; ``errorifexists`` = plain CREATE TABLE AS; default
-``overwrite``). Intermediate parts (``<table>__<part>``) are skipped unless
-asked for.
+``spark.checkpoint.dir``, with the columns that the chosen reports read (not
+at all if none reads it), every report is computed from it and written with
+its save mode (``ignore`` = CREATE TABLE IF NOT EXISTS, keeping a stale table;
+``errorifexists`` = plain CREATE TABLE AS; default ``overwrite``), and the fact
+is removed at the end. Reports that the script builds from other reports
+(``Report.reads``) read the stored ones, stale or not, and are computed from
+the fact only where one of those is not stored. Intermediate parts
+(``<table>__<part>``) are skipped unless asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.plans.catalog import all_reports
 from marketlens.plans.workload import Workload
-from marketlens.sources.sinks import write_report
+from marketlens.sources.sinks import remove, save_table, write_report
 
 # Cross-engine checks of the fact, not report tables.
 CHECKS = ("summary", "summary_fingerprint")
@@ -28,26 +32,71 @@ def report_tables() -> list[str]:
     return [n for n in all_reports() if "__" not in n and n not in CHECKS]
 
 
+def script_modes() -> dict[str, str]:
+    """The modes of the original: two plain CREATE TABLE AS, the others IF NOT EXISTS."""
+    plain = ("geolocation_dataset", "top_summary")
+    return {n: "errorifexists" if n in plain else "ignore" for n in report_tables()}
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table written at ``path``, or None."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def run_reports(
     spark: SparkSession,
     workload: Workload,
     out_root: str,
     names: Iterable[str] | None = None,
     mode: str = "overwrite",
+    modes: Mapping[str, str] | None = None,
+    database: str | None = None,
 ) -> dict[str, str]:
-    """Write each report to ``<out_root>/<name>``; returns name -> path."""
+    """Write each report to ``<out_root>/<name>``; returns name -> path.
+
+    ``modes`` overrides ``mode`` by report name. With ``database`` each report
+    is also the catalog table ``<database>.<name>`` over its path.
+    """
     reports = all_reports()
     chosen = list(names) if names is not None else report_tables()
-    unknown = set(chosen) - set(reports)
+    unknown = (set(chosen) | set(modes or ())) - set(reports)
     if unknown:
         raise ValueError(f"unknown reports: {sorted(unknown)}")
-    w = workload if workload.stored_fact is not None else workload.with_stored_fact(spark)
     out_root = out_root.rstrip("/")
-    written = {}
-    for name in chosen:
-        path = f"{out_root}/{name}"
-        # monthly_customer and payment_summary carry their presentation
-        # order already (a range-partitioned sort): files are written in it.
-        write_report(reports[name].build(w), path, mode=mode)
-        written[name] = path
-    return written
+    paths = {name: f"{out_root}/{name}" for name in chosen}
+    mode_of = {name: (modes or {}).get(name, mode) for name in chosen}
+    # IF NOT EXISTS: what is there stays, so it need not be computed.
+    kept = {n for n in chosen if mode_of[n] == "ignore" and _stored(spark, paths[n]) is not None}
+    todo = sorted((n for n in chosen if n not in kept), key=lambda n: bool(reports[n].reads))
+
+    def inputs(name: str) -> list[DataFrame] | None:
+        found = [_stored(spark, f"{out_root}/{n}") for n in reports[name].reads]
+        return found if found and all(df is not None for df in found) else None
+
+    def from_stored(name: str) -> bool:
+        need = reports[name].reads
+        return bool(need) and all(n in todo or _stored(spark, f"{out_root}/{n}") is not None for n in need)
+
+    columns = {c for n in todo if not from_stored(n) for c in reports[n].fact_columns or ()}
+    w = workload
+    if columns and workload.stored_fact is None:
+        w = workload.with_stored_fact(spark, columns)
+    try:
+        for name in todo:
+            given = inputs(name)
+            # monthly_customer and payment_summary carry their presentation
+            # order already (a range-partitioned sort): files are written in it.
+            df = reports[name].build(w) if given is None else reports[name].from_stored(*given)
+            if database is None:
+                write_report(df, paths[name], mode=mode_of[name])
+            else:
+                save_table(df, f"{database}.{name}", mode=mode_of[name], path=paths[name])
+    finally:
+        if w is not workload:
+            remove(spark, w.stored_path)
+    return paths

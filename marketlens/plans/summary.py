@@ -40,6 +40,7 @@ Reviews are always joined: they set the grain.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -187,9 +188,16 @@ def order_side_keys(t: MarketTables, need: set[str]) -> DataFrame:
 
 
 def build_summary(
-    t: MarketTables, columns: Iterable[str] | None = None
+    t: MarketTables, columns: Iterable[str] | None = None, dedupe_reviews: bool = False
 ) -> DataFrame:
-    """The fact with ``columns`` (default: all 23, in the original order)."""
+    """The fact with ``columns`` (default: all 23, in the original order).
+
+    ``dedupe_reviews`` keeps one row per item: of an order's reviews the one
+    with the lowest score (NULL last).
+    """
+    if dedupe_reviews:
+        one = t.reviews.groupBy("order_id").agg(F.min("review_score").alias("review_score"))
+        t = replace(t, reviews=one)
     cols = list(columns) if columns is not None else list(SUMMARY_COLUMNS)
     unknown = set(cols) - set(SUMMARY_COLUMNS)
     if unknown:

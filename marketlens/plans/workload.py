@@ -9,6 +9,7 @@ reports.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,7 @@ class Workload:
     tables: MarketTables
     params: ReportParams = ReportParams()
     stored_fact: DataFrame | None = None
+    stored_path: str | None = None
 
     def fact(self, *columns: str, weighted: bool = True) -> DataFrame:
         cols = list(columns) if columns else list(SUMMARY_COLUMNS)
@@ -47,15 +49,21 @@ class Workload:
         fact = join_dimensions(self.tables, self.stored_fact, dims)
         return fact.select(*out)
 
-    def with_stored_fact(self, spark: SparkSession) -> Workload:
-        """Materialise the fact once below ``spark.checkpoint.dir``.
+    def with_stored_fact(self, spark: SparkSession, columns: Iterable[str] | None = None) -> Workload:
+        """Materialise the fact once below ``spark.checkpoint.dir``, with
+        ``columns`` (default: all); ``stored_path`` says where.
 
         Product and seller attributes are left out: reports attach them after
         aggregating, so materialising never joins a dimension at item grain.
         """
-        cols = [c for c in SUMMARY_COLUMNS if c not in PRODUCT_COLS | SELLER_COLS]
-        stored = materialize(spark, build_fact(self.tables, cols), "fact")
-        return replace(self, stored_fact=stored)
+        need = set(SUMMARY_COLUMNS if columns is None else columns)
+        if need & PRODUCT_COLS:
+            need.add("product_id")
+        if need & SELLER_COLS:
+            need.add("seller_id")
+        cols = [c for c in SUMMARY_COLUMNS if c in need - PRODUCT_COLS - SELLER_COLS]
+        stored, path = materialize(spark, build_fact(self.tables, cols), "fact")
+        return replace(self, stored_fact=stored, stored_path=path)
 
     def register_views(self, prefix: str = "") -> None:
         """CREATE VIEW: expose the base tables under their export names and

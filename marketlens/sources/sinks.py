@@ -57,16 +57,18 @@ def save_table(
     writer.saveAsTable(name)
 
 
-def materialize(
-    spark: SparkSession,
-    df: DataFrame,
-    name: str,
-) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
+def materialize(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it back; also its path.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing
     the joins) and lets many readers share one computation.
     """
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a materialised table, on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

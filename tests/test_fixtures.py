@@ -99,6 +99,7 @@ def test_f8_review_fan_out(spark):
     )
     s = build_summary(t)
     assert s.count() == 2
+    assert [r["review_score"] for r in rows(build_summary(t, dedupe_reviews=True))] == [1]
     assert build_fact(t).agg({"w": "sum"}).first()[0] == 2
     assert rows(C.avg_rating(build_fact(t, ["purchase_date", "review_score"]))) == [
         {"date_year": 2017, "avg_rating": 3.0}

@@ -92,6 +92,12 @@ def test_modal_row_random(spark):
         assert got[k] == want
 
 
+def test_modal_row_ties_by_chosen_columns(spark):
+    df = spark.createDataFrame([("k", 1, "z"), ("k", 2, "a")], "k string, a int, b string")
+    assert tuple(modal_row(df, "k", ["a", "b"]).first()) == ("k", 1, "z")
+    assert tuple(modal_row(df, "k", ["a", "b"], tie_cols=["b"]).first()) == ("k", 2, "a")
+
+
 def test_mode_value_smallest_on_tie(spark):
     df = spark.createDataFrame([(1, 3), (1, 3), (1, 2), (1, 2), (1, 9)], "g int, v int")
     assert mode_value(df, "g", "v", "m").first().m == 2

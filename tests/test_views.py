@@ -62,6 +62,38 @@ def test_run_reports_writes_every_table(spark):
         assert os.path.isdir(path), name
     monthly = spark.read.parquet(written["monthly_customer"])
     assert monthly.count() == all_reports()["monthly_customer"].build(w).count()
+    fact_files = os.path.join(spark.conf.get("spark.checkpoint.dir"), "marketlens", spark.sparkContext.applicationId)
+    before = set(os.listdir(fact_files)) if os.path.isdir(fact_files) else set()
     # CREATE TABLE IF NOT EXISTS semantics: a second run in "ignore" mode keeps the files
     again = run_reports(spark, w, out, names=["payment_summary"], mode="ignore")
     assert again == {"payment_summary": written["payment_summary"]}
+    # Reports of reports read what is stored, even if it is stale, and no fact is written for them.
+    stale = spark.createDataFrame([("x", 1, 1, 1, 1), ("y", 3, 1, 1, 1)], spark.read.parquet(written["payment_summary"]).schema)
+    stale.write.mode("overwrite").parquet(written["payment_summary"])
+    run_reports(spark, w, out, names=["payment_percentage", "payment_summary", "top_summary"], modes={"payment_summary": "ignore"})
+    shares = {r[0]: r["percentage"] for r in spark.read.parquet(written["payment_percentage"]).collect()}
+    assert shares == {"x": 25.0, "y": 75.0}
+    want = sorted(map(tuple, all_reports()["top_summary"].build(w).collect()))
+    assert sorted(map(tuple, spark.read.parquet(written["top_summary"]).collect())) == want
+    assert (set(os.listdir(fact_files)) if os.path.isdir(fact_files) else set()) == before
+
+
+def test_run_reports_as_catalog_tables(spark):
+    import tempfile
+    import uuid
+
+    import pytest
+
+    from marketlens.plans.runner import run_reports, script_modes
+
+    out, db = tempfile.mkdtemp(prefix="marketlens-run-"), f"m{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE DATABASE {db}")
+    w = Workload(from_tpch(spark, SF_DIR), ADAPTER_PARAMS)
+    names = ["geolocation_dataset", "payment_summary"]
+    run_reports(spark, w, out, names=names, modes=script_modes(), database=db)
+    n = spark.table(f"{db}.payment_summary").count()
+    assert n == all_reports()["payment_summary"].build(w).count()
+    run_reports(spark, w, out, names=["payment_summary"], modes=script_modes(), database=db)  # kept
+    with pytest.raises(Exception):
+        run_reports(spark, w, out, names=["geolocation_dataset"], modes=script_modes(), database=db)
+    spark.sql(f"DROP DATABASE {db} CASCADE")
