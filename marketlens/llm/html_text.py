@@ -3,19 +3,24 @@
 1. Every page is read into a tolerant tree of elements (comments, scripts,
    styles and the head are no content). A node's *place* is its path of tags
    with their class and id words (digits ignored), so the same-host pages
-   merge into one tree of places: the site style tree. Per place a page
-   contributes its presentation (the sequence of child tags) and its content
-   (the hash of the text below it), once each.
-2. Spark counts, per host and place, the pages m that have it and how often
-   each presentation and each content occurs: grouped sums that are combined
-   before the shuffle, so a host with a third of all pages is a few rows a
-   task. With shares p of a place's presentations or contents, entropy in base
-   m is -sum p log p / log m: 0 if all pages show the same, 1 if all differ.
-   A place's importance is the larger of both entropies.
-3. Places of low importance are noise of the site: a branch is removed from a
-   page if its place has ``min_pages`` pages or more on the host and an
-   importance below ``threshold``. A page joins only the noisy places that it
-   has itself, so no host's tree is ever gathered.
+   merge into one tree of places: the site style tree. Every node with text
+   below it has a look, the hash of its presentation (the sequence of child
+   tags) and its content (the text below it, without template elements). Per
+   place a page contributes each look it has there, once.
+2. Spark counts, per host and place, the pages m that have it and the pages c
+   that show each look: grouped sums that are combined before the shuffle, so
+   a host with a third of all pages is a few rows a task. With shares p of a
+   place's looks, entropy in base m is -sum p log p / log m: 0 if all pages
+   show the same, 1 if all differ. A look's own importance is this entropy if
+   the other pages all differed: with q = c / m,
+   (-q log q + (1 - q) log m) / log m.
+3. Looks of low importance are noise of the site: a node is removed from a
+   page if its place has ``min_pages`` pages or more on the host, and either
+   its look's own importance is below ``threshold``, or the entropy of its place
+   is (a few variants) and ``min_pages`` pages show its look. Other nodes of the
+   place stay. Inline elements amid text of their parent are part of its
+   sentence and stay. A page joins only the noisy looks that it has itself, so
+   no host's tree is ever gathered.
 4. What a template always is, whatever the evidence (a host may have one page):
    navigation, header, footer, aside, form, script, style and similar elements,
    and elements whose class, id or role says menu, sidebar, advert, notice,
@@ -155,14 +160,6 @@ def is_template(node: Node) -> bool:
     return node.tag in NOISE_TAGS or (node.tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(node.words))
 
 
-def _all(node: Node) -> Iterator[Node]:
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        yield n
-        stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
-
-
 def main_nodes(root: Node) -> list[Node]:
     """The outermost article elements outside template elements, else main, else all."""
     for tag in ("article", "main"):
@@ -178,39 +175,46 @@ def main_nodes(root: Node) -> list[Node]:
     return [root]
 
 
-def _text(node: Node) -> str:
-    parts, stack = [], [node]
-    while stack:
-        n = stack.pop()
-        if isinstance(n, str):
-            parts.append(n)
-        else:
-            stack.extend(reversed(n.children))
-    return _SPACE.sub(" ", " ".join(parts)).strip()
-
-
 def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def style_rows(root: Node) -> list[tuple[str, int, int]]:
-    """(place, presentation, content) of the places below the main nodes that
-    rules do not decide: the first node of each place speaks for the page."""
-    out: dict[str, tuple[int, int]] = {}
-    for main in main_nodes(root):
-        stack = [c for c in main.children if isinstance(c, Node)]
-        while stack:
-            n = stack.pop()
-            if is_template(n):
-                continue
-            inner = [c for c in n.children if isinstance(c, Node)]
-            stack.extend(inner)
-            if n.place not in out:
-                out[n.place] = (_number(">".join(c.tag for c in inner)), _number(_text(n)))
-    return [(place, *both) for place, both in out.items()]
+def looks(main: Node) -> dict[Node, int]:
+    """The look of every node from ``main`` down that has text below it, without
+    template elements."""
+    order, stack = [], [main]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(c for c in n.children if isinstance(c, Node) and not is_template(c))
+    out: dict[Node, int] = {}
+    for n in reversed(order):  # children come before their parents
+        tags, parts = [], []
+        for c in n.children:
+            if isinstance(c, Node):
+                tags.append(c.tag)
+                if c in out:
+                    parts.append(f"<{out[c]}>")
+            elif not c.isspace():
+                parts.append(_SPACE.sub(" ", c).strip())
+        if parts:
+            out[n] = _number("\n".join([">".join(tags), *parts]))
+    return out
 
 
-def blocks(root: Node, noisy: frozenset[str]) -> list[str]:
+def style_nodes(main: Node, host: str | None) -> Iterator[tuple[Node, int, int]]:
+    """(node, place, look at this place) of the nodes below ``main`` that the
+    style tree decides."""
+    keys: dict[str, int] = {}
+    for n, look in looks(main).items():
+        if n is main or (n.tag not in BLOCK and any(isinstance(c, str) and not c.isspace() for c in n.parent.children)):
+            continue
+        if n.place not in keys:
+            keys[n.place] = place_key(host, n.place)
+        yield n, keys[n.place], _number(f"{keys[n.place]} {look}")
+
+
+def blocks(root: Node, noisy: set[Node]) -> list[str]:
     """The texts of the blocks that remain, in page order."""
     out: list[str] = []
     line: list[str] = []
@@ -232,7 +236,7 @@ def blocks(root: Node, noisy: frozenset[str]) -> list[str]:
                 line.append(n)
             elif n.tag == "br":
                 line.append(" ")
-            elif n is main or not (is_template(n) or n.place in noisy):
+            elif n is main or not (is_template(n) or n in noisy):
                 if n.tag in BLOCK:
                     end_block()
                     stack.append(None)
@@ -247,14 +251,12 @@ def place_key(host: str | None, place: str) -> int:
 
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple[int, int, int, int]] = []
+        rows: list[tuple[int, int, int]] = []
         for key, host, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for place, shape, content in style_rows(parse(source)) if source else ():
-                rows.append((key, place_key(host, place), shape, content))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], names=["page", "place", "shape", "content"]
-        )
+            mains = main_nodes(parse(source)) if source else []
+            rows += {(key, place, look) for main in mains for _, place, look in style_nodes(main, host)}
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["page", "place", "look"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,20 +268,26 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             root = parse(source)
             low = set(noisy or ())
-            names = frozenset(n.place for n in _all(root) if place_key(host, n.place) in low) if low else frozenset()
-            texts.append("\n".join(blocks(root, names)))
+            mains = main_nodes(root) if low else []
+            texts.append("\n".join(blocks(root, {n for main in mains for n, _, look in style_nodes(main, host) if look in low})))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
         )
 
 
-def _entropy(rows: DataFrame, feature: str) -> DataFrame:
-    """(place, m, entropy in base m) of one feature of every place."""
-    counted = rows.groupBy("place", feature).agg(F.count("*").alias("c"))
-    sums = counted.groupBy("place").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
-    return sums.select("place", "m", entropy.alias(f"{feature}_entropy"))
+def _noise(styles: DataFrame, threshold: float, min_pages: int) -> DataFrame:
+    """The looks of low importance."""
+    shown = styles.select("place", "look", "page").distinct()
+    counted = shown.groupBy("place", "look").agg(F.count("*").alias("c"))
+    pages = styles.select("place", "page").distinct().groupBy("place").agg(F.count("*").alias("m"))
+    sums = counted.groupBy("place").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    places = pages.where(F.col("m") >= min_pages).join(sums, "place")
+    entropy = (F.log("n") - F.col("s") / F.col("n")) / F.log("m")
+    share = F.col("c") / F.col("m")
+    own = (-share * F.log(share) + (1 - share) * F.log("m")) / F.log("m")
+    low = (own < threshold) | ((entropy < threshold) & (F.col("c") >= min_pages))
+    return counted.where("c > 1").join(places, "place").where(low).select("look")
 
 
 def extract_text(
@@ -297,14 +305,11 @@ def extract_text(
         F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), source.alias("html")
     ).withColumn("page", F.xxhash64("url", "html"))
     styles = written(
-        narrow.select("page", "host", "html").mapInArrow(_styles, "page long, place long, shape long, content long"),
+        narrow.select("page", "host", "html").mapInArrow(_styles, "page long, place long, look long"),
         "styles",
     )
-    importance = _entropy(styles, "shape").join(_entropy(styles, "content").drop("m"), "place")
-    low = importance.where(
-        (F.col("m") >= min_pages) & (F.greatest("shape_entropy", "content_entropy") < threshold)
-    ).select("place")
-    noisy = styles.select("page", "place").join(low, "place").groupBy("page").agg(F.collect_set("place").alias("noisy"))
+    low = _noise(styles, threshold, min_pages)
+    noisy = styles.select("page", "look").join(low, "look").groupBy("page").agg(F.collect_set("look").alias("noisy"))
     return (
         narrow.join(noisy, "page", "left")
         .select("page_id", "url", "host", "html", "noisy")

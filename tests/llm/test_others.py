@@ -61,6 +61,21 @@ def test_site_style_tree_removes_what_a_host_repeats(spark):
     assert collections.Counter(r.page_id for r in twice) == {i: 2 for i, *_ in rows}
 
 
+def test_common_paragraph_leaves_the_others_of_its_place(spark):
+    page = "<article><h1>t{0}</h1><p>first {0}</p><p>see <a>here</a> for {0}</p>{1}</article>"
+    last = "<p>All rights reserved</p>"
+    rows = [(i, f"http://a.org/{i}", page.format(i, last)) for i in range(12)]
+    rows += [(100 + i, f"http://b.org/{i}", page.format(i, last if i < 85 else "")) for i in range(100)]
+    rows += [(300 + i, f"http://c.org/{i}", page.format(i, last if i < 6 else "")) for i in range(12)]  # half: no template
+    rows += [(400 + i, f"http://d.org/{i}", page.format(i, last) + f"<article>{last}<p>x{i}</p></article>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: f"t{i}\nfirst {i}\nsee here for {i}"
+    for i in range(12):
+        assert got[i] == own(i) and got[400 + i] == own(i) + f"\nx{i}"
+        assert got[300 + i] == own(i) + "\nAll rights reserved" * (i < 6)
+    assert all(got[100 + i] == own(i) for i in range(100))
+
+
 # --- conversations ----------------------------------------------------------
 
 
