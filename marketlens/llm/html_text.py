@@ -6,18 +6,19 @@
    merge into one tree of places: the site style tree. Every node with text
    below it has a look, the hash of its presentation (the sequence of child
    tags) and its content (the text below it, without template elements). Per
-   place a page contributes each look it has there, once.
-2. Spark counts, per host and place, the pages m that have it and the pages c
-   that show each look: grouped sums that are combined before the shuffle, so
-   a host with a third of all pages is a few rows a task. With shares p of a
-   place's looks, entropy in base m is -sum p log p / log m: 0 if all pages
-   show the same, 1 if all differ. A look's own importance is this entropy if
-   the other pages all differed: with q = c / m,
+   place an article contributes each look it has there, once: pages of a host
+   with the same main nodes (their looks) are copies, one article between them.
+2. Spark counts, per host and place, the articles m that have it and the articles
+   c that show each look: grouped sums that are combined before the shuffle, so
+   a host with a third of all pages, or a group of copies, is a few rows a task.
+   With shares p of a place's looks, entropy in base m is -sum p log p / log m:
+   0 if all articles show the same, 1 if all differ. A look's own importance is
+   this entropy if the other articles all differed: with q = c / m,
    (-q log q + (1 - q) log m) / log m.
 3. Looks of low importance are noise of the site: a node is removed from a
-   page if its place has ``min_pages`` pages or more on the host, and either
+   page if its place has ``min_pages`` articles or more on the host, and either
    its look's own importance is below ``threshold``, or the entropy of its place
-   is (a few variants) and ``min_pages`` pages show its look. Other nodes of the
+   is (a few variants) and ``min_pages`` articles show its look. Other nodes of the
    place stay. Inline elements amid text of their parent are part of its
    sentence and stay. A page joins only the noisy looks that it has itself, so
    no host's tree is ever gathered.
@@ -202,11 +203,11 @@ def looks(main: Node) -> dict[Node, int]:
     return out
 
 
-def style_nodes(main: Node, host: str | None) -> Iterator[tuple[Node, int, int]]:
+def style_nodes(main: Node, found: dict[Node, int], host: str | None) -> Iterator[tuple[Node, int, int]]:
     """(node, place, look at this place) of the nodes below ``main`` that the
-    style tree decides."""
+    style tree decides, from the looks ``found``."""
     keys: dict[str, int] = {}
-    for n, look in looks(main).items():
+    for n, look in found.items():
         if n is main or (n.tag not in BLOCK and any(isinstance(c, str) and not c.isspace() for c in n.parent.children)):
             continue
         if n.place not in keys:
@@ -251,12 +252,15 @@ def place_key(host: str | None, place: str) -> int:
 
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, int, int, int]] = []
         for key, host, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            mains = main_nodes(parse(source)) if source else []
-            rows += {(key, place, look) for main in mains for _, place, look in style_nodes(main, host)}
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["page", "place", "look"])
+            mains = [(main, looks(main)) for main in main_nodes(parse(source))] if source else []
+            article = _number(" ".join(str(found.get(main)) for main, found in mains))
+            rows += {(key, article, place, look) for both in mains for _, place, look in style_nodes(*both, host)}
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in columns], names=["page", "article", "place", "look"]
+        )
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +273,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = parse(source)
             low = set(noisy or ())
             mains = main_nodes(root) if low else []
-            texts.append("\n".join(blocks(root, {n for main in mains for n, _, look in style_nodes(main, host) if look in low})))
+            texts.append("\n".join(blocks(root, {n for main in mains for n, _, look in style_nodes(main, looks(main), host) if look in low})))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -278,11 +282,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _noise(styles: DataFrame, threshold: float, min_pages: int) -> DataFrame:
     """The looks of low importance."""
-    shown = styles.select("place", "look", "page").distinct()
+    shown = styles.select("place", "look", "article").distinct()
     counted = shown.groupBy("place", "look").agg(F.count("*").alias("c"))
-    pages = styles.select("place", "page").distinct().groupBy("place").agg(F.count("*").alias("m"))
+    articles = styles.select("place", "article").distinct().groupBy("place").agg(F.count("*").alias("m"))
     sums = counted.groupBy("place").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    places = pages.where(F.col("m") >= min_pages).join(sums, "place")
+    places = articles.where(F.col("m") >= min_pages).join(sums, "place")
     entropy = (F.log("n") - F.col("s") / F.col("n")) / F.log("m")
     share = F.col("c") / F.col("m")
     own = (-share * F.log(share) + (1 - share) * F.log("m")) / F.log("m")
@@ -305,11 +309,12 @@ def extract_text(
         F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), source.alias("html")
     ).withColumn("page", F.xxhash64("url", "html"))
     styles = written(
-        narrow.select("page", "host", "html").mapInArrow(_styles, "page long, place long, look long"),
+        narrow.select("page", "host", "html").mapInArrow(_styles, "page long, article long, place long, look long"),
         "styles",
     )
     low = _noise(styles, threshold, min_pages)
     noisy = styles.select("page", "look").join(low, "look").groupBy("page").agg(F.collect_set("look").alias("noisy"))
+    noisy = written(noisy, "noisy")  # of known size: where it is small, the pages are not shuffled
     return (
         narrow.join(noisy, "page", "left")
         .select("page_id", "url", "host", "html", "noisy")

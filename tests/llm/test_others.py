@@ -76,6 +76,17 @@ def test_common_paragraph_leaves_the_others_of_its_place(spark):
     assert all(got[100 + i] == own(i) for i in range(100))
 
 
+def test_copies_of_a_page_are_one_article(spark):
+    page = "<nav>{0}</nav><article><h1>t{1}</h1><p>first {1}</p><div><p>second {1}</p></div></article>"
+    rows = [(i, f"http://a.org/{i}", page.format(i, "same")) for i in range(12)]
+    rows += [(20 + i, "http://b.org/1", page.format(0, "same")) for i in range(12)]
+    rows += [(100 + i, f"http://c.org/{i}", page.format(i, "same" if i < 300 else i)) for i in range(320)]
+    text = lambda i: f"t{i}\nfirst {i}\nsecond {i}"
+    want = {i: text("same" if i < 400 else i - 100) for i, *_ in rows}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract_text(pages).collect()} == want
+
+
 # --- conversations ----------------------------------------------------------
 
 
