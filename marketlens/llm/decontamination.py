@@ -5,9 +5,9 @@ Texts are word sequences (lower-cased). A shingle is a run of ``ngram`` words;
 its weight is the number of the bytes of its words.
 
 * Every benchmark item belongs to the class of the largest window length L of a
-  fixed ladder (factor 1.5) with L + stride(L) - 1 <= its clean run: the whole
-  item up to 48 words; beyond, the words in a row that must be unchanged in a
-  passage that reaches the threshold (a changed word takes ``ngram`` shingles).
+  fixed ladder (factor 1.5) with L + stride(L) - 1 <= its clean run: the words
+  in a row that must be unchanged in a passage that reaches the threshold, from
+  the weights of the item's own lightest shingles.
   All its windows of L words get a 64-bit SimHash of their weighted shingles.
 * Every document is cut into windows of each class's length at the class's
   stride, over the whole text, so an occurrence of an item always holds a
@@ -17,9 +17,10 @@ its weight is the number of the bytes of its words.
   fingerprints within ``radius`` bits have a block within radius // 4 bits, so
   a table of every block value within that distance finds *all* item windows
   within the radius. Nothing is sampled and no bucket is capped.
-* A candidate says where the item would begin. The item and the words there
-  are compared exactly: weight of common shingles over weight of all shingles
-  (multisets), a hit at ``threshold`` or more.
+* A candidate says where the item would begin; words inserted or deleted move
+  that by as many words as the threshold allows, so all these places count.
+  The item and the words there are compared exactly: weight of common shingles
+  over weight of all shingles (multisets), a hit at ``threshold`` or more.
 
 The benchmark is shipped to the tasks in parts of about ``part_words`` words
 (parts are dealt by a hash and counted first, so the size shipped at once is
@@ -62,22 +63,47 @@ def _stride(length: int) -> int:
     return max(1, length // 6)
 
 
-def clean_run(n: int, ngram: int, threshold: float) -> int:
-    """Words in a row that an occurrence of an item of n words has unchanged: a
-    changed word takes ``ngram`` shingles, and the threshold allows so many of
-    them; the longest run between is this long at least."""
-    shingles = n - ngram + 1
-    changed = int(shingles * (1 - threshold) / (1 + threshold) / ngram)
-    return (n - changed) // (changed + 1)
-
-
-def window_length(n: int, ngram: int, threshold: float = 0.8) -> int:
-    """The class of an item of n words: its clean run up to 12, then the ladder."""
-    if n < ngram:
+def clean_run(sizes: np.ndarray, ngram: int, threshold: float) -> int:
+    """Words in a row that an occurrence of an item with words of these sizes has
+    unchanged: the longest run that no changes within the threshold can break.
+
+    Similarity is at least t if the lost weight and t times the new weight are
+    within 1 - t of the item's weight. A change inside the item takes all
+    shingles across it, and those across it on the other side are new; a word
+    lost besides takes the lightest shingle at least."""
+    weights = _weights(sizes, ngram)
+    budget, lightest = (1 - threshold) * int(weights.sum()) + 1e-6, int(weights.min())
+    n, beside = len(sizes), np.arange(ngram - 1, 0, -1)
+    most, least = 0, 0.0
+    if n >= 2 * ngram - 1:
+        # The words before and after a place; the nearest one counts most.
+        left = np.convolve(sizes, beside, "valid")
+        right = np.convolve(sizes, beside[::-1], "valid")
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        least = np.inf
+        for removed in range(ngram + 1):
+            at = np.arange(ngram - 1, n - ngram + 2 - removed)
+            if len(at):
+                cost = (1 + threshold) * (left[at - ngram + 1] + right[at + removed])
+                least = min(least, float((cost + ngram * (total[at + removed] - total[at])).min()))
+        most = int(budget / least)
+    return min((n - c - int((budget - c * least) / lightest)) // (c + 1) for c in range(most + 1))
+
+
+def most_shift(weights: np.ndarray, threshold: float) -> int:
+    """Words by which insertions or deletions can move a part of an item within
+    the threshold: a move by s words takes s shingles at least."""
+    return int(np.searchsorted(np.cumsum(np.sort(weights)), (1 - threshold) * int(weights.sum()) + 1e-6, "right"))
+
+
+def window_length(sizes: np.ndarray, ngram: int, threshold: float = 0.8) -> int:
+    """The class of an item with words of these sizes: its clean run up to 11
+    (at every place of a text), then the ladder."""
+    if len(sizes) < ngram:
         return 0
-    n = clean_run(n, ngram, threshold)
+    n = clean_run(sizes, ngram, threshold)
     if n <= 12:
-        return max(n, ngram)
+        return max(min(n, 11), ngram)
     best, length = 12, 12
     while length + _stride(length) - 1 <= n:
         best, length = length, length * 3 // 2
@@ -164,6 +190,31 @@ def similarity(a: Counter, b: Counter) -> float:
     return common / (sum(a.values()) + sum(b.values()) - common)
 
 
+def best_place(
+    bag: Counter, shingles: np.ndarray, weights: np.ndarray, ngram: int, size: int, begins: range, first: int, end: int
+) -> tuple[float, int]:
+    """(similarity, begin) of the ``size`` words most similar to the item of
+    ``bag`` that begin in ``begins``, cut to the text from ``first`` to ``end``."""
+    have: Counter = Counter()
+    of_item, here, common = sum(bag.values()), 0, 0
+    left = right = max(first, begins[0])
+    best = (-1.0, 0)
+    for begin in begins:
+        lo, hi = max(first, begin), min(begin + size, end)
+        while right < hi - ngram + 1:
+            s, w = int(shingles[right]), int(weights[right])
+            common += min(bag[s], have[s] + w) - min(bag[s], have[s])
+            have[s] += w
+            here, right = here + w, right + 1
+        while left < min(lo, right):
+            s, w = int(shingles[left]), int(weights[left])
+            common -= min(bag[s], have[s]) - min(bag[s], have[s] - w)
+            have[s] -= w
+            here, left = here - w, left + 1
+        best = max(best, (common / (of_item + here - common), -begin))
+    return best[0], -best[1]
+
+
 class ItemIndex:
     """The classes, fingerprints and shingles of one part of the benchmark."""
 
@@ -173,13 +224,13 @@ class ItemIndex:
         for i, (item_id, _) in enumerate(items):
             own = slice(table.starts[i], table.starts[i + 1])
             n = own.stop - own.start
-            length = window_length(n, ngram, threshold)
+            length = window_length(table.sizes[own], ngram, threshold)
             if not length:
                 continue
             shingles, weights = shingle_hashes(table.hashes[own], ngram), _weights(table.sizes[own], ngram)
             prints = _fingerprints(_votes(shingles, weights), length - ngram + 1, 1)
             classes.setdefault(length, []).append((len(self.items), prints))
-            self.items.append((item_id, n, _bag(shingles, weights)))
+            self.items.append((item_id, n, _bag(shingles, weights), most_shift(weights, threshold)))
         self.classes = {}
         for length, parts in classes.items():
             of = np.concatenate([np.full(len(p), i) for i, p in parts])
@@ -213,11 +264,20 @@ class ItemIndex:
                 if (text, item, begin) in seen:
                     continue
                 seen.add((text, item, begin))
-                item_id, size, bag = self.items[item]
+                item_id, size, bag, shift = self.items[item]
                 first, end = int(table.starts[text]), int(table.starts[text + 1])
                 lo, hi = max(first, begin), min(begin + size, end)
                 here = slice(lo, max(lo, hi - n + 1))
                 value = similarity(bag, _bag(shingles[here], weights[here]))
+                # Moved by up to ``shift`` words it has no more than these shingles besides.
+                both = int(weights[here].sum()) + sum(bag.values())
+                before, after = slice(max(first, begin - shift), lo), slice(here.stop, max(here.stop, min(hi + shift, end) - n + 1))
+                most = value / (1 + value) * both + max(int(weights[before].sum()), int(weights[after].sum()))
+                if value < 1 and most >= threshold * sum(bag.values()) - 1e-6:
+                    places = range(max(begin - shift, first - size + n), min(begin + shift, end - n) + 1)
+                    moved, at = best_place(bag, shingles, weights, n, size, places, first, end) if len(places) else (0.0, 0)
+                    if moved > value:
+                        value, lo, hi = moved, max(first, at), min(at + size, end)
                 if value >= threshold:
                     out[text].append(
                         {"item_id": item_id, "start": lo - first, "stop": hi - first, "similarity": value}

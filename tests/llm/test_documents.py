@@ -180,6 +180,31 @@ def test_edited_passages_and_parts(spark, odd, nothing):
     assert decontamination.decontaminate(docs, bench.where("1 = 0")).count() == len(texts)
 
 
+def test_single_edits_of_short_items_equal_brute_force():
+    rng = np.random.default_rng(3)
+    words = ["a", "of", "to", "in", "the", "and", "house", "windows", "extraordinary", "characterisation"]
+    bag = lambda w: collections.Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)])
+    weight = lambda c: sum(k * sum(map(len, s)) for s, k in c.items())
+    fill = [f"fill{i}" for i in range(60)]
+    found = 0
+    for n in [*range(8, 49, 2), 70]:
+        for kind in range(4):
+            item = [words[i] + "xyz"[j] * int(i > 2) for i, j in zip(rng.integers(0, 10, n), rng.integers(0, 3, n), strict=True)]
+            index = decontamination.ItemIndex([(1, " ".join(item))], 5, 11)
+            texts, want = [], []
+            for at in range(n):
+                edited = [*item[:at], *([["q"], ["q", item[at]], [], [item[at]]][kind]), *item[at + 1 :]]
+                text = [*fill[: 20 + at % 7], *edited, *fill[30:]]
+                places = [bag(text[i : i + n]) for i in range(len(text) - n + 1)]
+                best = max(weight(bag(item) & b) / weight(bag(item) | b) for b in places)
+                texts.append(" ".join(text))
+                want.append(best if best >= 0.8 else 0)
+            got = [max((h["similarity"] for h in hits), default=0) for hits in index.hits(texts, 0.8)]
+            assert got == pytest.approx(want)
+            found += np.count_nonzero(want)
+    assert found > 500
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     stored = rng.integers(0, 2**63, 300, dtype=np.uint64)
