@@ -25,7 +25,9 @@
 4. What a template always is, whatever the evidence (a host may have one page):
    navigation, header, footer, aside, form, script, style and similar elements,
    and elements whose class, id or role says menu, sidebar, advert, notice,
-   cookie, comment and the like. Where a page has article (or else main)
+   cookie, comment and the like. Inside article or main, ids are often slugs of
+   titles: there the id of a heading or paragraph says nothing, and that of a
+   section only if all its words are such words. Where a page has article (or else main)
    elements, text outside them is not content.
 
 Blocks are joined by one line break in page order; white space inside a block
@@ -88,16 +90,21 @@ _MARKUP = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HEADINGS_AND_P = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME_WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "place", "children", "parent")
+    __slots__ = ("tag", "words", "ruled", "place", "children", "parent", "inside")
 
-    def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None):
+    def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None, ids: frozenset[str] = frozenset()):
+        """``ids``: the words that only the id has."""
         self.tag, self.words, self.parent = tag, words, parent
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        slug = self.inside and (tag in HEADINGS_AND_P or (tag == "section" and not ids <= NOISE_WORDS))
+        self.ruled = tuple(w for w in words if w not in ids) if slug else words  # the words that rules read
         own = f"{tag}.{'.'.join(words)}" if words else tag
         self.place = f"{parent.place}/{own}" if parent else own
         self.children: list[Node | str] = []
@@ -139,11 +146,14 @@ def parse(source: str) -> Node:
                 node = node.parent
             if node.tag in CLOSES[tag]:
                 here = node.parent
-        words = ()
+        words, ids = (), frozenset()
         if "=" in rest:
-            names = " ".join(x[2] or x[3] or x[4] or "" for x in _ATTRIBUTE.finditer(rest)).lower()
-            words = tuple(sorted(set(_NAME_WORDS.findall(names))))
-        node = Node(tag, words, here)
+            names, slugs = set(), set()
+            for x in _ATTRIBUTE.finditer(rest):
+                own = slugs if x[1].lower() == "id" else names
+                own.update(_NAME_WORDS.findall((x[2] or x[3] or x[4] or "").lower()))
+            words, ids = tuple(sorted(names | slugs)), frozenset(slugs - names)
+        node = Node(tag, words, here, ids)
         if tag in VOID or rest.endswith("/"):
             continue
         if tag in RAW:
@@ -158,7 +168,7 @@ def parse(source: str) -> Node:
 
 
 def is_template(node: Node) -> bool:
-    return node.tag in NOISE_TAGS or (node.tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(node.words))
+    return node.tag in NOISE_TAGS or (node.tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(node.ruled))
 
 
 def main_nodes(root: Node) -> list[Node]:

@@ -76,6 +76,16 @@ def test_common_paragraph_leaves_the_others_of_its_place(spark):
     assert all(got[100 + i] == own(i) for i in range(100))
 
 
+def test_title_slugs_are_no_template_words():
+    article = (
+        '<h2 id="related-work">Related work</h2><p id="share">p</p><section id="cookie-recipes">Dough</section>'
+        '<div data-id="search">d</div><section id="comments">c</section><h2 class="widget">w</h2><div id="ad-3">a</div>'
+    )
+    root = html_text.parse(f'<h2 id="search-results">out</h2><article>{article}</article>')
+    assert html_text.blocks(root, set()) == ["Related work", "p", "Dough", "d"]
+    assert html_text.blocks(html_text.parse('<h2 id="search">out</h2><p>in</p>'), set()) == ["in"]
+
+
 def test_copies_of_a_page_are_one_article(spark):
     page = "<nav>{0}</nav><article><h1>t{1}</h1><p>first {1}</p><div><p>second {1}</p></div></article>"
     rows = [(i, f"http://a.org/{i}", page.format(i, "same")) for i in range(12)]
