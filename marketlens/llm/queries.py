@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from marketlens.llm import (
     chat,
     decontamination,
+    hash_tree,
     html_text,
     jaccard_join,
     language_id,
     m_tree,
     packing,
+    periodic_runs,
     quality,
     secret_scan,
+    spelling,
     token_counts,
 )
 from marketlens.llm._shared import id_crc, read_table, ship_code
@@ -127,6 +130,61 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document in ten gets a repeating tail, as the contract says, before the scan."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = id_crc("doc_id")
+    n, g = F.greatest(F.size("w"), F.lit(1)), F.floor(h / 10)
+    period = 1 + F.floor((n - F.col("a")) / (3 + g % 8))
+    tail = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    altered = F.transform("w", lambda _, i: F.get("w", tail(i).cast("int")))
+    docs = (
+        docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all(F.col("text"), F.lit(periodic_runs.WORD), F.lit(0))))
+        .withColumn("a", g % n)
+        .withColumn("p", period)
+        .select("doc_id", F.when(F.col("w").isNotNull(), F.array_join(altered, " ")).otherwise(F.col("text")).alias("text"))
+    )
+    marked, names = periodic_runs.mark_runs(docs)
+    runs = F.col(names["runs"])
+    said = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return marked.withColumn("best", periodic_runs.strongest(runs)).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(said, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2(names["collapsed"], 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five regions of two racks of four shards; the law is ``key``."""
+    tree = hash_tree.even_tree(40)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = read_table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    placed = hash_tree.place(rows, tree, F.col("doc_id"), "shard")
+    placed = hash_tree.place(placed, tree.grown(), F.col("doc_id"), "grown_shard")
+    return hash_tree.shard_rows(placed, "shard").select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run of letters in 97 loses a code point, as the contract says, before the count."""
+    runs = spelling.runs_of_letters(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
+    at = (h % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
+    words = runs.select(F.when(h % 97 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling.variant_forms(spelling.word_counts(words))
+
+
 _QUERIES = (
     op1_decontaminate,
     op2_secrets,
@@ -138,6 +196,9 @@ _QUERIES = (
     op8_top_k,
     op9_jaccard_join,
     op10_token_counts,
+    op11_periodic_runs,
+    op12_hash_tree,
+    op13_spelling_variants,
 )
 
 
@@ -156,8 +217,138 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: shipped(q) for q in _QUERIES}
 
 
+def _crc_sql(text: str) -> str:
+    """crc32 of a text in SQL: the bits of the reversed polynomial, byte by byte."""
+    octets = f"[('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode({text})), '..')]"
+    shifted = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: {shifted}), 4294967295)"
+
+
+def _draw_sql(path: str) -> str:
+    """-ln(u) of a node: u from 52 bits of md5(id || path)."""
+    return f"-ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || {path}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_periodic_runs": rf"""
+            WITH hashed AS (
+              SELECT row_number() OVER () AS r, doc_id, {_crc_sql("coalesce(doc_id::VARCHAR, '')")} AS h,
+                     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+              FROM documents
+            ),
+            docs AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM hashed),
+            words AS (
+              SELECT r, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a
+                THEN a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) ELSE i END] AS word, n
+              FROM (SELECT *, unnest(range(n)) AS i FROM docs)
+            ),
+            pairs AS (
+              SELECT x.r, x.i, y.i - x.i AS q
+              FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+            ),
+            stretches AS (
+              SELECT r, q, min(i) AS start, count(*) + q AS length
+              FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs)
+              GROUP BY r, q, island
+              HAVING count(*) + q >= greatest(6, 4 * q)
+            ),
+            runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+            listed AS (
+              SELECT r, count(*) AS n_runs,
+                     string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+              FROM runs GROUP BY r
+            ),
+            best AS (
+              SELECT * FROM runs
+              QUALIFY row_number() OVER (PARTITION BY r ORDER BY length * 1.0 / period DESC, start, period) = 1
+            ),
+            dropped AS (
+              SELECT DISTINCT words.r, words.i
+              FROM words JOIN runs ON words.r = runs.r AND i >= start + period AND i < start + length
+            ),
+            kept AS (
+              SELECT r, string_agg(word, ' ' ORDER BY i) AS said
+              FROM words ANTI JOIN dropped USING (r, i) GROUP BY r
+            )
+            SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length,
+                   period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+                   sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(said, '')) AS collapsed_sha256
+            FROM docs LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+        """,
+        "op12_hash_tree": f"""
+            WITH rows AS (
+              SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
+                     {_crc_sql("coalesce(text, '')")}::BIGINT AS text_crc32
+              FROM documents
+            ),
+            regions AS (
+              SELECT *, list_transform(range(5), lambda i: {{'draw': {_draw_sql("'/' || i")} / 8, 'child': i}}) AS draws,
+                     {{'draw': {_draw_sql("'/5'")} / 1, 'child': 5}} AS added
+              FROM rows
+            ),
+            racks AS (
+              SELECT *, list_min(draws).child AS region, list_min(list_append(draws, added)).child AS grown_region FROM regions
+            ),
+            shards AS (
+              SELECT *, list_min(list_transform(range(2), lambda i: {{'draw': {_draw_sql("'/' || region || '/' || i")} / 4, 'child': i}})).child AS rack
+              FROM racks
+            ),
+            placed AS (
+              SELECT *, (8 * region + 4 * rack + list_min(list_transform(range(4), lambda i:
+                {{'draw': {_draw_sql("'/' || region || '/' || rack || '/' || i")}, 'child': i}})).child)::INTEGER AS shard
+              FROM shards
+            ),
+            grown AS (SELECT *, CASE WHEN grown_region = 5 THEN 40 ELSE shard END::INTEGER AS grown_shard FROM placed)
+            SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+                   row_number() OVER (PARTITION BY shard ORDER BY
+                     md5(coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32 || ':' || grown_shard)) - 1 AS slot,
+                   grown_shard
+            FROM grown
+        """,
+        "op13_spelling_variants": rf"""
+            WITH RECURSIVE runs AS (
+              SELECT coalesce(doc_id::VARCHAR, '') AS id,
+                     translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+                               '{spelling.CAPITALS}', '{spelling.SMALL}') AS run
+              FROM documents
+            ),
+            hashed AS (SELECT run, {_crc_sql("id || ':' || run")} AS h FROM runs),
+            said AS (
+              SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                     ELSE run END AS word
+              FROM hashed
+            ),
+            words AS (SELECT word, count(*) AS n FROM said WHERE length(word) >= 5 GROUP BY word HAVING count(*) >= 3),
+            holes AS (
+              SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail
+              FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+            ),
+            near AS (
+              SELECT a.word, b.word AS near, b.n AS near_n
+              FROM holes a JOIN holes b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+              UNION SELECT holes.word, words.word, words.n FROM holes JOIN words ON words.word = holes.head || holes.tail
+              UNION SELECT words.word, holes.word, holes.n FROM holes JOIN words ON words.word = holes.head || holes.tail
+            ),
+            best AS (
+              SELECT word, count(*) AS n_near, max(near_n) AS best_n,
+                     arg_min(near, {{'n': -near_n, 'near': encode(near)}}) AS near
+              FROM near GROUP BY word
+            ),
+            forms AS (
+              SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN near END AS form,
+                     CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+              FROM words LEFT JOIN best USING (word)
+            ),
+            chains(word, root) AS (
+              SELECT word, word FROM forms
+              UNION ALL
+              SELECT chains.word, forms.form FROM chains JOIN forms ON chains.root = forms.word WHERE forms.form IS NOT NULL
+            )
+            SELECT forms.word, forms.form, chains.root, forms.n, forms.n_near, forms.form_n
+            FROM forms JOIN chains USING (word) JOIN forms last ON last.word = chains.root
+            WHERE last.form IS NULL
+        """,
         "op8_top_k": """
             WITH usable AS (
               SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v
