@@ -22,11 +22,15 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
+import json
+import os
 import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,78 +40,65 @@ from pyspark.sql import functions as F
 
 from marketlens.llm._shared import written
 
-# A single space between two characters that are no white space begins a new
-# pre-token of the byte-level pattern, so ids on both sides are independent.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-
-_tokenizers: dict[str, object] = {}
-_known: dict[str, list[dict[str, bytes]]] = {}
+# White space longer than this in one run is left to the tokenizer's own file:
+# the pattern of the ranks looks ahead over the whole run on the stack.
+_LONG_BLANK = 10_000
+_blank = re.compile(rf"\s{{{_LONG_BLANK}}}")
 
 
+@cache
 def _tokenizer(name: str):
-    if name not in _tokenizers:
-        import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
 
-        import public_tokenizers
+@cache
+def _ranks(name: str):
+    """The byte-level vocabulary of ``name`` as merge ranks."""
+    import public_tokenizers
+    import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    with open(public_tokenizers.path(name), "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        _tokenizers[name] = Tokenizer.from_file(public_tokenizers.path(name))
-        _known[name] = [{}, {}]
-    return _tokenizers[name], _known[name]
 
+@cache
+def _special_strings(name: str) -> tuple[str, ...]:
+    import public_tokenizers
 
-def _units(text: str) -> list[str]:
-    """Parts of a text, all but the first led by one (removed) space."""
-    if not text:
-        return []
-    beside_white = text[0] == " " or text[-1] == " " or any(c in text and (" " + c in text or c + " " in text) for c in _OTHER)
-    if beside_white or "  " in text:
-        return _SAFE.split(text)
-    return text.split(" ")
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f)["added_tokens"])
 
 
 class TokenIds:
-    """Ids of texts as little-endian uint32 bytes, each distinct unit encoded once.
+    """Ids of whole texts as little-endian uint32 bytes.
 
-    The table of known units lives as long as the worker and is bounded: it
-    keeps two generations of up to ``remember`` units, and a unit of the older
-    one that is met again moves to the younger.
+    The ids are those of the file ``tokenizer`` with added special tokens off.
+    ``ranks`` names the same vocabulary as merge ranks, which give the same ids
+    in a third of the time and keep no table of words; texts with one of the
+    file's special strings, or with a very long run of white space, go to the
+    file itself. Without ``ranks`` all texts do.
     """
 
-    def __init__(self, tokenizer: str, remember: int = 500_000):
-        self.tokenizer, self.generations = _tokenizer(tokenizer)
-        self.remember = remember
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [_units(t) for t in texts]
-        for p in parts:
-            if p:
-                p[0] = " " + p[0]  # later units never begin with white space
-        if len(self.generations[0]) > self.remember:
-            self.generations[:] = [{}, self.generations[0]]
-        known, older = self.generations
-        units = [u for p in parts for u in p]
-        ids = list(map(known.get, units))
-        missing = [i for i, got in enumerate(ids) if got is None]
-        if missing:
-            new = {units[i]: None for i in missing}
-            for u in new:
-                if u in older:
-                    known[u] = older[u]
-            new = [u for u in new if u not in known]
-            plain = [u[1:] if u[0] == " " else " " + u for u in new]
-            for u, e in zip(new, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                known[u] = array("I", e.ids).tobytes()
-            for i in missing:
-                ids[i] = known[units[i]]
-        out, at = [], 0
-        for p in parts:
-            out.append(b"".join(ids[at : at + len(p)]))
-            at += len(p)
-        return out
+    def __init__(self, tokenizer: str, ranks: str | None = None):
+        self.tokenizer, self.ranks = tokenizer, ranks
+        self.special = _special_strings(tokenizer)
+
+    def _by_ranks(self, text: str) -> bool:
+        if self.ranks is None or any(s in text for s in self.special):
+            return False
+        return len(text) < _LONG_BLANK or not _blank.search(text)
+
+    def __call__(self, text: str) -> bytes:
+        if self._by_ranks(text):
+            ids = _ranks(self.ranks).encode_ordinary(text)
+        else:
+            ids = _tokenizer(self.tokenizer).encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,9 +136,9 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 PIECE = "doc long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
 
-def _pack_partition(tokenizer: str, end_id: int, capacity: int, window: int):
+def _pack_partition(tokenizer: str, ranks: str | None, end_id: int, capacity: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = TokenIds(tokenizer)
+        ids = TokenIds(tokenizer, ranks)
         end = np.array([end_id], "<u4").tobytes()
         next_bin = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -166,16 +157,15 @@ def _pack_partition(tokenizer: str, end_id: int, capacity: int, window: int):
             yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in PIECE.split(", ")])
 
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(docs), 256):
-                for doc, got in zip(docs[lo : lo + 256], ids([t or "" for t in texts[lo : lo + 256].to_pylist()]), strict=True):
-                    got += end
-                    n, start = len(got) // 4, 0
-                    size = n % capacity or min(n, capacity)  # the first piece takes the remainder
-                    piece = 0
-                    while start < n:
-                        rows.append((doc, piece, start, size, zlib.crc32(got[4 * start : 4 * (start + size)])))
-                        start, piece, size = start + size, piece + 1, capacity
+            texts = batch.column(1)
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                got = ids(texts[i].as_py() or "") + end
+                n, start = len(got) // 4, 0
+                size = n % capacity or min(n, capacity)  # the first piece takes the remainder
+                piece = 0
+                while start < n:
+                    rows.append((doc, piece, start, size, zlib.crc32(got[4 * start : 4 * (start + size)])))
+                    start, piece, size = start + size, piece + 1, capacity
             if len(rows) >= window:
                 yield from packed()
         yield from packed()
@@ -205,6 +195,7 @@ def _pack_round(capacity: int, round_no: int):
 def pack_documents(
     docs: DataFrame,
     tokenizer: str = "byte_bpe_50k.json",
+    ranks: str | None = "byte_bpe_50k.tiktoken",
     end_id: int = 0,
     capacity: int = 2048,
     nearly_full: float = 0.995,
@@ -217,7 +208,7 @@ def pack_documents(
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     full = int(capacity * nearly_full)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    pieces = written(narrow.mapInArrow(_pack_partition(tokenizer, end_id, capacity, window), PIECE), "pieces")
+    pieces = written(narrow.mapInArrow(_pack_partition(tokenizer, ranks, end_id, capacity, window), PIECE), "pieces")
 
     # One row per underfull bin: that of its piece at offset 0.
     open_bins = pieces.where((F.col("offset") == 0) & (F.col("fill") < full)).select("bin", "fill")
@@ -243,7 +234,7 @@ def pack_documents(
             )
         open_bins = step.where((F.col("bin") == F.col("target")) & (F.col("fill") < full)).select("bin", "fill")
         left, round_no = open_bins.count(), round_no + 1
-        if tasks == 1 or left > 0.999 * n:
+        if tasks == 1 or left == n:
             break
         n = left
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -51,7 +52,7 @@ def test_safe_boundaries(text):
 
 
 def _check_packing(got, texts, capacity):
-    tokenizer, _ = packing._tokenizer("byte_bpe_50k.json")
+    tokenizer = packing._tokenizer("byte_bpe_50k.json")
     want = collections.Counter()
     total = 0
     for key, text in texts:
@@ -88,6 +89,29 @@ def test_packing_rounds_over_many_tasks(spark, odd):
     assert used <= least * 1.1 + 2
 
 
+def test_ids_equal_the_library():
+    """Every code point, special strings, long blanks and random texts."""
+    own, library = packing.TokenIds("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"), packing.TokenIds("byte_bpe_50k.json")
+    texts = ["x" + " " * 1_000_000 + "y", "a<|endoftext|> b", "", "\n" * 30_000, "nospace" * 4000, "<|endoftext|>"]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 40):
+        texts.append("".join(f"x{chr(c)}y {chr(c)} {chr(c)}{chr(c)}1{chr(c)}\n{chr(c)}'s " for c in points[lo : lo + 40]))
+    r = random.Random(2)
+    letters = [chr(c) for c in [*range(32, 127), *range(32, 127), 9, 10, 13, 160, 0x2028, 0x3000, *range(0xC0, 0x180), 0x4E2D]]
+    texts += ["".join(r.choices([*letters, "<|endoftext|>"], k=r.randrange(80))) for _ in range(3000)]
+    for text in texts:
+        assert own(text) == library(text), text[:100]
+
+
+def test_packing_rounds_end_when_nothing_merges(odd):
+    """Bins that no task could fill alone meet in later rounds."""
+    docs = odd.sparkSession.range(300).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    docs = docs.withColumn("text", F.expr("repeat('word ', cast(20 + doc_id % 7 as int))"))
+    got = packing.pack_documents(docs, capacity=64, round_items=10, window=3).collect()
+    used, least = _check_packing(got, [(r.doc_id, r.text) for r in docs.collect()], 64)
+    assert used <= least * 1.35
+
+
 def test_packing_nothing(nothing):
     assert packing.pack_documents(nothing).count() == 0
 
