@@ -2,7 +2,8 @@
 
 from marketlens.operators.averages import two_level_avg
 from marketlens.operators.checks import duplicate_keys
-from marketlens.operators.events import first_event, successor_gap_parts
+from marketlens.operators.distincts import distinct_counts
+from marketlens.operators.events import first_event, successor, successor_gap_parts
 from marketlens.operators.joins import report_join
 from marketlens.operators.modal import modal_row, mode_value
 from marketlens.operators.pivot import pivot_count
@@ -12,6 +13,7 @@ from marketlens.operators.reorder import reorder_top_k
 from marketlens.operators.shares import share_of_total, share_topn_others
 
 __all__ = [
+    "distinct_counts",
     "duplicate_keys",
     "first_event",
     "modal_row",
@@ -22,6 +24,7 @@ __all__ = [
     "report_join",
     "share_of_total",
     "share_topn_others",
+    "successor",
     "successor_gap_parts",
     "top_k_per_group",
     "top_n_threshold",

@@ -1,101 +1,78 @@
 """Positional numbering and zipping of tables.
 
 ``ROW_NUMBER() OVER ()`` over a whole table normally means one task sees
-every row. ``number_rows`` numbers rows in a global order without that:
-
-1. tag each input's rows with the input's index and its sort key, union the
-   inputs, and sort globally (range-partitioned: each task holds one
-   contiguous slice of the order);
-2. tag each row with its partition id and its monotonically increasing id
-   (partition id in the high bits, position within the task in the low
-   33 bits), then checkpoint, so every later read sees the same placement
-   even if an executor is lost;
-3. per (input, partition): row count and first id -- a table bounded by
-   inputs x partitions, never by the data -- turned into start offsets and
-   broadcast back: ``rn = offset + (id - first id) + 1``.
-
-All inputs share one sort and one checkpoint, so a zip of several tables
-computed from the same fact evaluates the fact once.
+every row. ``number_rows`` gives each row its place in a total order without
+that and without running anything: the number of a row is
+
+    rows in earlier slices of the order + row number within its slice.
+
+A slice holds the rows that agree on all sort keys but the last, and on the
+first characters of the last one if that is text (cutting text at a fixed
+length keeps its order). Slices are counted by a partial aggregation; running
+counts over the slices of one first key, and over the first keys, give the
+rows before a slice. Those windows see one row per slice and per first key,
+never the rows, and the rows' own window sees one slice at a time: a tie of
+a million names is spread over its prefixes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marketlens.session import checkpoint_root
+PREFIX = 2  # characters of a last text key that tell slices apart: few slices, each a small share of a tie
 
 
-def _ensure_checkpoint_dir(df: DataFrame) -> None:
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_root(spark))
+def _slice_columns(df: DataFrame, keys: Sequence[str]) -> list:
+    """Expressions that ascend with the keys; equal ones make a slice."""
+    *first, last = keys
+    cols = [F.col(k) for k in first]
+    if isinstance(df.schema[last].dataType, T.StringType):
+        cols.append(F.substring(last, 1, PREFIX))
+    return cols
 
 
-def number_rows(
-    parts: Sequence[tuple[DataFrame, Sequence[str]]], name: str = "rn"
-) -> list[DataFrame]:
-    """Number each input 1..n in its own order (ascending, NULLs last).
+def _ascending(names: Sequence[str]) -> list:
+    return [F.col(n).asc_nulls_last() for n in names]
+
+
+def _same(left: Sequence[str], right: Sequence[str]):
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], name: str = "rn") -> DataFrame:
+    """``df`` with its rows numbered 1..n by ``keys`` (ascending, NULLs last).
 
-    ``parts`` is a list of (DataFrame, key column names). Keys should form a
-    total order within each input. Returns the inputs with ``name`` added.
+    Rows that agree on all keys are numbered in any order. ``df`` is read
+    twice; it should end in an aggregate, whose shuffle both readings share.
     """
-    if not parts:
-        return []
-    _ensure_checkpoint_dir(parts[0][0])
-    key_names = [[f"_k{i}_{j}" for j in range(len(keys))] for i, (_, keys) in enumerate(parts)]
-    key_types = [[df.schema[k].dataType for k in keys] for df, keys in parts]
-    row_types = [df.select(F.struct(*df.columns)).schema[0].dataType for df, _ in parts]
-
-    tagged = []
-    for i, (df, keys) in enumerate(parts):
-        cols = [F.lit(i).alias("_part")]
-        for j, names in enumerate(key_names):
-            for c, kname in enumerate(names):
-                val = F.col(keys[c]) if j == i else F.lit(None).cast(key_types[j][c])
-                cols.append(val.alias(kname))
-        for j in range(len(parts)):
-            row = F.struct(*df.columns) if j == i else F.lit(None).cast(row_types[j])
-            cols.append(row.alias(f"_row{j}"))
-        tagged.append(df.select(*cols))
-    unioned = reduce(DataFrame.unionByName, tagged)
-
-    order = [F.col("_part").asc()] + [
-        F.col(k).asc_nulls_last() for names in key_names for k in names
-    ]
-    placed = (
-        unioned.orderBy(*order)
-        .select(
-            "_part",
-            *[f"_row{j}" for j in range(len(parts))],
-            F.spark_partition_id().alias("_pid"),
-            F.monotonically_increasing_id().alias("_mid"),
-        )
-        .checkpoint(eager=True)
-    )
-    stats = placed.groupBy("_part", "_pid").agg(
-        F.count(F.lit(1)).alias("_size"), F.min("_mid").alias("_first")
-    )
-    before = (
-        Window.partitionBy("_part").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = stats.select(
-        "_part",
-        "_pid",
-        "_first",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
-    )
-    numbered = placed.join(offsets, ["_part", "_pid"]).withColumn(
-        name, (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).cast("long")
+    cols = _slice_columns(df, keys)
+    if not cols:  # a single key that is no text: one slice per value
+        cols = [F.col(keys[0])]
+    names = [f"_s{i}" for i in range(len(cols))]
+    sliced = df.select("*", *[c.alias(n) for c, n in zip(cols, names, strict=True)])
+    sizes = sliced.groupBy(*names).agg(F.count(F.lit(1)).alias("_size"))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # Slices before this one: under the same first key, and under earlier ones.
+    top, rest = names[0], names[1:]
+    heads = sizes.groupBy(F.col(top).alias("_top")).agg(F.sum("_size").alias("_n"))
+    heads = heads.select("_top", F.coalesce(F.sum("_n").over(until(Window.orderBy(*_ascending(["_top"])))), F.lit(0)).alias("_heads"))
+    if rest:
+        inner = until(Window.partitionBy(top).orderBy(*_ascending(rest)))
+        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
+    else:
+        sizes = sizes.withColumn("_before", F.lit(0).cast("long"))
+    offsets = sizes.join(heads, _same([top], ["_top"])).select(
+        *[F.col(n).alias(f"_o{n}") for n in names], (F.col("_heads") + F.col("_before")).alias("_offset")
     )
-    return [
-        numbered.filter(F.col("_part") == i).select(name, f"_row{i}.*")
-        for i in range(len(parts))
-    ]
+    within = F.row_number().over(Window.partitionBy(*names).orderBy(*_ascending(keys)))
+    numbered = sliced.withColumn("_within", within).join(offsets, _same(names, [f"_o{n}" for n in names]))
+    return numbered.select((F.col("_offset") + F.col("_within")).cast("long").alias(name), *df.columns)
 
 
 def zip_by_position(
@@ -106,7 +83,7 @@ def zip_by_position(
     The result is as long as the shortest input. Column names other than
     ``name`` must be distinct across inputs.
     """
-    numbered = number_rows(parts, name)
+    numbered = [number_rows(df, keys, name) for df, keys in parts]
     out = numbered[0]
     for nxt in numbered[1:]:
         out = out.join(nxt, name, "inner")

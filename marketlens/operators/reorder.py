@@ -25,7 +25,7 @@ def reorder_top_k(
     Rows per (period, customer, keys) are counted (or their ``weight``
     summed); groups with more than one row contribute ``count - 1``
     re-orders to their ``keys``. Both steps are
-    partial aggregations, and the rank is group-limited per task.
+    partial aggregations, and tied rows are never sorted (``top_k_per_group``).
     """
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     per_customer = df.groupBy(period, customer, *keys).agg(rows.alias("_n"))
@@ -34,6 +34,4 @@ def reorder_top_k(
         .groupBy(period, *keys)
         .agg(F.sum(F.col("_n") - 1).alias(total_name))
     )
-    return top_k_per_group(
-        reorders, [period], [F.col(total_name).desc_nulls_first()], k, rank_col
-    )
+    return top_k_per_group(reorders, [period], total_name, k, rank_col)

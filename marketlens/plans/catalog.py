@@ -56,15 +56,28 @@ def _origin_reports(side: str, table: str) -> list[Report]:
     else:
         city = ("city", 2, "total_cities")
         state = ("state", 2, "total_state")
+    by_order = origin.order_cols(side)
     return [
-        _fact_dims(table, cols, lambda s, p, d: origin.origin(s, side, p, d)),
+        Report(
+            table,
+            lambda w: origin.origin(
+                w.fact(*cols),
+                side,
+                w.params,
+                Dimensions.of(w.tables),
+                w.fact(*by_order, weighted=False) if by_order else None,
+            ),
+            tuple(dict.fromkeys(cols + by_order)),
+        ),
         _fact_dims(
             f"{table}__total_city_state", cols, lambda s, p, d: origin.total_city_state(s, side, d)
         ),
         _fact_dims(
             f"{table}__highest_state", cols, lambda s, p, d: origin.highest_state(s, side, d)
         ),
-        _fact_dims(f"{table}__highest_city", cols, lambda s, p, d: origin.highest_city(s, side, d), side == "customer"),
+        _fact_dims(
+            f"{table}__highest_city", by_order or cols, lambda s, p, d: origin.highest_city(s, side, d), not by_order
+        ),
         _fact_dims(
             f"{table}__percentage_state_city",
             cols,
@@ -108,7 +121,7 @@ def all_reports() -> dict[str, Report]:
         _fact("yearly_transaction__day_diff", g, customers.day_diff),
         _fact("yearly_transaction__yearly_stats", g, customers.yearly_stats),
         _fact("yearly_transaction__avg_unique_items", ("purchase_date", "order_id"), customers.avg_unique_items),
-        _fact("yearly_transaction__avg_rating", ("purchase_date", "review_score"), customers.avg_rating),
+        _fact("yearly_transaction__avg_rating", ("purchase_date", "order_id", "review_score"), customers.avg_rating),
         _fact("mode_of_transaction", g, customers.mode_of_transaction),
         *_origin_reports("customer", "origin_customer"),
         _fact_dims("product_summary", ps, products.product_summary),

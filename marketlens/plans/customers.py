@@ -2,14 +2,17 @@
 
 "Orders" and "transactions" here are summary rows (item x review), as in
 the original analysis: a customer with one two-item order is a repeat
-customer. Rows are counted as the weight sum of the item-grain fact.
-
-Every report here except the per-order and rating parts reads one
-aggregate of the fact, ``activity``: summary rows per (customer, purchase
-date). All parts read it with its row count ``n`` (``active`` keeps the
-days with rows), so Catalyst plans one identical aggregate for all of them
-and the fact is joined once per report; the parts re-read only that
-aggregate, which a hot customer reduces to one row per day.
+customer. Rows are counted as the weight sum of the fact, which for these
+reports has one row per order (``fact.order_grain``). ``grain="order"`` counts
+orders instead.
+
+Every report reads one aggregate of the fact, ``activity``: per (customer,
+purchase date) the summary rows, the orders and the review scores, in one
+struct. An order has one customer and one date, so whatever is asked per
+order, per customer or per day adds up from it. All parts read the same
+struct and filter on its row count, so Catalyst plans one identical
+aggregate for all of them and the fact is joined once per report; the parts
+re-read only that aggregate, which a hot customer reduces to one row per day.
 Customers are counted by ``customer_unique_id``; NULL ids form one group
 where rows are grouped but are skipped where ids are counted.
 """
@@ -30,22 +33,38 @@ from marketlens.operators import (
 from marketlens.params import ReportParams
 from marketlens.plans.fact import SCORE_N, SCORE_SUM, WEIGHT
 
-GROWTH_COLS = ("purchase_date", "customer_unique_id")
+GROWTH_COLS = ("purchase_date", "customer_unique_id", "order_id")
 TRANSACTION_COLS = ("purchase_date", "customer_unique_id", "order_id", "review_score")
 
 
-def _rows():
-    return F.sum(WEIGHT)
+def activity(s: DataFrame) -> DataFrame:
+    """Per (customer, purchase date) the struct ``m``: summary ``rows`` and, of a
+    fact that carries order ids or review scores, ``orders`` and ``score_sum``,
+    ``score_n``. A key the fact does not carry is left out.
 
+    Two partial aggregations; the first does nothing to a fact that has one
+    row per order, whose join leaves it partitioned by the order.
+    """
+    keys = [c for c in ("customer_unique_id", "purchase_date") if c in s.columns]
+    scores = [c for c in (SCORE_SUM, SCORE_N) if c in s.columns]
+    measures = [F.sum(WEIGHT).alias("rows")] + [F.sum(c).alias(c) for c in scores]
+    if "order_id" in s.columns:
+        s = s.groupBy("order_id", *keys).agg(
+            F.sum(WEIGHT).alias(WEIGHT), *[F.sum(c).alias(c) for c in scores]
+        )
+        measures.append(F.count(F.lit(1)).alias("orders"))
+    return s.groupBy(*keys).agg(F.struct(*measures).alias("m")).filter(F.col("m.rows") > 0)
 
-def activity(s: DataFrame) -> DataFrame:
-    """Summary rows ``n`` per (customer, purchase date); partial aggregation."""
-    return s.groupBy("customer_unique_id", "purchase_date").agg(_rows().alias("n"))
+
+def transactions(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
+    """Transactions ``n`` per (customer, purchase date), by the grain."""
+    n = "m.orders" if p is not None and p.grain == "order" else "m.rows"
+    return activity(s).select("customer_unique_id", "purchase_date", F.col(n).alias("n"))
 
 
 def active(s: DataFrame) -> DataFrame:
     """(customer, purchase date) pairs with at least one summary row."""
-    return activity(s).filter(F.col("n") > 0)
+    return activity(s).select("customer_unique_id", "purchase_date")
 
 
 def _year(s: DataFrame) -> DataFrame:
@@ -91,20 +110,26 @@ def new_customer(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     )
 
 
+def _per_customer_year(s: DataFrame, p: ReportParams | None) -> DataFrame:
+    return _year(transactions(s, p)).groupBy("date_year", "customer_unique_id").agg(
+        F.sum("n").alias("total_order")
+    )
+
+
 def repeat_order_cust(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
-    """Customers with more than one fact row in the year."""
-    per = _per_customer_year(s)
+    """Customers with more than one transaction in the year."""
     return (
-        per.filter(F.col("total_order") > 1)
+        _per_customer_year(s, p)
+        .filter(F.col("total_order") > 1)
         .groupBy("date_year")
         .agg(F.count("customer_unique_id").alias("repeat_order_cust"))
     )
 
 
 def avg_order(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
-    """Mean fact rows per customer and year, 3 decimals."""
+    """Mean transactions per customer and year, 3 decimals."""
     return two_level_avg(
-        _year(activity(s)),
+        _year(transactions(s, p)),
         ["date_year"],
         ["customer_unique_id"],
         "avg_order",
@@ -115,7 +140,7 @@ def avg_order(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
 
 def yearly_customer(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     joined = report_join(
-        avg_monthly_customer(s), [new_customer(s), repeat_order_cust(s), avg_order(s)]
+        avg_monthly_customer(s), [new_customer(s), repeat_order_cust(s, p), avg_order(s, p)]
     )
     return joined.select(
         "date_year", "avg_monthly_customer", "new_customer", "repeat_order_cust", "avg_order"
@@ -141,12 +166,12 @@ def monthly_customer(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
 
 
 def day_diff(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
-    """Mean of ``|next purchase - purchase - 1|`` per year of the earlier row.
+    """Mean of ``|next purchase - purchase - 1|`` per year of the earlier one.
 
-    Each customer's rows are taken in purchase-date order; only years with
-    at least one successor appear.
+    Each customer's transactions are taken in purchase-date order; only years
+    with at least one successor appear.
     """
-    parts = successor_gap_parts(activity(s), "customer_unique_id", "purchase_date", "n")
+    parts = successor_gap_parts(transactions(s, p), "customer_unique_id", "purchase_date", "n")
     sums = (
         _year(parts)
         .groupBy("date_year")
@@ -157,14 +182,8 @@ def day_diff(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     )
 
 
-def _per_customer_year(s: DataFrame) -> DataFrame:
-    return _year(activity(s)).groupBy("date_year", "customer_unique_id").agg(
-        F.sum("n").alias("total_order")
-    )
-
-
 def yearly_stats(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
-    per = _per_customer_year(s)
+    per = _per_customer_year(s, p)
     n = F.count(F.lit(1))
     ones = F.sum(F.when(F.col("total_order") == 1, 1).otherwise(0))
     return per.groupBy("date_year").agg(
@@ -175,31 +194,28 @@ def yearly_stats(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
 
 
 def mode_of_transaction(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
-    """Most common number of fact rows per customer, per year (smallest on ties)."""
-    return mode_value(_per_customer_year(s), "date_year", "total_order", "mode_of_transaction")
+    """Most common number of transactions per customer, per year (smallest on ties)."""
+    return mode_value(_per_customer_year(s, p), "date_year", "total_order", "mode_of_transaction")
 
 
 def avg_unique_items(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
-    """Mean fact rows per order and year (review fan-out included)."""
-    return two_level_avg(
-        _year(s),
-        ["date_year"],
-        ["order_id"],
-        "avg_unique_items_each_transaction",
-        2,
-        inner_agg=_rows(),
+    """Mean summary rows per order and year (review fan-out included)."""
+    return _year(activity(s)).groupBy("date_year").agg(
+        ratio_half_up(F.sum("m.rows"), F.sum("m.orders"), 2).alias("avg_unique_items_each_transaction")
     )
 
 
 def avg_rating(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
     """Mean review score per year, item-weighted; NULL scores skipped."""
-    return _year(s).groupBy("date_year").agg(
-        ratio_half_up(F.sum(SCORE_SUM), F.sum(SCORE_N), 2).alias("avg_rating")
+    return _year(activity(s)).groupBy("date_year").agg(
+        ratio_half_up(F.sum(f"m.{SCORE_SUM}"), F.sum(f"m.{SCORE_N}"), 2).alias("avg_rating")
     )
 
 
 def yearly_transaction(s: DataFrame, p: ReportParams | None = None) -> DataFrame:
-    joined = report_join(yearly_stats(s), [day_diff(s), avg_unique_items(s), avg_rating(s)])
+    joined = report_join(
+        yearly_stats(s, p), [day_diff(s, p), avg_unique_items(s), avg_rating(s)]
+    )
     return joined.select(
         "date_year",
         "day_diff",

@@ -5,20 +5,26 @@ distinct-place totals and home-place shares by estimated-delivery year,
 top places by purchase year. The base table (delivery years) decides which
 years appear; tied top places multiply rows.
 
+All parts but the sellers' top city read one aggregate that serves both
+bases, ``place_rows``: summary rows per (delivery year, purchase year, city,
+state). The fact is joined for it once.
+
 Customer places come with the order (joined at order grain). Seller places
-are attached after aggregating by ``seller_id`` (``Dimensions``), so the
-item rows are never shuffled on the seller key: every seller report first
-reduces the fact to one row per (year, seller) -- or per distinct
-(order, date, seller) for the top city -- and looks up the place of those.
+are attached after aggregating by (years, seller), a few rows per seller. The
+sellers' top city counts distinct (order, date, city): almost every item is
+its own (order, seller), so nothing is gained by aggregating first; the rows
+(order, date, seller) meet the seller table as they are (broadcast if its
+measured size allows, else a join whose hot sellers adaptive execution splits)
+and are made distinct once, with the city.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import percent_half_up, year_of
-from marketlens.operators import report_join, share_topn_others, top_k_per_group
+from marketlens.operators import distinct_counts, report_join, share_topn_others, top_k_per_group
 from marketlens.params import ReportParams
 from marketlens.plans.dimensions import Dimensions
 from marketlens.plans.fact import WEIGHT
@@ -52,10 +58,14 @@ def _deferred(side: str) -> bool:
 def origin_cols(side: str) -> tuple[str, ...]:
     d = SIDES[side]
     places = ["seller_id"] if _deferred(side) else [d["city"], d["state"]]
-    cols = ["purchase_date", "est_delivery_date", *places]
-    if d["city_grain"] == "order":
-        cols.append("order_id")
-    return tuple(cols)
+    return ("purchase_date", "est_delivery_date", *places)
+
+
+def order_cols(side: str) -> tuple[str, ...]:
+    """Columns of a top city that counts distinct orders; none if it counts rows."""
+    if SIDES[side]["city_grain"] != "order":
+        return ()
+    return ("order_id", "purchase_date", "seller_id" if _deferred(side) else SIDES[side]["city"])
 
 
 def share_cols(side: str) -> tuple[str, ...]:
@@ -63,83 +73,97 @@ def share_cols(side: str) -> tuple[str, ...]:
     return ("seller_id",) if _deferred(side) else (d["id"], d["city"], d["state"])
 
 
-def place_rows(s: DataFrame, side: str, year: Column, dims: Dimensions | None) -> DataFrame:
-    """Summary rows (``n`` = weight sum) per (``date_year``, city, state)."""
+def place_rows(s: DataFrame, side: str, dims: Dimensions | None) -> DataFrame:
+    """Summary rows ``n`` per (``est_year``, ``purchase_year``, city, state)."""
     d = SIDES[side]
-    keyed = s.withColumn("date_year", year)
-    if not _deferred(side):
-        return keyed.groupBy("date_year", d["city"], d["state"]).agg(F.sum(WEIGHT).alias("n"))
-    per_seller = keyed.groupBy("date_year", "seller_id").agg(F.sum(WEIGHT).alias("n"))
-    attached = dims.attach(per_seller, "seller_id", [d["city"], d["state"]])
-    return attached.groupBy("date_year", d["city"], d["state"]).agg(F.sum("n").alias("n"))
+    years = ["est_year", "purchase_year"]
+    keyed = s.withColumn("est_year", year_of("est_delivery_date")).withColumn(
+        "purchase_year", year_of("purchase_date")
+    )
+    if _deferred(side):
+        per_seller = keyed.groupBy(*years, "seller_id").agg(F.sum(WEIGHT).alias(WEIGHT))
+        keyed = dims.attach(per_seller, "seller_id", [d["city"], d["state"]])
+    rows = keyed.groupBy(*years, d["city"], d["state"]).agg(F.sum(WEIGHT).alias("n"))
+    # Always true; every part reads the count, so all read the same aggregate.
+    return rows.filter(F.col("n") > 0)
 
 
 def total_city_state(s: DataFrame, side: str, dims: Dimensions | None = None) -> DataFrame:
     d = SIDES[side]
-    rows = place_rows(s, side, year_of("est_delivery_date"), dims)
-    return rows.groupBy("date_year").agg(
-        F.countDistinct(d["city"]).alias("total_city"),
-        F.countDistinct(d["state"]).alias("total_state"),
+    rows = place_rows(s, side, dims).withColumnRenamed("est_year", "date_year")
+    return distinct_counts(
+        rows, ["date_year"], {"total_city": d["city"], "total_state": d["state"]}, rows=F.col("n")
     )
 
 
+def _top_place(counts: DataFrame, count_name: str) -> DataFrame:
+    return top_k_per_group(counts, ["date_year"], count_name, 1)
+
+
 def highest_state(s: DataFrame, side: str, dims: Dimensions | None = None) -> DataFrame:
-    d = SIDES[side]
-    rows = place_rows(s, side, year_of("purchase_date"), dims)
-    counts = rows.groupBy("date_year", F.col(d["state"]).alias("highest_state")).agg(
-        F.sum("n").alias("total_transaction_in_state")
-    )
-    return top_k_per_group(
-        counts, ["date_year"], [F.col("total_transaction_in_state").desc()], 1
+    name = "total_transaction_in_state"
+    counts = (
+        place_rows(s, side, dims)
+        .groupBy(F.col("purchase_year").alias("date_year"), F.col(SIDES[side]["state"]).alias("highest_state"))
+        .agg(F.sum("n").alias(name))
     )
+    return _top_place(counts, name)
 
 
 def highest_city(s: DataFrame, side: str, dims: Dimensions | None = None) -> DataFrame:
     d = SIDES[side]
+    name = "total_transaction_in_city"
     if d["city_grain"] == "order":
         # distinct (order, purchase date, city): every tuple counts once
-        tuples = s.select("order_id", "purchase_date", "seller_id").distinct()
+        rows = s.select("order_id", "purchase_date", "seller_id" if _deferred(side) else d["city"])
         if _deferred(side):
-            tuples = dims.attach(tuples, "seller_id", [d["city"]])
-        tuples = tuples.select("order_id", "purchase_date", d["city"]).distinct()
+            rows = dims.attach(rows, "seller_id", [d["city"]])
+        tuples = rows.select("order_id", "purchase_date", d["city"]).distinct()
         counts = tuples.groupBy(
             year_of("purchase_date").alias("date_year"), F.col(d["city"]).alias("highest_city")
-        ).agg(F.count(F.lit(1)).alias("total_transaction_in_city"))
+        ).agg(F.count(F.lit(1)).alias(name))
     else:
-        rows = place_rows(s, side, year_of("purchase_date"), dims)
-        counts = rows.groupBy("date_year", F.col(d["city"]).alias("highest_city")).agg(
-            F.sum("n").alias("total_transaction_in_city")
+        counts = (
+            place_rows(s, side, dims)
+            .groupBy(F.col("purchase_year").alias("date_year"), F.col(d["city"]).alias("highest_city"))
+            .agg(F.sum("n").alias(name))
         )
-    return top_k_per_group(
-        counts, ["date_year"], [F.col("total_transaction_in_city").desc()], 1
-    )
+    return _top_place(counts, name)
 
 
 def home_share(
     s: DataFrame, side: str, p: ReportParams, dims: Dimensions | None = None
 ) -> DataFrame:
     d = SIDES[side]
-    rows = place_rows(s, side, year_of("est_delivery_date"), dims)
+    rows = place_rows(s, side, dims)
     n = F.sum("n")
 
     def share(col: str, value: str):
         hits = F.sum(F.when(F.col(col) == value, F.col("n")).otherwise(0))
         return percent_half_up(hits, n, 2)
 
-    return rows.groupBy("date_year").agg(
+    return rows.groupBy(F.col("est_year").alias("date_year")).agg(
         n.alias("total_transaction"),
         share(d["state"], p.home_state).alias("state_percentage_from_total"),
         share(d["city"], p.home_city).alias("city_percentage_from_total"),
     )
 
 
-def origin(s: DataFrame, side: str, p: ReportParams, dims: Dimensions | None = None) -> DataFrame:
+def origin(
+    s: DataFrame,
+    side: str,
+    p: ReportParams,
+    dims: Dimensions | None = None,
+    values: DataFrame | None = None,
+) -> DataFrame:
+    """``values``: the fact without weights, for the part that counts distinct orders."""
     d = SIDES[side]
+    by_order = d["city_grain"] == "order" and values is not None
     joined = report_join(
         total_city_state(s, side, dims),
         [
             highest_state(s, side, dims).drop("yearly_rank"),
-            highest_city(s, side, dims).drop("yearly_rank"),
+            highest_city(values if by_order else s, side, dims).drop("yearly_rank"),
             home_share(s, side, p, dims).drop("total_transaction"),
         ],
     )

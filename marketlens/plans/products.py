@@ -7,7 +7,8 @@ NULL revenue ranks first.
 
 Categories are attached after aggregating by product (``Dimensions``): the
 fact is aggregated per (year, product) map-side and only those rows meet
-the product table, so the item rows are never shuffled on ``product_id``.
+the product table. The one exception is the re-order ranking of categories,
+where such an aggregate would hardly reduce anything.
 """
 
 from __future__ import annotations
@@ -75,57 +76,18 @@ def _cancels_by_product(s: DataFrame, p: ReportParams) -> DataFrame:
     )
 
 
-def _category_revenue(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
-    return _by_category(_revenue_by_product(s, p), d, ["date_year"], "revenue")
-
-
-def yearly_revenue(s: DataFrame, p: ReportParams, d: Dimensions | None = None) -> DataFrame:
-    """Delivered revenue per estimated-delivery year (exact decimal sum).
-
-    Summed from the per-product revenue that the top-category part also
-    reads, so within ``product_summary`` both share one computation.
-    """
-    return (
-        _revenue_by_product(s, p).groupBy("date_year").agg(F.sum("revenue").alias("revenue"))
-    )
-
-
-def yearly_cancel(s: DataFrame, p: ReportParams, d: Dimensions | None = None) -> DataFrame:
-    """Cancelled summary rows per approval year (NULL approval is a NULL year)."""
-    return (
-        _cancels_by_product(s, p)
-        .groupBy("date_year")
-        .agg(F.sum("total_cancel").alias("total_cancel"))
-    )
-
-
-def top_product(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
-    """Category with the highest delivered revenue per year (all ties)."""
-    top = top_k_per_group(
-        _category_revenue(s, p, d), ["date_year"], [F.col("revenue").desc_nulls_first()], 1
-    )
-    return top.select("date_year", F.col("product_category").alias("top_product"))
-
-
-def top_cancel(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
-    """Category with the most cancelled rows per approval year (all ties)."""
-    counts = _by_category(_cancels_by_product(s, p), d, ["date_year"], "total_cancel")
-    top = top_k_per_group(counts, ["date_year"], [F.col("total_cancel").desc()], 1)
-    return top.select("date_year", F.col("product_category").alias("most_canceled"))
-
-
-def _status_measures(s: DataFrame, p: ReportParams) -> DataFrame:
-    """One aggregate for both status branches of the product summary.
+def _both_by_product(s: DataFrame, p: ReportParams) -> tuple[DataFrame, DataFrame]:
+    """``_revenue_by_product`` and ``_cancels_by_product`` from one aggregate.
 
     Per (estimated-delivery year, approval year, product): delivered revenue
     and rows, cancelled rows. The measures travel together in one struct and
-    each branch selects by a condition on the aggregated values, so every
-    part reads the same aggregate -- one pass over the fact -- instead of one
+    each branch selects by a condition on the aggregated values, so both
+    read the same aggregate -- one pass over the fact -- instead of one
     filtered copy per status.
     """
     delivered = F.col("order_status") == p.delivered
     canceled = F.col("order_status") == p.canceled
-    return s.groupBy(
+    m = s.groupBy(
         year_of("est_delivery_date").alias("est_year"),
         year_of("approved_date").alias("approved_year"),
         "product_id",
@@ -136,11 +98,6 @@ def _status_measures(s: DataFrame, p: ReportParams) -> DataFrame:
             F.sum(F.when(canceled, F.col(WEIGHT))).alias("canceled"),
         ).alias("m")
     )
-
-
-def product_summary(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
-    """Revenue, cancellations and top categories; years with revenue only."""
-    m = _status_measures(s, p)
     revenue = (
         m.filter(F.col("m.delivered") > 0)
         .groupBy(F.col("est_year").alias("date_year"), "product_id")
@@ -151,21 +108,54 @@ def product_summary(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
         .groupBy(F.col("approved_year").alias("date_year"), "product_id")
         .agg(F.sum("m.canceled").alias("total_cancel"))
     )
-    yearly_rev = revenue.groupBy("date_year").agg(F.sum("revenue").alias("revenue"))
-    yearly_can = cancels.groupBy("date_year").agg(F.sum("total_cancel").alias("total_cancel"))
-    best = top_k_per_group(
-        _by_category(revenue, d, ["date_year"], "revenue"),
-        ["date_year"],
-        [F.col("revenue").desc_nulls_first()],
-        1,
-    ).select("date_year", F.col("product_category").alias("top_product"))
-    worst = top_k_per_group(
-        _by_category(cancels, d, ["date_year"], "total_cancel"),
-        ["date_year"],
-        [F.col("total_cancel").desc()],
-        1,
-    ).select("date_year", F.col("product_category").alias("most_canceled"))
-    joined = report_join(yearly_rev, [yearly_can, best, worst])
+    return revenue, cancels
+
+
+# The four parts of the product summary, of the per-product rows: those of
+# one status, or both from the shared aggregate.
+
+
+def _yearly(per_product: DataFrame, measure: str) -> DataFrame:
+    return per_product.groupBy("date_year").agg(F.sum(measure).alias(measure))
+
+
+def _top_category(per_product: DataFrame, d: Dimensions, measure: str, name: str) -> DataFrame:
+    by_category = _by_category(per_product, d, ["date_year"], measure)
+    top = top_k_per_group(by_category, ["date_year"], measure, 1)
+    return top.select("date_year", F.col("product_category").alias(name))
+
+
+def yearly_revenue(s: DataFrame, p: ReportParams, d: Dimensions | None = None) -> DataFrame:
+    """Delivered revenue per estimated-delivery year (exact decimal sum)."""
+    return _yearly(_revenue_by_product(s, p), "revenue")
+
+
+def yearly_cancel(s: DataFrame, p: ReportParams, d: Dimensions | None = None) -> DataFrame:
+    """Cancelled summary rows per approval year (NULL approval is a NULL year)."""
+    return _yearly(_cancels_by_product(s, p), "total_cancel")
+
+
+def top_product(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
+    """Category with the highest delivered revenue per year (all ties)."""
+    return _top_category(_revenue_by_product(s, p), d, "revenue", "top_product")
+
+
+def top_cancel(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
+    """Category with the most cancelled rows per approval year (all ties)."""
+    return _top_category(_cancels_by_product(s, p), d, "total_cancel", "most_canceled")
+
+
+def product_summary(s: DataFrame, p: ReportParams, d: Dimensions) -> DataFrame:
+    """Revenue, cancellations and top categories; years with revenue only."""
+    revenue, cancels = _both_by_product(s, p)
+    joined = report_join(
+        _yearly(revenue, "revenue"),
+        [
+            _yearly(cancels, "total_cancel"),
+            _top_category(revenue, d, "revenue", "top_product"),
+            _top_category(cancels, d, "total_cancel", "most_canceled"),
+        ],
+    )
     return joined.select(
         "date_year",
         F.col("revenue").cast("double").alias("revenue"),
@@ -208,9 +198,19 @@ def top_reorder_product(s: DataFrame, p: ReportParams, d: Dimensions, k: int = 3
 
 
 def top_reorder_category(s: DataFrame, p: ReportParams, d: Dimensions, k: int = 3) -> DataFrame:
-    per_customer = d.attach(_per_customer_product(s, p), "product_id", ["product_category"])
+    # Few customers buy a product twice: counting per (customer, product) first
+    # would shuffle every item once more for nothing. The item rows meet the
+    # product table as they are and are counted once, with the category.
+    rows = _delivered(s, p).select(
+        year_of("est_delivery_date").alias("date_year"), "customer_unique_id", "product_id", WEIGHT
+    )
     ranked = reorder_top_k(
-        per_customer, "date_year", "customer_unique_id", ["product_category"], k, weight="_n"
+        d.attach(rows, "product_id", ["product_category"]),
+        "date_year",
+        "customer_unique_id",
+        ["product_category"],
+        k,
+        weight=WEIGHT,
     )
     return ranked.select(
         "date_year",
@@ -221,9 +221,8 @@ def top_reorder_category(s: DataFrame, p: ReportParams, d: Dimensions, k: int =
 
 
 def top_category_revenue(s: DataFrame, p: ReportParams, d: Dimensions, k: int = 3) -> DataFrame:
-    top = top_k_per_group(
-        _category_revenue(s, p, d), ["date_year"], [F.col("revenue").desc_nulls_first()], k
-    )
+    by_category = _by_category(_revenue_by_product(s, p), d, ["date_year"], "revenue")
+    top = top_k_per_group(by_category, ["date_year"], "revenue", k)
     return top.select(
         "date_year",
         F.col("product_category").alias("top_category_revenue"),
@@ -239,7 +238,7 @@ def top_transaction_category(
         year_of("purchase_date").alias("purchase_year"), "product_id"
     ).agg(_rows().alias("count"))
     counts = _by_category(per_product, d, ["purchase_year"], "count")
-    top = top_k_per_group(counts, ["purchase_year"], [F.col("count").desc()], k)
+    top = top_k_per_group(counts, ["purchase_year"], "count", k)
     return top.select("purchase_year", "product_category", "count", "yearly_rank")
 
 
@@ -257,8 +256,7 @@ def zip_top_tables(cat: DataFrame, prod: DataFrame, rev: DataFrame, trx: DataFra
     """``top_summary`` of the four (stored) top-k tables.
 
     Each table is numbered in (year, rank, name[, product]) order, NULLs
-    last (one shared sort and checkpoint for all four), and the four are
-    inner-joined on that number: the result is as
+    last, and the four are inner-joined on that number: the result is as
     long as the shortest table, and one line may mix different years.
     """
     parts = [

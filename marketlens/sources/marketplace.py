@@ -48,16 +48,24 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_table(
-    spark: SparkSession, path: str, name: str, fmt: str = "parquet", multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    name: str,
+    fmt: str = "parquet",
+    multi_line: bool = True,
+    file_schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """One table, conformed to its schema.
 
+    ``file_schema`` says how the Parquet columns are stored; no file is opened
+    to find out then, which a store of many files or tables is glad of.
     ``multi_line=False`` is for CSV files without quoted line breaks: a large
     file is then split among tasks instead of read whole by one.
     """
     schema = schemas.TABLES[name]
     if fmt == "parquet":
-        raw = spark.read.parquet(path)
+        reader = spark.read if file_schema is None else spark.read.schema(file_schema)
+        raw = reader.parquet(path)
     elif fmt == "csv":
         # Without a schema every column is text, named by the header.
         raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
@@ -72,16 +80,17 @@ def read_marketplace(
     fmt: str = "parquet",
     suffix: str | None = None,
     multi_line: bool = True,
+    file_schemas: dict[str, T.StructType | str] | None = None,
 ) -> MarketTables:
     """Read ``<root>/<table><suffix>`` for the eight tables.
 
     ``suffix`` defaults to ``.parquet`` / ``.csv`` by format; ``multi_line``
-    as in ``read_table``.
+    and ``file_schemas`` (by table name) as in ``read_table``.
     """
     suffix = suffix if suffix is not None else f".{fmt}"
     root = root.rstrip("/")
     loaded = {
-        _ATTR[name]: read_table(spark, f"{root}/{name}{suffix}", name, fmt, multi_line)
+        _ATTR[name]: read_table(spark, f"{root}/{name}{suffix}", name, fmt, multi_line, (file_schemas or {}).get(name))
         for name in schemas.TABLES
     }
     return MarketTables(**loaded)

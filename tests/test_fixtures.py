@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import D, item, make_tables, order, rows
@@ -72,7 +73,7 @@ def test_f5_null_revenue_ranks_first(spark):
     df = spark.createDataFrame(
         [(1, "a", 10), (1, "b", None), (1, "c", 20)], "y int, name string, revenue int"
     )
-    got = top_k_per_group(df, ["y"], [F.col("revenue").desc_nulls_first()], 3)
+    got = top_k_per_group(df, ["y"], "revenue", 3)
     assert {r["name"]: r["yearly_rank"] for r in rows(got)} == {"b": 1, "c": 2, "a": 3}
 
 
@@ -86,6 +87,44 @@ def test_f7_repeat_customer_by_rows(spark):
     s = build_fact(t, C.GROWTH_COLS)
     assert rows(C.repeat_order_cust(s)) == [{"date_year": 2017, "repeat_order_cust": 1}]
     assert rows(C.avg_order(s)) == [{"date_year": 2017, "avg_order": 2.0}]
+    # Counted by order, the two items are one transaction.
+    by_order = ReportParams(grain="order")
+    assert rows(C.repeat_order_cust(s, by_order)) == []
+    assert rows(C.avg_order(s, by_order)) == [{"date_year": 2017, "avg_order": 1.0}]
+    stats = rows(C.yearly_stats(s, by_order))[0]
+    assert (stats["highest_transaction_by_user"], stats["percentage_1transaction"]) == (1, 100.0)
+    assert rows(C.yearly_stats(s))[0]["highest_transaction_by_user"] == 2
+    assert rows(C.mode_of_transaction(s, by_order))[0]["mode_of_transaction"] == 1
+    assert rows(C.day_diff(s, by_order)) == [] and rows(C.day_diff(s)) == [{"date_year": 2017, "day_diff": 1.0}]
+    assert rows(C.avg_unique_items(s, by_order)) == rows(C.avg_unique_items(s))
+
+
+def test_f7_order_grain_from_any_fact(spark):
+    """Two orders of one customer, three items and two reviews of one of them,
+    and items without an order: the same from a fact of orders and of items."""
+    t = make_tables(
+        spark,
+        customers=[("c1", "u1", "city", "st")],
+        orders=[order("o1", "c1"), order("o2", "c1", purchase=D(2017, 1, 4))],
+        items=[item("o1", 1), item("o1", 2), item("o1", 3), item("o2", 1), item(None, 1), item(None, 2)],
+        reviews=[("o1", 5), ("o1", 2)],
+    )
+    by_item = build_fact(t, [*C.TRANSACTION_COLS, "order_item_id"])
+    by_order = build_fact(t, C.TRANSACTION_COLS)
+    assert (by_item.count(), by_order.count()) == (6, 3)
+    assert {r.order_id: (r.w, r.score_sum, r.score_n) for r in by_order.collect()} == {
+        "o1": (6, 21, 6), "o2": (1, 0, 0), None: (2, 0, 0),
+    }
+    for grain in ("row", "order"):
+        p = ReportParams(grain=grain)
+        for report in (C.yearly_transaction, C.yearly_customer, C.mode_of_transaction):
+            a, b = (sorted(map(repr, rows(report(fact, p)))) for fact in (by_item, by_order))
+            assert a == b, (report.__name__, grain)
+    got = {r["date_year"]: r for r in rows(C.yearly_stats(by_order, ReportParams(grain="order")))}
+    assert got[2017]["highest_transaction_by_user"] == 2 and got[None]["highest_transaction_by_user"] == 1
+    assert rows(C.day_diff(by_order, ReportParams(grain="order"))) == [{"date_year": 2017, "day_diff": 2.0}]
+    with pytest.raises(ValueError):
+        ReportParams(grain="item")
 
 
 def test_f8_review_fan_out(spark):
@@ -221,7 +260,7 @@ def test_f16_seller_city_counts_orders(spark):
         items=[item("o1", n) for n in (1, 2, 3)],
         sellers=[("s1", "town", "ST")],
     )
-    s = build_fact(t, origin.origin_cols("seller"))
+    s = build_fact(t, (*origin.origin_cols("seller"), "order_id"))
     d = Dimensions.of(t)
     assert rows(origin.highest_city(s, "seller", d))[0]["total_transaction_in_city"] == 1
     assert rows(origin.highest_state(s, "seller", d))[0]["total_transaction_in_state"] == 3

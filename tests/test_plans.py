@@ -7,6 +7,9 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from helpers import below, kind_of, plan_nodes, reads, rows_out
+from marketlens.plans import Workload, all_reports, customers
+from marketlens.sources import ADAPTER_PARAMS, from_tpch
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
@@ -20,8 +23,8 @@ def plan_text(df) -> str:
 @pytest.fixture(scope="module")
 def plans(spark):
     qs = E.queries()
-    names = [n for n in qs if n != "top_summary"]  # checkpoints eagerly; checked below
-    return {n: plan_text(qs[n](spark, SF_DIR)) for n in names}
+    names = [n for n in qs if not n.startswith("op") or not n[2].isdigit()]
+    return {n: plan_text(qs[n](spark, SF_DIR)) for n in names if n != "pipeline"}
 
 
 def test_no_python_in_any_plan(plans):
@@ -68,38 +71,84 @@ def test_scan_prunes_columns(plans):
     assert "l_shipdate" not in line and "l_suppkey" not in line
 
 
-@pytest.mark.parametrize("name", ["summary_fingerprint", "yearly_customer", "yearly_transaction", "origin_customer"])
-def test_one_item_shuffle_per_report(spark, name):
-    """At scale (no size-based broadcast), all parts of a report share one
-    item shuffle; other item scans are the NULL-key branch (pushed-down
-    IS NULL, never shuffled)."""
-    at_scale = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    }
-    old = {k: spark.conf.get(k, None) for k in at_scale}
-    try:
-        for k, v in at_scale.items():
+AT_SCALE = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """As at scale: no input is small enough to be broadcast."""
+    old = {k: spark.conf.get(k, None) for k in AT_SCALE}
+    for k, v in AT_SCALE.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
             spark.conf.set(k, v)
-        df = E.queries()[name](spark, SF_DIR)
-        df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-    final = plan.split("== Initial Plan ==")[0]
-    scans = re.findall(r"FileScan parquet[^\n]*lineitem[^\n]*", final)
-    keyed = [x for x in scans if "PushedFilters: [IsNull(" not in x]
+
+
+def _scans(nodes, table):
+    return [n for n in nodes if kind_of(n) == "FileSourceScanExec" and f"/{table}.parquet" in n.toString()]
+
+
+@pytest.mark.parametrize("name", ["summary_fingerprint", "yearly_customer", "yearly_transaction", "origin_customer"])
+def test_one_item_shuffle_per_report(spark, no_broadcast, name):
+    """All parts of a report share one item shuffle; other item scans are the
+    NULL-key branch (pushed-down IS NULL, never shuffled)."""
+    scans = _scans(plan_nodes(E.queries()[name](spark, SF_DIR)), "lineitem")
+    keyed = [n for n in scans if "PushedFilters: [IsNull(" not in n.toString()]
     assert len(keyed) == 1
 
 
-def test_top_summary_plan_has_no_python(spark):
+@pytest.mark.parametrize(
+    ("name", "joins"),
+    [
+        ("yearly_customer", 1),
+        ("monthly_customer", 1),
+        ("yearly_transaction", 1),
+        ("origin_customer", 1),
+        ("product_summary", 1),
+        ("origin_seller", 2),  # the top city counts distinct orders
+    ],
+)
+def test_fact_joins_per_report(spark, no_broadcast, name, joins):
+    """How often the items meet the orders, not counting shared results."""
+    found = 0
+    for n in plan_nodes(E.queries()[name](spark, SF_DIR)):
+        if "Join" in kind_of(n) and "[order_id#" in n.simpleString(200) and "FullOuter" not in n.simpleString(200):
+            found += reads(n, "lineitem")
+    assert found == joins
+
+
+def test_customer_reports_join_orders_not_items(spark, no_broadcast):
+    """Reports of order columns: the items are counted per order before the join."""
+    for name in ("yearly_transaction", "origin_customer", "origin_customer_city"):
+        joins = [
+            n
+            for n in plan_nodes(E.queries()[name](spark, SF_DIR))
+            if "Join" in kind_of(n) and "[order_id#" in n.simpleString(200) and reads(n, "lineitem")
+        ]
+        assert joins
+        for join in joins:
+            side = next(n for n in below(join) if kind_of(n) in ("HashAggregateExec", "FileSourceScanExec"))
+            assert kind_of(side) == "HashAggregateExec", name
+
+
+@pytest.mark.parametrize("name", ["summary_fingerprint", "origin_customer", "origin_seller", "origin_customer__total_city_state"])
+def test_distinct_counts_repeat_no_rows(spark, name):
+    assert not [n for n in plan_nodes(E.queries()[name](spark, SF_DIR)) if kind_of(n) == "ExpandExec"]
+
+
+def test_top_summary_starts_no_job_while_building(spark):
+    spark.sparkContext.setJobGroup("top_summary", "no job while building")
     df = E.queries()["top_summary"](spark, SF_DIR)
-    text = plan_text(df)
-    assert not any(p in text for p in PYTHON_NODES)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("top_summary")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not any(p in plan_text(df) for p in PYTHON_NODES)
 
 
 @pytest.mark.parametrize(
@@ -108,52 +157,54 @@ def test_top_summary_plan_has_no_python(spark):
         ("top_category_revenue", "product_id"),
         ("top_transaction_category", "product_id"),
         ("product_summary", "product_id"),
-        ("origin_seller", "seller_id"),
+        ("origin_seller__total_city_state", "seller_id"),
+        ("origin_seller__highest_state", "seller_id"),
+        ("origin_seller__percentage_state_city", "seller_id"),
     ],
 )
-def test_dimension_joins_see_aggregates(spark, name, key):
-    """At scale, the rows shuffled to meet the product / seller table are
-    per-key aggregates, never item rows."""
-    at_scale = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    }
-    old = {k: spark.conf.get(k, None) for k in at_scale}
-    try:
-        for k, v in at_scale.items():
-            spark.conf.set(k, v)
-        df = E.queries()[name](spark, SF_DIR)
-        df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-    lines = plan.split("== Initial Plan ==")[0].splitlines()
-
-    def op_col(line: str) -> int:
-        m = re.search(r"[A-Za-z*]", line.replace("+-", "  "))
-        return m.start() if m else 0
-
+def test_dimension_joins_see_aggregates(spark, no_broadcast, name, key):
+    """The rows shuffled to meet the product / seller table are aggregates of
+    the items, and far fewer than these."""
+    nodes = plan_nodes(E.queries()[name](spark, SF_DIR))
+    items = sum(rows_out(n) for n in _scans(nodes, "lineitem"))
     found = 0
-    for i, line in enumerate(lines):
-        if "ReusedExchange" in line or not re.search(
-            rf"Exchange hashpartitioning\({key}#\d+L?, ", line
-        ):
+    for n in nodes:
+        if kind_of(n) != "ShuffleExchangeExec" or not reads(n, "lineitem"):
+            continue  # the dimension's own side
+        if not re.search(rf"hashpartitioning\({key}#\d+L?, \d+\)", n.simpleString(200)):
             continue
-        col = op_col(line)
-        subtree = []
-        for nxt in lines[i + 1 :]:
-            if op_col(nxt) <= col:
-                break
-            subtree.append(nxt)
-        first = next(
-            l for l in subtree if "HashAggregate" in l or "FileScan" in l or "Scan ExistingRDD" in l
-        )
-        if "part.parquet" in first or "supplier.parquet" in first:
-            continue  # the dimension side itself
         found += 1
-        assert "HashAggregate" in first, (name, first.strip()[:120])
+        first = next(x for x in below(n) if kind_of(x) in ("HashAggregateExec", "FileSourceScanExec") or "Join" in kind_of(x))
+        assert kind_of(first) == "HashAggregateExec", name
+        assert rows_out(first) < items / 2, (name, rows_out(first), items)
     assert found > 0
+
+
+@pytest.mark.parametrize("name", ["top_reorder_category", "origin_seller__highest_city"])
+def test_no_aggregate_that_reduces_nothing(spark, no_broadcast, name):
+    """The item rows are shuffled for the order join, for the dimension join and
+    once to be counted; no aggregate of nearly all of them comes between."""
+    nodes = plan_nodes(E.queries()[name](spark, SF_DIR))
+    items = sum(rows_out(n) for n in _scans(nodes, "lineitem"))
+    large = [n for n in nodes if kind_of(n) == "ShuffleExchangeExec" and reads(n, "lineitem") and n.metrics().apply("shuffleRecordsWritten").value() > items / 5]
+    assert 1 <= len(large) <= 3
+
+
+def test_years_prune_the_stored_fact(spark):
+    """On stored facts a workload of some years reads their partitions alone,
+    and gives what the base tables give for those years."""
+    lazy = Workload(from_tpch(spark, SF_DIR), ADAPTER_PARAMS)
+    stored = lazy.with_stored_orders(spark, customers.TRANSACTION_COLS).with_stored_fact(spark)
+    reports = all_reports()
+    for name in ("yearly_transaction", "top_transaction_category", "origin_seller", "yearly_customer"):
+        df = reports[name].build(stored.for_years(1996, 1997))
+        scans = [n.toString() for n in plan_nodes(df) if kind_of(n) == "FileSourceScanExec"]
+        facts = [x for x in scans if "/marketlens/" in x]
+        assert facts and all(re.search(r"PartitionFilters: \[[^\]]*purchase_year", x) for x in facts), name
+        base = reports[name].build(lazy.for_years(1996, 1997))
+        assert sorted(map(repr, base.collect())) == sorted(map(repr, df.collect())), name
+    plan = plan_text(reports["yearly_transaction"].build(lazy.for_years(1996)))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan) or "o_orderdate" in plan
+    whole = sorted(map(repr, reports["top_transaction_category"].build(lazy).collect()))
+    years = lazy.for_years(*range(1980, 2010))
+    assert sorted(map(repr, reports["top_transaction_category"].build(years).collect())) == whole

@@ -72,7 +72,7 @@ def test_hot_order_in_weighted_fact_is_split(spark):
         reviews=[("hot", 1 + n % 5) for n in range(500)] + [(o, 3) for o in others],
     )
     with conf(spark, SKEW_CONF):
-        df = build_fact(t, ["order_id", "purchase_date", "review_score"])
+        df = build_fact(t, ["order_id", "order_item_id", "purchase_date", "review_score"])
         rows = df.collect()
         plan = executed_plan(df)
     # one row per item; the hot order's 500 reviews became a weight

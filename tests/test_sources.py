@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.plans import Workload, all_reports
-from marketlens.sources import ADAPTER_PARAMS, from_tpch, read_marketplace, write_report
+from marketlens.sources import ADAPTER_PARAMS, from_tpch, read_marketplace, stored_table, write_report
 from marketlens.sources.schemas import TABLES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -139,3 +139,88 @@ def test_save_table_modes_with_external_path(spark):
     with pytest.raises(Exception):
         save_table(spark.range(1), name, mode="errorifexists", path=path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _failing(spark):
+    """Rows of which the last fails when it is computed."""
+    bad = F.when(F.col("id") == 999, F.raise_error(F.lit("lost"))).otherwise(F.lit(1))
+    return spark.range(1000, numPartitions=4).withColumn("v", bad.cast("int"))
+
+
+@pytest.mark.parametrize("mode", ["overwrite", "ignore", "errorifexists"])
+def test_failed_write_leaves_no_table(spark, mode):
+    root = tempfile.mkdtemp(prefix="marketlens-fail-")
+    out = os.path.join(root, "report")
+    with pytest.raises(Exception, match="lost"):
+        write_report(_failing(spark), out, mode=mode)
+    assert os.listdir(root) == [] and stored_table(spark, out) is None
+    # What an unfinished write of another program left counts as no table.
+    os.makedirs(os.path.join(out, "_temporary", "0"))
+    assert stored_table(spark, out) is None
+    write_report(spark.range(3), out, mode=mode)
+    assert stored_table(spark, out).count() == 3 and os.listdir(root) == ["report"]
+
+
+def test_failed_overwrite_keeps_the_old_table(spark):
+    root = tempfile.mkdtemp(prefix="marketlens-fail-")
+    out = os.path.join(root, "report")
+    write_report(spark.range(5), out)
+    with pytest.raises(Exception, match="lost"):
+        write_report(_failing(spark), out)
+    assert spark.read.parquet(out).count() == 5 and os.listdir(root) == ["report"]
+    # A failed append shows none of its rows.
+    with pytest.raises(Exception, match="lost"):
+        write_report(_failing(spark).filter("v = 1").select("id"), out, mode="append")
+    assert spark.read.parquet(out).count() == 5
+    write_report(spark.range(2), out, mode="append")
+    assert spark.read.parquet(out).count() == 7
+
+
+@pytest.mark.parametrize("external", [True, False])
+def test_failed_catalog_write_keeps_the_old_table(spark, external):
+    from marketlens.sources import save_table
+
+    path = os.path.join(tempfile.mkdtemp(prefix="marketlens-table-"), "t") if external else None
+    name = f"marketlens_fail_{os.getpid()}_{int(external)}"
+    save_table(spark.range(5), name, path=path)
+    with pytest.raises(Exception, match="lost"):
+        save_table(_failing(spark), name, path=path)
+    assert spark.table(name).count() == 5
+    save_table(spark.range(9), name, path=path)
+    assert spark.table(name).count() == 9
+    save_table(spark.range(1), name, mode="append", path=path)
+    assert spark.table(name).count() == 10
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith(name)] == [name]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_run_after_a_failed_run(spark):
+    """A report folder left empty, and a failing report: the next run is whole."""
+    from dataclasses import replace
+
+    from marketlens.plans.runner import run_reports
+
+    out = tempfile.mkdtemp(prefix="marketlens-rerun-")
+    w = Workload(from_tpch(spark, SF_DIR), ADAPTER_PARAMS)
+    os.makedirs(os.path.join(out, "payment_summary"))
+    pays = w.tables.payments
+    bad = F.when(F.col("order_id") % 997 == 5, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("payment_type"))
+    broken = replace(w, tables=replace(w.tables, payments=pays.withColumn("payment_type", bad)))
+    with pytest.raises(Exception, match="lost"):
+        run_reports(spark, broken, out, names=["payment_summary"], mode="ignore")
+    assert stored_table(spark, os.path.join(out, "payment_summary")) is None
+    written = run_reports(spark, w, out, names=["payment_summary", "payment_percentage"], mode="ignore")
+    for name, path in written.items():
+        assert _rows(spark.read.parquet(path)) == _rows(all_reports()[name].build(w)), name
+
+
+def test_parquet_with_a_given_schema_opens_no_file(spark):
+    root = _export(spark, "parquet")
+    known = read_marketplace(spark, root)
+    file_schemas = {n: spark.read.parquet(f"{root}/{n}.parquet").schema for n in TABLES}
+    spark.sparkContext.setJobGroup("handles", "no job for a handle")
+    got = read_marketplace(spark, root, file_schemas=file_schemas)
+    from_tpch(spark, SF_DIR)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("handles")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert _rows(got.orders) == _rows(known.orders)
