@@ -43,10 +43,13 @@ def successor_gap_parts(
     many events a row stands for.
     """
     events = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    # NULL dates go after counting, by a condition on the count: a condition on
+    # the date alone would be pushed into the source of ``df``, which report
+    # parts share only as long as it is the same for all of them.
     per_day = (
-        df.filter(F.col(date).isNotNull())
-        .groupBy(entity, date)
+        df.groupBy(entity, date)
         .agg(events.alias("_m"))
+        .filter(F.when(F.col(date).isNotNull(), F.col("_m")) > 0)
     )
     nxt = F.lead(F.col(date)).over(Window.partitionBy(entity).orderBy(date))
     per_day = per_day.withColumn("_next", nxt)
