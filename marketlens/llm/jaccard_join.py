@@ -206,7 +206,7 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_join(
+def text_groups(
     docs: DataFrame,
     ngram: int = 5,
     threshold: float = 0.8,
@@ -216,7 +216,12 @@ def jaccard_join(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, class_id, n_links) of every document; see the module."""
+    """(id, key, group, class_id, n_links) of every document; see the module.
+
+    ``key`` is the xxhash64 of its text, ``group`` tells the groups of linked
+    texts apart whatever the ids are (null: a text without a word), and
+    ``class_id`` is the smallest id of the group.
+    """
     bands, rows = choose_bands(threshold, recall, max_hashes)
     narrow = docs.select(
         F.col(id_col).cast("long").alias("id"),
@@ -285,13 +290,29 @@ def jaccard_join(
         )
     )
     named = by_class.groupBy("comp").agg(F.min("least").alias("class_id"))
-    by_class = by_class.join(named, "comp").select("cls", "class_id", "n_links")
+    by_class = by_class.join(named, "comp").select("cls", "comp", "class_id", "n_links")
     return (
-        sketched.select("id", "cls")
+        sketched.select("id", "key", "cls")
         .join(by_class, "cls", "left")
         .select(
-            F.col("id").alias(id_col),
+            "id",
+            "key",
+            F.col("comp").alias("group"),
             F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
     )
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """(id, class_id, n_links) of every document; ``settings`` as in ``text_groups``."""
+    groups = text_groups(docs, id_col=id_col, **settings)
+    return groups.select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def representatives(groups: DataFrame) -> DataFrame:
+    """(id, key) of one document per group of ``text_groups``: the smallest id
+    (none last), then the smallest key; and of every document in no group."""
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    one = groups.where(F.col("group").isNotNull()).groupBy("group").agg(F.min_by(F.struct("id", "key"), order).alias("r"))
+    return one.select("r.id", "r.key").union(groups.where(F.col("group").isNull()).select("id", "key").distinct())

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import html
+import math
 import re
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -164,16 +166,36 @@ def test_top_k_of_odd_vectors(spark):
     rows += [(i, [0.5, 0.25, 0.0, 0.0, 0.0, 0.0]) for i in range(300, 460)]  # ties
     rows += [(1000, None), (1001, [float("nan")] * 6), (1002, [None] * 6), (1003, [float("inf")] * 6), (None, [9.0] * 6), (0, rows[0][1])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
-    got = m_tree.top_k(vectors, F.col("vec_id") % 50 == 0, k=10, tree_size=40, page_size=8, fan_out=3, block_size=3)
+    settings = {"tree_size": 40, "page_size": 8, "fan_out": 3, "block_size": 3}
+    got = m_tree.top_k(vectors, F.col("vec_id") % 50 == 0, k=10, **settings)
     good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if v and None not in v and np.isfinite(v).all()]
     want = set()
     for i, q in {i: q for i, q in good if i is not None and i % 50 == 0}.items():
         best = sorted(((-int(q @ v), j is None, j or 0) for j, v in good if j != i))[:10]
         want |= {(i, k + 1, None if none else j, -s) for k, (s, none, j) in enumerate(best)}
     assert {tuple(r) for r in got.collect()} == want
+    levels = m_tree.top_k(vectors, F.col("vec_id") % 50 == 0, k=10, max_pivots=2, **settings)
+    assert {tuple(r) for r in levels.collect()} == want
     assert m_tree.top_k(vectors.where("1 = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("large", [1e5, 1e9, 1e150, 1e300, 1.7e308])
+def test_top_k_of_any_finite_component(spark, large):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(90)]
+    rows += [(100 + i, [float(x) * large / 4 for x in rng.uniform(-1, 1, size=4)]) for i in range(20)]
+    rows += [(200, [large, 0.0, 1.0, 0.0]), (201, [large, 0.0, 0.5, 0.0]), (202, [-large, 1.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = m_tree.top_k(vectors, F.col("vec_id") % 10 == 0, k=5, tree_size=30, page_size=8, fan_out=3)
+    whole = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in rows}
+    want = set()
+    for i in whole:
+        if i % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[i], v, strict=True)), j) for j, v in whole.items() if j != i)[:5]
+            want |= {(i, k + 1, j, max(-(2**63), min(2**63 - 1, -s))) for k, (s, j) in enumerate(best)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 # --- the pipeline -----------------------------------------------------------
 
 
@@ -205,6 +227,23 @@ def test_pipeline_runs_stage_by_stage(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_one_of_near_copies_without_ids(spark, sf):
+    """Near copies that share an id, or have none, leave one row as others do."""
+    base = [f"w{i}" for i in range(120)]
+    near = lambda tag: " ".join([*base[:60], tag, *base[61:]])
+    other = " ".join(f"z{i}" for i in range(60))
+    rows = [(None, near("a")), (None, near("b")), (None, near("b")), (None, other), (None, "!"), (None, "!")]
+    rows += [(7, near("c") + " t"), (7, near("d") + " t"), (7, other + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "1L AS kept_id")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = stage(spark, docs, sf)
+    assert got.columns == docs.columns
+    kept = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    # One of the five near copies (the smallest id), one of the two others, the text without a word.
+    assert sum(kept.values()) == 3 and kept[None, "!"] == 1 and kept[7, other + " x"] == 1
+    assert sum(n for (i, t), n in kept.items() if t.startswith("w0 ")) == 1 and any(i == 7 and t.startswith("w0 ") for i, t in kept)
+
+
 def test_stages_take_odd_rows(spark, sf, odd, nothing):
     for docs in (odd, nothing):
         for name, stage in corpus_pipeline.STAGES:
