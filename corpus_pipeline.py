@@ -7,9 +7,10 @@ Parquet in the shared folder and reads them again for the next.
 1. quality: documents with a score below ``GOOD_FROM`` go. Fitted on the
    labelled documents whose crc32(doc_id) mod 5 is not 0.
 2. near_duplicates: of every group of documents linked by five-word shingles
-   with a Jaccard of 0.8 or more, the one with the smallest id stays. Documents
-   without a word are in no group and stay. Rows that share an id stay once per
-   text; rows without an id are told apart by their text only.
+   with a Jaccard of 0.8 or more, one stays: that with the smallest id (none
+   last), then the smallest hash of the text. Groups are told apart by their
+   texts, so near copies that share an id, or have none, leave one row too.
+   Documents without a word are in no group and stay, once per id and text.
 3. decontaminate: documents that hold a benchmark passage go.
 4. secrets: secrets are masked in the text; ``n_chars`` follows it. No document
    goes.
@@ -36,15 +37,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard_join.jaccard_join(docs)
-    kept = linked.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    text_hash = free_name(docs, "text_hash")
-    return (
-        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-        .withColumn(text_hash, F.xxhash64("text"))
-        .dropDuplicates(["doc_id", text_hash])
-        .select(*docs.columns)
-    )
+    key, kept_id, kept_key = (free_name(docs, name) for name in ("text_key", "kept_id", "kept_key"))
+    kept = jaccard_join.representatives(jaccard_join.text_groups(docs)).withColumnsRenamed({"id": kept_id, "key": kept_key})
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & F.col(key).eqNullSafe(F.col(kept_key))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
