@@ -4,31 +4,36 @@
    styles and the head are no content). A node's *place* is its path of tags
    with their class and id words (digits ignored), so the same-host pages
    merge into one tree of places: the site style tree. Every node with text
-   below it has a look, the hash of its presentation (the sequence of child
-   tags) and its content (the text below it, without template elements). Per
-   place an article contributes each look it has there, once: pages of a host
-   with the same main nodes (their looks) are copies, one article between them.
-2. Spark counts, per host and place, the articles m that have it and the articles
-   c that show each look: grouped sums that are combined before the shuffle, so
-   a host with a third of all pages, or a group of copies, is a few rows a task.
-   With shares p of a place's looks, entropy in base m is -sum p log p / log m:
-   0 if all articles show the same, 1 if all differ. A look's own importance is
-   this entropy if the other articles all differed: with q = c / m,
-   (-q log q + (1 - q) log m) / log m.
-3. Looks of low importance are noise of the site: a node is removed from a
-   page if its place has ``min_pages`` articles or more on the host, and either
-   its look's own importance is below ``threshold``, or the entropy of its place
-   is (a few variants) and ``min_pages`` articles show its look. Other nodes of the
-   place stay. Inline elements amid text of their parent are part of its
-   sentence and stay. A page joins only the noisy looks that it has itself, so
-   no host's tree is ever gathered.
-4. What a template always is, whatever the evidence (a host may have one page):
-   navigation, header, footer, aside, form, script, style and similar elements,
-   and elements whose class, id or role says menu, sidebar, advert, notice,
-   cookie, comment and the like. Inside article or main, ids are often slugs of
-   titles: there the id of a heading or paragraph says nothing, and that of a
-   section only if all its words are such words. Where a page has article (or else main)
-   elements, text outside them is not content.
+   below it has a presentation, the sequence of its child tags with their
+   class and id words, and a content, the text below it; both are hashed. Per
+   place an article contributes each of them once: pages of a host with the
+   same main text are copies, one article between them.
+2. Spark counts, per host and place, the articles m that have it, and for each
+   presentation and each content the articles c that show it: grouped sums that
+   are combined before the shuffle, so a host with a third of all pages, or a
+   group of copies, is a few rows a task. With shares p of a place's variants,
+   entropy in base m is -sum p log p / log m: 0 if all articles show the same,
+   1 if all differ. The importance of a leaf is that of its content: this
+   entropy if all other articles differed, (-q log q + (1 - q) log m) / log m
+   with q = c / m; and no more than the entropy of the place's contents if
+   ``min_pages`` articles show the same variant.
+3. The importance of an inner node is composed on its page: 1 - ``discount`` of
+   it is the entropy of its place's presentations, ``discount`` of it the mean
+   importance of its branches, weighted by their text. Where a host has fewer
+   than ``min_pages`` articles with a place, its variants say nothing: 1.
+4. Branches of an importance below ``threshold`` are removed, from the top; the
+   other branches of a place stay. Inline elements amid text of their parent
+   are part of its sentence. A page joins only the evidence of its own places,
+   so no host's tree is ever gathered.
+5. A menu, an advert or a footer need not repeat: its links and words may differ
+   from page to page, and a host may have one page. What a template says of
+   itself counts whatever the evidence: navigation, header, footer, aside, form,
+   script, style and similar elements, and elements with a class, id or role
+   whose *whole* name is made of template words (``is_template_name``: "ad",
+   "cookie-notice", "siteFooter"; not "ad-hoc", "notice-period", "share-price").
+   Inside article or main a header is the article's own, a heading is never
+   template, and ids of paragraphs are slugs that say nothing. Where a page has
+   article (or else main) elements, text outside them is not content.
 
 Blocks are joined by one line break in page order; white space inside a block
 becomes one space, the block is trimmed; ``br`` is white space. Character
@@ -46,6 +51,8 @@ import hashlib
 import html as references
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,7 +70,7 @@ BLOCK = frozenset(
 )
 NOISE_TAGS = frozenset(
     "head nav header footer aside form script style noscript template iframe button select option input textarea "
-    "menu dialog svg canvas object embed audio video map title search label datalist xmp noembed noframes".split()
+    "menu dialog svg canvas object embed audio video map title search datalist xmp noembed noframes".split()
 )
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
@@ -72,6 +79,12 @@ NOISE_WORDS = frozenset(
     "disqus replies reply respond share sharing social related recommended recommendations widget widgets toolbar "
     "pagination pager complementary contentinfo search alert skip".split()
 )
+# Words that tell parts of a template apart and say nothing alone.
+FRAME_WORDS = frozenset(
+    "site page main top bottom left right box block bar wrap wrapper container content section area panel list item "
+    "items link links inner outer global primary secondary slot unit zone row col column mobile desktop fixed sticky "
+    "js button icon form text body author title thread count meta info posts articles stories the".split()
+)
 CLOSES = {  # a start tag that ends an open element of the same parent
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
@@ -90,23 +103,43 @@ _MARKUP = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
-HEADINGS_AND_P = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_NAME_WORDS = re.compile(r"[a-z]+")
+_NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(100_000)
+def name_words(name: str) -> tuple[str, ...]:
+    """The words of a class or id, split at case, digits and signs, in lower case."""
+    return tuple(w.lower() for w in _NAME_WORDS.findall(name))
+
+
+@lru_cache(100_000)
+def is_template_name(name: str) -> bool:
+    """The whole name is one of template words, or of these and frame words."""
+    words = name_words(name)
+    own = "".join(words)
+    if own in NOISE_WORDS:  # "navBar", "sign-up"
+        return True
+    return not NOISE_WORDS.isdisjoint(words) and all(w in NOISE_WORDS or w in FRAME_WORDS for w in words)
+
+
 class Node:
-    __slots__ = ("tag", "words", "ruled", "place", "children", "parent", "inside")
+    __slots__ = ("tag", "own", "ruled", "place", "children", "parent", "inside")
 
-    def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None, ids: frozenset[str] = frozenset()):
-        """``ids``: the words that only the id has."""
-        self.tag, self.words, self.parent = tag, words, parent
+    def __init__(self, tag: str, names: list[str], ids: list[str], parent: Node | None):
+        """``names``: classes and roles."""
+        self.tag, self.parent = tag, parent
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
-        slug = self.inside and (tag in HEADINGS_AND_P or (tag == "section" and not ids <= NOISE_WORDS))
-        self.ruled = tuple(w for w in words if w not in ids) if slug else words  # the words that rules read
-        own = f"{tag}.{'.'.join(words)}" if words else tag
-        self.place = f"{parent.place}/{own}" if parent else own
+        if tag in HEADINGS and self.inside:
+            said = []
+        else:
+            said = names if tag == "p" and self.inside else names + ids
+        self.ruled = any(map(is_template_name, said))
+        words = sorted({w for name in names + ids for w in name_words(name)})
+        self.own = f"{tag}.{'.'.join(words)}" if words else tag
+        self.place = f"{parent.place}/{self.own}" if parent else self.own
         self.children: list[Node | str] = []
         if parent:
             parent.children.append(self)
@@ -114,7 +147,7 @@ class Node:
 
 def parse(source: str) -> Node:
     """A tree of elements and texts (character references still encoded)."""
-    root = Node("#page", (), None)
+    root = Node("#page", [], [], None)
     at, here = 0, root
     while True:
         m = _MARKUP.search(source, at)
@@ -146,14 +179,12 @@ def parse(source: str) -> Node:
                 node = node.parent
             if node.tag in CLOSES[tag]:
                 here = node.parent
-        words, ids = (), frozenset()
+        names: list[str] = []
+        ids: list[str] = []
         if "=" in rest:
-            names, slugs = set(), set()
             for x in _ATTRIBUTE.finditer(rest):
-                own = slugs if x[1].lower() == "id" else names
-                own.update(_NAME_WORDS.findall((x[2] or x[3] or x[4] or "").lower()))
-            words, ids = tuple(sorted(names | slugs)), frozenset(slugs - names)
-        node = Node(tag, words, here, ids)
+                (ids if x[1].lower() == "id" else names).extend((x[2] or x[3] or x[4] or "").split())
+        node = Node(tag, names, ids, here)
         if tag in VOID or rest.endswith("/"):
             continue
         if tag in RAW:
@@ -168,7 +199,9 @@ def parse(source: str) -> Node:
 
 
 def is_template(node: Node) -> bool:
-    return node.tag in NOISE_TAGS or (node.tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(node.ruled))
+    if node.tag in NOISE_TAGS:
+        return not (node.tag == "header" and node.inside)
+    return node.ruled and node.tag not in ("html", "body", "article", "main")
 
 
 def main_nodes(root: Node) -> list[Node]:
@@ -190,39 +223,86 @@ def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def looks(main: Node) -> dict[Node, int]:
+@dataclass
+class Look:
+    shape: int  # hash of the presentation
+    content: int  # hash of the text below
+    size: int  # characters of that text
+    branches: list[Node]  # children that have a look of their own
+    mixed: bool  # the node has text of its own
+
+
+def looks(main: Node) -> dict[Node, Look]:
     """The look of every node from ``main`` down that has text below it, without
-    template elements."""
+    template elements. Inline elements amid text belong to their parent's text."""
     order, stack = [], [main]
     while stack:
         n = stack.pop()
         order.append(n)
         stack.extend(c for c in n.children if isinstance(c, Node) and not is_template(c))
-    out: dict[Node, int] = {}
+    out: dict[Node, Look] = {}
     for n in reversed(order):  # children come before their parents
-        tags, parts = [], []
+        tags, parts, branches, size = [], [], [], 0
+        mixed = any(isinstance(c, str) and not c.isspace() for c in n.children)
         for c in n.children:
             if isinstance(c, Node):
-                tags.append(c.tag)
+                tags.append(c.own)
                 if c in out:
-                    parts.append(f"<{out[c]}>")
+                    parts.append(f"<{out[c].content}>")
+                    size += out[c].size
+                    if c.tag in BLOCK or not mixed:
+                        branches.append(c)
             elif not c.isspace():
                 parts.append(_SPACE.sub(" ", c).strip())
+                size += len(parts[-1])
         if parts:
-            out[n] = _number("\n".join([">".join(tags), *parts]))
+            out[n] = Look(_number(">".join(tags)), _number("\n".join(parts)), size, branches, mixed)
     return out
 
 
-def style_nodes(main: Node, found: dict[Node, int], host: str | None) -> Iterator[tuple[Node, int, int]]:
-    """(node, place, look at this place) of the nodes below ``main`` that the
-    style tree decides, from the looks ``found``."""
+def style_nodes(main: Node, found: dict[Node, Look], host: str | None) -> Iterator[tuple[Node, int, int, int]]:
+    """(node, place, presentation, content) of the nodes below ``main`` that the
+    style tree decides; the last two are hashes of this place."""
     keys: dict[str, int] = {}
-    for n, look in found.items():
-        if n is main or (n.tag not in BLOCK and any(isinstance(c, str) and not c.isspace() for c in n.parent.children)):
-            continue
+    todo = list(found[main].branches) if main in found else []
+    while todo:
+        n = todo.pop()
+        todo.extend(found[n].branches)
         if n.place not in keys:
             keys[n.place] = place_key(host, n.place)
-        yield n, keys[n.place], _number(f"{keys[n.place]} {look}")
+        key = keys[n.place]
+        yield n, key, _mix(key, found[n].shape), _mix(key, ~found[n].content)
+
+
+def _mix(a: int, b: int) -> int:
+    """A 64-bit number of two."""
+    x = ((a ^ (b * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 29
+    x = (x * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 32
+    return x - (1 << 64) if x >> 63 else x
+
+
+def noisy_nodes(main: Node, host: str | None, evidence: dict[int, float], threshold: float, discount: float) -> set[Node]:
+    """Nodes below ``main`` whose importance is below ``threshold``.
+
+    ``evidence``: importance by place (of its presentations) and by content.
+    """
+    found = looks(main)
+    importance: dict[Node, float] = {}
+    nodes = list(style_nodes(main, found, host))
+    for n, place, _, content in reversed(nodes):  # branches come before their nodes
+        own = evidence.get(content, 1.0)
+        look = found[n]
+        if not look.branches:
+            importance[n] = own
+            continue
+        size = sum(found[c].size for c in look.branches)
+        parts = sum(importance[c] * found[c].size for c in look.branches)
+        if look.mixed:  # its own text counts as a branch
+            size, parts = look.size, parts + own * (look.size - size)
+        importance[n] = (1.0 - discount) * evidence.get(place, 1.0) + discount * (parts / size if size else own)
+    return {n for n, value in importance.items() if value < threshold}
 
 
 def blocks(root: Node, noisy: set[Node]) -> list[str]:
@@ -261,52 +341,75 @@ def place_key(host: str | None, place: str) -> int:
 
 
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["page", "article", "place", "shape", "content"]
     for batch in batches:
-        rows: list[tuple[int, int, int, int]] = []
+        rows: list[tuple[int, int, int, int, int]] = []
         for key, host, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             mains = [(main, looks(main)) for main in main_nodes(parse(source))] if source else []
-            article = _number(" ".join(str(found.get(main)) for main, found in mains))
-            rows += {(key, article, place, look) for both in mains for _, place, look in style_nodes(*both, host)}
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], names=["page", "article", "place", "look"]
-        )
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for host, source, noisy in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            if not source:
-                texts.append("")
-                continue
-            root = parse(source)
-            low = set(noisy or ())
-            mains = main_nodes(root) if low else []
-            texts.append("\n".join(blocks(root, {n for main in mains for n, _, look in style_nodes(main, looks(main), host) if look in low})))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
-        )
+            article = _number(" ".join(str(found[main].content) for main, found in mains if main in found))
+            rows += {(key, article, *both) for main, found in mains for _, *both in style_nodes(main, found, host)}
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
+def _extract(threshold: float, discount: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for host, source, known in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if not source:
+                    texts.append("")
+                    continue
+                root, noisy = parse(source), set()
+                evidence = {e["key"]: e["value"] for e in known or ()}
+                if evidence:
+                    for main in main_nodes(root):
+                        noisy |= noisy_nodes(main, host, evidence, threshold, discount)
+                texts.append("\n".join(blocks(root, noisy)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                names=["page_id", "url", "text", "n_chars"],
+            )
+
+    return run
+
+
+def _entropies(styles: DataFrame, variant: str) -> tuple[DataFrame, DataFrame]:
+    """(place, variant, c), and per place the entropy of its variants but for its base:
+    n = sum of c, s = sum of c log c, so that it is log n - s / n."""
+    counted = styles.select("place", variant, "article").distinct().groupBy("place", variant).agg(F.count("*").alias("c"))
+    sums = counted.groupBy("place").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    return counted, sums.select("place", (F.log("n") - F.col("s") / F.col("n")).alias("entropy"))
 
 
-def _noise(styles: DataFrame, threshold: float, min_pages: int) -> DataFrame:
-    """The looks of low importance."""
-    shown = styles.select("place", "look", "article").distinct()
-    counted = shown.groupBy("place", "look").agg(F.count("*").alias("c"))
+def style_importance(styles: DataFrame, min_pages: int) -> tuple[DataFrame, DataFrame]:
+    """The evidence of the style tree: (place, key, value) with the entropy of a
+    place's presentations (key: the place), and (content, key, value) with the
+    importance of a content. Only what is below 1 is listed."""
     articles = styles.select("place", "article").distinct().groupBy("place").agg(F.count("*").alias("m"))
-    sums = counted.groupBy("place").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    places = articles.where(F.col("m") >= min_pages).join(sums, "place")
-    entropy = (F.log("n") - F.col("s") / F.col("n")) / F.log("m")
-    share = F.col("c") / F.col("m")
-    own = (-share * F.log(share) + (1 - share) * F.log("m")) / F.log("m")
-    low = (own < threshold) | ((entropy < threshold) & (F.col("c") >= min_pages))
-    return counted.where("c > 1").join(places, "place").where(low).select("look")
+    articles = articles.where(F.col("m") >= min_pages)
+    _, shapes = _entropies(styles, "shape")
+    counted, contents = _entropies(styles, "content")
+    log_m = F.log("m")
+    of_places = articles.join(shapes, "place").select(
+        "place", F.col("place").alias("key"), F.least(F.lit(1.0), F.col("entropy") / log_m).alias("value")
+    )
+    q = F.col("c") / F.col("m")
+    alone = (-q * F.log(q) + (1 - q) * log_m) / log_m
+    few = F.when(F.col("c") >= min_pages, F.col("entropy") / log_m)
+    of_contents = (
+        counted.where("c > 1")
+        .join(articles, "place")
+        .join(contents, "place")
+        .select("content", F.col("content").alias("key"), F.least(alone, few).alias("value"))
+    )
+    return of_places.where("value < 1"), of_contents
 
 
 def extract_text(
     pages: DataFrame,
     threshold: float = 0.2,
+    discount: float = 0.9,
     min_pages: int = 8,
     id_col: str = "page_id",
     url_col: str = "url",
@@ -319,17 +422,28 @@ def extract_text(
         F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), source.alias("html")
     ).withColumn("page", F.xxhash64("url", "html"))
     styles = written(
-        narrow.select("page", "host", "html").mapInArrow(_styles, "page long, article long, place long, look long"),
+        narrow.select("page", "host", "html").mapInArrow(
+            _styles, "page long, article long, place long, shape long, content long"
+        ),
         "styles",
     )
-    low = _noise(styles, threshold, min_pages)
-    noisy = styles.select("page", "look").join(low, "look").groupBy("page").agg(F.collect_set("look").alias("noisy"))
-    noisy = written(noisy, "noisy")  # of known size: where it is small, the pages are not shuffled
+    of_places, of_contents = style_importance(styles, min_pages)
+    # A branch can fall below the threshold only if a leaf below it has less than
+    # threshold / discount: only such pages need the evidence of their places.
+    low = of_contents.where(F.col("value") < threshold / discount)
+    touched = written(styles.select("page", "content").join(low, "content").select("page").distinct(), "touched")
+    rows = written(styles.select("page", "place", "content").join(touched, "page", "left_semi"), "touched-styles")
+    of_content = rows.select("page", "content").distinct().join(of_contents, "content").select("page", "key", "value")
+    of_place = rows.select("page", "place").distinct().join(of_places, "place").select("page", "key", "value")
+    shown = of_content.union(of_place)
+    known = shown.groupBy("page").agg(F.collect_list(F.struct("key", "value")).alias("known"))
+    known = written(known, "evidence")  # of known size: where it is small, the pages are not shuffled
     return (
-        narrow.join(noisy, "page", "left")
-        .select("page_id", "url", "host", "html", "noisy")
+        narrow.join(known, "page", "left")
+        .select("page_id", "url", "host", "html", "known")
         .mapInArrow(
-            _extract, f"page_id {narrow.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
+            _extract(threshold, discount),
+            f"page_id {narrow.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long",
         )
         .withColumnsRenamed({"page_id": id_col, "url": url_col})
     )

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import math
+import random
 import re
 from fractions import Fraction
 
@@ -84,10 +85,98 @@ def test_title_slugs_are_no_template_words():
         '<div data-id="search">d</div><section id="comments">c</section><h2 class="widget">w</h2><div id="ad-3">a</div>'
     )
     root = html_text.parse(f'<h2 id="search-results">out</h2><article>{article}</article>')
-    assert html_text.blocks(root, set()) == ["Related work", "p", "Dough", "d"]
+    assert html_text.blocks(root, set()) == ["Related work", "p", "Dough", "d", "w"]
     assert html_text.blocks(html_text.parse('<h2 id="search">out</h2><p>in</p>'), set()) == ["in"]
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<article><p class="notice-period">law</p><div class="ad-hoc">x</div><div class="social-history"><p>y</p></div></article>', "law\nx\ny"),
+        ('<body><div class="share-price">up</div><nav>menu</nav></body>', "up"),
+        ("<article><header><h1>Title</h1></header><p>a</p><footer>f</footer></article>", "Title\na"),
+        ("<header>h</header><p><label>Name</label> of a thing</p>", "Name of a thing"),
+        ('<article><p>a</p><div class="cookie-notice">c</div><div id="ad-3">b</div><div class="siteFooter">f</div></article>', "a"),
+        ('<article><p>a</p><div class="x adBox">b</div><div role="navigation">n</div><p class="advert">v</p><p class="adverse">w</p></article>', "a\nw"),
+        ('<article><div class="comments-area"><p>c</p></div><div class="commentary">d</div><section id="search-results">e</section></article>', "d\ne"),
+    ],
+)
+def test_template_names_are_whole_names(source, text):
+    assert "\n".join(html_text.blocks(html_text.parse(source), set())) == text
+
+
+def test_importance_equals_brute_force(spark):
+    """Entropies by place, of random pages, counted by hand."""
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        parts = [f"<p>{r.choice('abc')}</p>" for _ in range(r.randrange(1, 4))]
+        parts += [f"<div class=box><p>{r.choice('xy' + str(i))}</p>{'<b>z</b>' * r.randrange(2)}</div>"]
+        rows.append((i, f"http://{r.choice('mn')}.org/", f"<article>{''.join(parts)}<p>own {i}</p></article>"))
+    styles = spark.createDataFrame(rows, "page long, host string, html string").mapInArrow(
+        html_text._styles, "page long, article long, place long, shape long, content long"
+    )
+    seen = [tuple(x) for x in styles.collect()]
+    of_places, of_contents = html_text.style_importance(styles, 8)
+
+    def entropy(variant, place):
+        shows = collections.defaultdict(set)
+        for s in seen:
+            if s[2] == place:
+                shows[s[variant]].add(s[1])
+        counts = [len(x) for x in shows.values()]
+        return -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts), {k: len(x) for k, x in shows.items()}
+
+    want_places, want_contents = {}, {}
+    for place in {s[2] for s in seen}:
+        m = len({s[1] for s in seen if s[2] == place})
+        if m < 8:
+            continue
+        value = min(1.0, entropy(3, place)[0] / math.log(m))
+        if value < 1:
+            want_places[place] = value
+        among, counts = entropy(4, place)
+        for content, c in counts.items():
+            if c > 1:
+                q = c / m
+                alone = (-q * math.log(q) + (1 - q) * math.log(m)) / math.log(m)
+                want_contents[content] = min(alone, among / math.log(m)) if c >= 8 else alone
+    assert {x.key: x.value for x in of_places.collect()} == pytest.approx(want_places, abs=1e-9)
+    assert {x.key: x.value for x in of_contents.collect()} == pytest.approx(want_contents, abs=1e-9) and want_contents
+
+
+def test_composed_importance(spark):
+    """A box whose branches are noise goes as a whole; one with a branch of its
+    own keeps that; presentations alone remove nothing."""
+    page = (
+        "<article><div class=x1><ul><li>Home</li><li>About us</li></ul></div>"
+        "<div class=x2><p>Copyright of the owner</p><p>entry {0} of the diary, told at length and never twice</p></div>"
+        "<p>body {0}</p></article>"
+    )
+    rows = [(i, f"http://a.org/{i}", page.format(i)) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert got[4] == "entry 4 of the diary, told at length and never twice\nbody 4"
+    root = html_text.parse(rows[4][2])
+    main = html_text.main_nodes(root)[0]
+    nodes = list(html_text.style_nodes(main, html_text.looks(main), "a.org"))
+    evidence = {content: 0.1 for n, _, _, content in nodes if n.tag in ("li",)} | {place: 0.0 for _, place, _, _ in nodes}
+    noisy = html_text.noisy_nodes(main, "a.org", evidence, 0.2, 0.9)
+    assert {n.tag for n in noisy} == {"li", "ul", "div"} and len([n for n in noisy if n.tag == "div"]) == 1
+
+
+def test_pages_of_odd_rows(spark):
+    """A very long page, nulls, repeats and columns named like the results."""
+    long = "<article>" + "".join(f"<p>word {i} &amp; more</p>" for i in range(40_000)) + "</article>"
+    rows = [(1, "http://a.org", long), (None, None, "<p>x</p>"), (2, "http://a.org", None), (2, "http://a.org", "<p>y"), (2, "http://a.org", "<p>y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = pages.selectExpr("*", "'t' AS text", "1 AS n_chars", "'h' AS host", "7L AS page", "0L AS known")
+    got = html_text.extract_text(pages).collect()
+    assert collections.Counter((r.page_id, r.n_chars) for r in got) == collections.Counter(
+        [(1, len("\n".join(f"word {i} & more" for i in range(40_000)))), (None, 1), (2, 0), (2, 1), (2, 1)]
+    )
+
+
 def test_copies_of_a_page_are_one_article(spark):
     page = "<nav>{0}</nav><article><h1>t{1}</h1><p>first {1}</p><div><p>second {1}</p></div></article>"
     rows = [(i, f"http://a.org/{i}", page.format(i, "same")) for i in range(12)]
