@@ -64,6 +64,11 @@ _PLACES = np.random.default_rng(11).integers(0, 2**63, 4096, dtype=np.uint64) *
 _IS_WORD = np.array([chr(i).isalnum() or i == 95 or i >= 128 for i in range(256)])[:256]
 # Punctuation beyond ASCII, as lead bytes of UTF-8: no-break space to inverted
 # question mark, general punctuation, CJK punctuation.
+# Scripts written without spaces, as ranges of code points: there every
+# character is a word. Thai, Lao, Myanmar and Khmer; kana; ideographs. Their
+# UTF-8 has three bytes, of which the first two tell the script (four bytes,
+# three of them, for the rarer ideographs).
+SINGLE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x3FFFF))
 _MARKS = ((b"\xc2", 0xC2, None, 2), (b"\xe2\x80", 0xE2, 0x80, 3), (b"\xe2\x81", 0xE2, 0x81, 3), (b"\xe3\x80", 0xE3, 0x80, 3))
 
 
@@ -82,7 +87,8 @@ class Words:
 
 def word_table(texts: list[str | None]) -> Words:
     """Words are runs of ASCII letters, digits and underscores and of characters
-    beyond ASCII other than the punctuation in ``_MARKS``, lower-cased. Array
+    beyond ASCII other than the punctuation in ``_MARKS``, lower-cased; each
+    character of a script without spaces (``SINGLE``) is a word of its own. Array
     operations over the bytes of all texts; whole texts, no word is left out."""
     data = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     joined = b"\n".join(data) + b"\n"
@@ -98,6 +104,13 @@ def word_table(texts: list[str | None]) -> Words:
                 inside[at + k] = False
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
     begin, end = edges[::2], edges[1::2]  # the last byte is a line break: every word ends
+    single, width = _single_characters(raw)
+    if len(single):
+        # Cut before and after each of these characters.
+        cuts = np.unique(np.concatenate([begin, single, single + width]))
+        begin = cuts[inside[cuts]]
+        ends = np.unique(np.concatenate([end, begin]))
+        end = ends[np.searchsorted(ends, begin, "right")]
     sizes = end - begin
     text_ends = np.cumsum([len(d) + 1 for d in data])
     starts = np.concatenate([[0], np.searchsorted(begin, text_ends)]).astype(np.int64)
@@ -110,6 +123,25 @@ def word_table(texts: list[str | None]) -> Words:
     return Words(mix64(np.add.reduceat(mixed, firsts) + sizes.astype(np.uint64)), sizes, starts)
 
 
+def _single_characters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and widths of the characters of ``SINGLE`` in UTF-8 bytes."""
+    three = np.flatnonzero((raw >= 0xE0) & (raw <= 0xE9))
+    four = np.flatnonzero((raw >= 0xF0) & (raw <= 0xF0))
+    code = np.concatenate(
+        [
+            ((raw[three] & 15).astype(np.int32) << 12) | ((raw[three + 1] & 63).astype(np.int32) << 6) | (raw[three + 2] & 63),
+            ((raw[four + 1] & 63).astype(np.int32) << 12) | ((raw[four + 2] & 63).astype(np.int32) << 6) | (raw[four + 3] & 63),
+        ]
+    )
+    at = np.concatenate([three, four])
+    width = np.repeat([3, 4], [len(three), len(four)])
+    ok = np.zeros(len(at), bool)
+    for low, high in SINGLE:
+        ok |= (code >= low) & (code <= high)
+    order = np.argsort(at[ok], kind="stable")
+    return at[ok][order], width[ok][order]
+
+
 def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     """Order-dependent 64-bit hash of every run of ``n`` words, by position.
 

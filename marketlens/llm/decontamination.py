@@ -23,9 +23,11 @@ its weight is the number of the bytes of its words.
   over weight of all shingles (multisets), a hit at ``threshold`` or more.
 
 The benchmark is shipped to the tasks in parts of about ``part_words`` words
-(parts are dealt by a hash and counted first, so the size shipped at once is
-bounded however large the benchmark is); documents are passed once per part
-and never shuffled, so hot sources or texts cannot gather in one task.
+(dealt by a hash and counted first). A benchmark of one part is looked up in
+one pass that adds a column. Of several parts one is in memory at a time: a
+pass per part writes the hits of the texts that have some, by a digest of the
+text, and ends before the next index is made; the documents then meet these
+few rows in a join. Documents are passed once per part, and only their texts.
 
 Defined cases: null or empty texts have no hits; items with fewer than
 ``ngram`` words (null and empty ones included) identify nothing and are
@@ -46,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm._shared import free_name, shingle_hashes, word_table
+from marketlens.llm._shared import free_name, shingle_hashes, word_table, written
 
 BLOCKS, BLOCK_BITS = 4, 16
 HIT = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("similarity", pa.float64())])
@@ -329,16 +331,33 @@ def mark_hits(
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
     total = items.agg(F.sum(F.regexp_count("text", F.lit(r"\w+")))).first()[0] or 0
     parts = max(1, -(-total // part_words))
+
+    def part_index(part: int):
+        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)  # about part_words words
+        return spark.sparkContext.broadcast(ItemIndex([(r.id, r.text) for r in own.collect()], ngram, radius, threshold))
+
+    def marked(rows: DataFrame, part: int, name: str):
+        index = part_index(part)
+        schema = T.StructType([*rows.schema.fields]).add(name, HITS_TYPE)
+        return rows.mapInArrow(_mark(index, threshold, rows.columns.index(text_col), name, group_bytes), schema), index
+
+    if parts == 1:
+        return marked(docs, 0, out_col)[0]
+    found: DataFrame | None = None
     for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-        index = spark.sparkContext.broadcast(ItemIndex([(r.id, r.text) for r in own.collect()], ngram, radius, threshold))
-        name = out_col if part == 0 else free_name(docs, out_col + "_more")
-        schema = T.StructType([*docs.schema.fields]).add(name, HITS_TYPE)
-        at = docs.columns.index(text_col)
-        docs = docs.mapInArrow(_mark(index, threshold, at, name, group_bytes), schema)
-        if part:
-            docs = docs.withColumn(out_col, F.concat(out_col, name)).drop(name)
-    return docs
+        rows, index = marked(docs.select(text_col), part, "hits_")
+        own = rows.where(F.size("hits_") > 0).select(F.md5(F.col(text_col).cast("binary")).alias("digest_"), "hits_")
+        own = written(own.dropDuplicates(["digest_"]), "hits")  # equal texts have equal hits
+        index.destroy()
+        found = own if found is None else found.union(own)
+    # A text has few hits; texts without any have no row here.
+    by_text = written(found.groupBy("digest_").agg(F.flatten(F.collect_list("hits_")).alias("hits_")), "hits-by-text")
+    digest, hits = free_name(docs, "digest_"), free_name(docs, "hits_")
+    by_text = by_text.select(F.col("digest_").alias(digest), F.col("hits_").alias(hits))
+    keyed = docs.withColumn(digest, F.md5(F.col(text_col).cast("binary")))
+    order = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("at"), F.coalesce(h["item_id"], F.lit(0)), h.alias("hit"))))
+    listed = F.coalesce(F.transform(order, lambda o: o["hit"]), F.array().cast(HITS_TYPE))
+    return keyed.join(by_text, digest, "left").select(*docs.columns, listed.alias(out_col))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

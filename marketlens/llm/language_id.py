@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketlens.llm._shared import free_name
+
 UND = "und"
 
 
@@ -243,7 +245,8 @@ def fit(
 ) -> LanguageModel:
     """A model from a bounded sample: ``per_lang`` documents of each of the
     (at most ``max_langs``, the most frequent) languages for which ``usable``
-    holds, chosen by a hash of the id. Only ids are ranked, not texts."""
+    holds, chosen by a hash of the id. Only ids are ranked, not texts. Languages
+    beyond ``max_langs`` are not learned: raise it where there are more."""
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     langs = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs)
     # Of a language's hashes only the lowest share is ranked, some four times
@@ -270,7 +273,9 @@ def fit(
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` at the end."""
+    """``docs`` with two columns at the end, ``lang_pred`` and ``score`` (with
+    underscores added where the input has such columns)."""
+    names = [free_name(docs, name) for name in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -279,8 +284,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             best, score = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                names=[*batch.schema.names, *names],
             )
 
     schema = T.StructType([*docs.schema.fields])
-    return docs.mapInArrow(run, schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()))
+    return docs.mapInArrow(run, schema.add(names[0], T.StringType()).add(names[1], T.DoubleType()))

@@ -167,11 +167,14 @@ def fit(
         .orderBy(F.xxhash64(id_col), id_col)
         .limit(sample)
     )
-    # At most ``sample`` small rows: their size is bounded by the parameter.
+    # At most ``sample`` small rows: their size is bounded by the parameter. Of
+    # the texts of a repeated id the one with the smallest hash counts.
     rows = (
         docs.select(F.col(id_col), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), id_col)
-        .dropDuplicates([id_col])
+        .groupBy(id_col, "label")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+        .select(id_col, "label", F.col("least.text").alias("text"))
         .orderBy(id_col)
         .collect()
     )

@@ -370,7 +370,9 @@ def oracle_sql() -> dict[str, str]:
         "op9_jaccard_join": r"""
             WITH RECURSIVE words AS (
               SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')),
-                '[0-9a-z_\x{80}-\x{9F}\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+') AS w
+                '[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{3FFFF}]|'
+                '[0-9a-z_\x{80}-\x{9F}\x{C0}-\x{DFF}\x{F00}-\x{FFF}\x{10A0}-\x{177F}\x{1800}-\x{1FFF}\x{2080}-\x{2FFF}'
+                '\x{3100}-\x{33FF}\x{4DC0}-\x{4DFF}\x{A000}-\x{1FFFF}\x{40000}-\x{10FFFF}]+') AS w
               FROM documents
             ),
             grams AS (

@@ -3,9 +3,17 @@
 import collections
 import re
 
+# Each character of a script without spaces is a word.
+SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff"
+
+
+def words(text):
+    run = "[0-9a-z_\\x80-\\x9f\u00c0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]"
+    return re.findall(f"[{SINGLE}]|(?:(?![{SINGLE}]){run})+", (text or "").lower())
+
 
 def grams(text):
-    w = re.findall(r"[0-9a-z_\x80-\x9fÀ-῿₀-⿿぀-\U0010ffff]+", (text or "").lower())
+    w = words(text)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 

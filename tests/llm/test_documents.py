@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from llm_brute import base_spans, brute_links
+from llm_brute import base_spans, brute_links, words
 from marketlens.llm import decontamination, jaccard_join, language_id, packing, quality, secret_scan, token_counts
 from marketlens.llm._shared import word_table
 
@@ -159,9 +159,10 @@ def test_bands_reach_the_recall():
 
 
 def test_words_are_those_of_the_pattern():
-    texts = ["Été — “quoted” a_b 3.5　x", None, "", "ΑΒΓ δ", "no-break thin"]
+    texts = ["Été — “quoted” a_b 3.5　x", None, "", "ΑΒΓ δ", "no-break thin", "日本語 text中文", "ภาษาไทยa", "a😀b 𠀀𠀁c", "ひらがな、カタカナ。한국어 단어"]
     table = word_table(texts)
-    want = [re.findall(r"[0-9a-z_\x80-\x9fÀ-῿₀-⿿぀-\U0010ffff]+", (t or "").lower()) for t in texts]
+    want = [words(t) for t in texts]
+    assert want[5] == ["日", "本", "語", "text", "中", "文"]
     assert np.diff(table.starts).tolist() == [len(w) for w in want]
     assert [int(s) for s in table.sizes] == [len(w.encode()) for ws in want for w in ws]
     assert word_table(["x y"]).hashes.tolist() == [word_table([w]).hashes[0] for w in ("x", "y")]
@@ -204,6 +205,31 @@ def test_edited_passages_and_parts(spark, odd, nothing):
     assert decontamination.decontaminate(docs, bench.where("1 = 0")).count() == len(texts)
 
 
+def test_many_parts_one_at_a_time(spark, odd):
+    """Twenty parts find what one part finds, in copies and null texts too."""
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.choices([f"v{j}" for j in range(400)], k=40))) for i in range(40)]
+    bench = spark.createDataFrame([*items, (None, items[3][1]), (90, "短い文章ですがそのまま写されている")], "item_id long, text string")
+    texts = [" ".join(["pre"] * 9 + [items[i % 40][1]] + ["post"] * 7 + [items[(i * 7) % 40][1]]) for i in range(60)]
+    texts += [texts[0], None, "", "前置き、短い文章ですがそのまま写されている。後書き", "nothing of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS hits_", "'x' AS digest_")
+    one = decontamination.mark_hits(docs, bench, "found")
+    many = decontamination.mark_hits(docs, bench, "found", part_words=85)
+    assert many.columns == one.columns == [*docs.columns, "found"]
+    listed = lambda df: {r.doc_id: sorted(map(repr, r.found)) for r in df.collect()}
+    want = listed(one)
+    assert listed(many) == want and all(want[i] for i in range(61)) and want[63] and not want[64] and not want[61]
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan  # every part's pass is over
+
+
+def test_near_copies_without_spaces(spark):
+    text = "".join(chr(0x4E00 + (i * 37) % 900) for i in range(200))
+    rows = [(1, text), (2, text[:100] + "変" + text[101:]), (3, text[::-1])]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
 def test_single_edits_of_short_items_equal_brute_force():
     rng = np.random.default_rng(3)
     words = ["a", "of", "to", "in", "the", "and", "house", "windows", "extraordinary", "characterisation"]
@@ -301,6 +327,8 @@ def test_language_of_odd_rows(odd, nothing):
     got = language_id.identify(clean, model).collect()
     assert [r.lang_pred for r in got if r.doc_id in (1, 2, 5, 8)] == ["und"] * 4
     assert {r.lang_pred for r in got} <= {"en", "de", "und"} and len(got) == odd.count()
+    clash = language_id.identify(odd, model)  # it has a column score
+    assert clash.columns == [*odd.columns, "lang_pred", "score_"] and {r.score for r in clash.collect()} == {0.5}
     assert language_id.identify(nothing.select("doc_id", "text"), model).count() == 0
     untrained = language_id.fit(nothing, F.lit(True))
     assert {r.lang_pred for r in language_id.identify(clean, untrained).collect()} == {"und"}
