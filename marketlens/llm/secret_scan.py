@@ -8,12 +8,17 @@ The method adds spans of kind ``markov``: two first-order Markov models over
 characters, one of random strings and one of ordinary identifiers, score every
 run of ``min_run`` or more token characters; a run whose log-likelihood ratio
 per transition exceeds ``threshold`` and that meets no base span is a secret.
-Both models are learned from labelled samples of the corpus: the values that
+Both models are learned from labelled samples: of the corpus, the values that
 the base patterns found (random) and the runs of ``train_run`` or more token
 characters in documents without a base span (ordinary), each from at most
-``sample`` documents, those with the smallest hash of their text. Both are
-blended with the uniform model; where a sample says nothing a model is uniform. The learned
-table is a constant of the plan: 68 x 68 numbers, whatever the corpus.
+``sample`` documents, those with the smallest hash of their text; and of
+``labelled_tokens``, strings made by rule that a corpus may lack: keys in the
+alphabets of base64, base62 and lower-case base36 (random), and digit runs,
+UUIDs, times, versions, and words joined by case, ``_``, ``-`` or ``/``,
+upper-case constants among them
+(ordinary, on purpose: an order number is no secret). Both are blended with
+the uniform model. The learned table is a constant of the plan: 68 x 68
+numbers, whatever the corpus.
 
 Every step is a projection of the document's row: no shuffle of texts, so a
 hot source or a group of copies costs what its rows cost.
@@ -27,10 +32,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm._shared import free_name
+from marketlens.llm._shared import free_name, written
 
 # The patterns of the base kinds, in their order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,7 +47,7 @@ SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 RUN = "[A-Za-z0-9+/_=-]"
 # Share of the uniform distribution in the model of random strings (whose
 # alphabet the samples need not show) and in that of ordinary identifiers.
-UNIFORM = (0.3, 0.01)
+UNIFORM = (0.3, 0.02)
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -102,38 +107,60 @@ def _indexes(token: Column) -> Column:
 
 
 def _counts(tokens: DataFrame) -> DataFrame:
-    """(pair, n): transitions of the column ``token``; pair = from * 68 + to."""
+    """(kind, pair, n): transitions of the column ``token``; pair = from * 68 + to."""
     k = len(SYMBOLS)
-    ids = tokens.select(_indexes(F.col("token")).alias("i")).where(F.size("i") > 1)
+    ids = tokens.select("kind", _indexes(F.col("token")).alias("i")).where(F.size("i") > 1)
     n = F.size("i")
     pairs = F.zip_with(F.slice("i", 1, n - 1), F.slice("i", 2, n - 1), lambda a, b: a * k + b)
-    return ids.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    return ids.select("kind", F.explode(pairs).alias("pair")).groupBy("kind", "pair").agg(F.count("*").alias("n"))
+
+
+def labelled_tokens(spark: SparkSession, n: int = 2000) -> DataFrame:
+    """(token, kind): ``n`` strings of each of several forms, kind 0 random and
+    1 ordinary, the same every time."""
+    ids = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    raw = F.base64(F.unhex("h"))  # 43 characters of base64 and a sign
+    plain = F.regexp_replace(raw, "[+/=]", "")
+    digits = F.substring(F.regexp_replace("h", "[a-f]", ""), 1, 24)
+    uuid = F.regexp_replace(F.substring("h", 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    time = F.date_format(F.timestamp_seconds(F.lit(1_000_000_000) + F.col("id") * 86_399), "yyyy-MM-dd'T'HHmmss")
+    version = F.concat_ws("-", F.lit("release"), F.col("id") % 37, F.col("id") % 101, F.col("id") % 7)
+    syllable = lambda at: F.get(
+        F.split(F.lit("user data file name list test value order total index page view table count group model start time"), " "),
+        F.conv(F.substring("h", at, 2), 16, 10).cast("int") % 18,
+    )
+    four = [syllable(at) for at in (1, 3, 5, 7)]
+    camel = F.concat(four[0], *[F.initcap(w) for w in four[1:]])
+    joined_by = [F.concat_ws(sign, *four) for sign in ("_", "-", "/")]
+    ordinary = [digits, uuid, time, version, camel, *joined_by, F.upper(joined_by[0])]
+    random = [raw, plain, F.substring(F.lower(plain), 1, 32), F.concat(F.lit("key_"), F.substring(plain, 3, 30))]
+    kinds = [(t, 0) for t in random] + [(t, 1) for t in ordinary]
+    rows = F.array(*[F.struct(t.alias("token"), F.lit(kind).alias("kind")) for t, kind in kinds])
+    return ids.select(F.explode(rows).alias("t")).select("t.*")
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = 2000, train_run: int = 6) -> list[float]:
-    """Log-likelihood ratios (random over ordinary) of the 68 x 68 transitions."""
-    k = len(SYMBOLS)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(text.alias("t")).withColumn("v", _values(F.col("t")))
-    rows = rows.withColumn("h", F.xxhash64("t"))
-
-    def sampled(some: DataFrame) -> DataFrame:
-        """Up to ``sample`` different texts: hashes are ranked, not texts, and
-        copies of a text are combined before the shuffle."""
-        last = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-        return some.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("t").alias("t"), F.first("v").alias("v"))
-
-    random = sampled(rows.where(F.size("v") > 0))
-    plain = sampled(rows.where((F.size("v") == 0) & (F.col("t") != "")))
-    ordinary = plain.select(
-        F.explode(F.regexp_extract_all("t", F.lit(f"{RUN}{{{train_run},}}"), F.lit(0))).alias("token")
-    )
-    counts = (
-        _counts(random.select(F.explode("v").alias("token")))
-        .withColumn("kind", F.lit(0))
-        .union(_counts(ordinary).withColumn("kind", F.lit(1)))
-        .collect()  # at most 2 x 68 x 68 rows
+    """Log-likelihood ratios (random over ordinary) of the 68 x 68 transitions.
+
+    The patterns read the whole corpus once, to write which texts hold a base
+    span; the sampled texts are then fetched by their hashes.
+    """
+    spark, k = docs.sparkSession, len(SYMBOLS)
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    held = written(rows.where("t <> ''").select("h", (F.size(_values(F.col("t"))) > 0).alias("held")), "held")
+
+    def lowest(some: DataFrame) -> DataFrame:
+        """The ``sample`` smallest hashes: hashes are ranked, not texts, and
+        copies are combined before the shuffle."""
+        return some.select("h").distinct().orderBy("h").limit(sample)
+
+    chosen = lowest(held.where("held")).withColumn("kind", F.lit(0)).union(lowest(held.where("not held")).withColumn("kind", F.lit(1)))
+    texts = rows.join(F.broadcast(chosen), "h").groupBy("h", "kind").agg(F.first("t").alias("t"))
+    found = F.when(F.col("kind") == 0, _values(F.col("t"))).otherwise(
+        F.regexp_extract_all("t", F.lit(f"{RUN}{{{train_run},}}"), F.lit(0))
     )
+    of_corpus = texts.select(F.explode(found).alias("token"), "kind")
+    counts = _counts(of_corpus.union(labelled_tokens(spark))).collect()  # at most 2 x 68 x 68 rows
     table = [[0] * (k * k), [0] * (k * k)]
     for r in counts:
         table[r.kind][r.pair] += r.n
@@ -169,7 +196,7 @@ def scan(
     model: list[float],
     text_col: str = "text",
     min_run: int = 16,
-    threshold: float = 0.5,
+    threshold: float = 0.9,
 ) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with one column of spans per kind, and the names of those columns."""
     names = {kind: free_name(docs, f"{kind}_spans") for kind in KINDS}
