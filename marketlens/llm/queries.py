@@ -349,6 +349,69 @@ def oracle_sql() -> dict[str, str]:
             FROM forms JOIN chains USING (word) JOIN forms last ON last.word = chains.root
             WHERE last.form IS NULL
         """,
+        "op6_chat": r"""
+            WITH RECURSIVE spoken AS (
+              SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL
+              SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+            ),
+            sized AS (
+              SELECT *, row_number() OVER ordered - 1 AS i,
+                     len(regexp_extract_all(text, '\w+|[^\w\x09-\x0D\x20]')) + 2 AS size,
+                     20 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<\[]', '', 'g')) AS chars
+              FROM spoken
+              WINDOW ordered AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+            ),
+            turns AS (
+              SELECT *, sum(size) OVER upto AS upto, sum(size) OVER upto - size AS before,
+                     sum(chars) OVER upto AS chars_upto, sum(chars) OVER upto - chars AS chars_before
+              FROM sized
+              WINDOW upto AS (PARTITION BY conv_id ORDER BY i)
+            ),
+            convs AS (
+              SELECT conv_id, count(*) AS n, max(CASE WHEN i = 0 AND role = 'system' THEN 1 ELSE 0 END) AS lead,
+                     max(CASE WHEN i = 0 AND role = 'system' THEN upto ELSE 0 END) AS head,
+                     max(CASE WHEN i = 0 AND role = 'system' THEN chars ELSE 0 END) AS head_chars,
+                     sum(chars) AS all_chars,
+                     string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said,
+                     coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss
+              FROM turns GROUP BY conv_id
+            ),
+            repeats AS (
+              SELECT t.conv_id, t.i, coalesce(min(b.before), t.before) AS from_before,
+                     coalesce(min(b.chars_before), t.chars_before) AS from_chars
+              FROM turns t JOIN convs c ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+              LEFT JOIN turns b ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+                AND b.i BETWEEN greatest(c.lead, t.i - 64) AND t.i
+                AND t.before - b.before <= least(128, 512 - c.head - t.size)
+              GROUP BY t.conv_id, t.i, t.before, t.chars_before
+            ),
+            windows(conv_id, w, opens, from_before, from_chars, head) AS (
+              SELECT conv_id, 0, 0::BIGINT, 0::HUGEINT, 0::HUGEINT, head FROM convs
+              UNION ALL
+              SELECT x.conv_id, x.w + 1, x.opens, r.from_before, r.from_chars, x.head
+              FROM (
+                SELECT p.conv_id, p.w, p.head, min(t.i) AS opens
+                FROM windows p JOIN turns t ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i > p.opens
+                  AND CASE WHEN p.opens = 0 THEN 0 ELSE p.head END + t.upto - p.from_before > 512
+                GROUP BY p.conv_id, p.w, p.head
+              ) x
+              JOIN repeats r ON x.conv_id IS NOT DISTINCT FROM r.conv_id AND x.opens = r.i
+            ),
+            cut AS (
+              SELECT p.*, t.chars_before, lead(t.chars_before) OVER (PARTITION BY p.conv_id ORDER BY p.w) AS stop
+              FROM windows p JOIN turns t ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND p.opens = t.i
+            ),
+            formatted AS (
+              SELECT cut.conv_id, count(*) AS n_windows,
+                     sum(coalesce(stop, all_chars) - from_chars + CASE WHEN opens > 0 THEN head_chars ELSE 0 END) AS formatted_chars
+              FROM cut JOIN convs ON cut.conv_id IS NOT DISTINCT FROM convs.conv_id
+              GROUP BY cut.conv_id
+            )
+            SELECT convs.conv_id, n AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+                   sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars, n_windows
+            FROM convs JOIN formatted ON convs.conv_id IS NOT DISTINCT FROM formatted.conv_id
+        """,
         "op8_top_k": """
             WITH usable AS (
               SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v

@@ -212,6 +212,15 @@ def test_chat_reads_back_exactly(spark, sf):
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want
 
 
+def test_chat_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    got = entry.queries()["op6_chat"](spark, sf)
+    want = con.sql(entry.oracle_sql()["op6_chat"]).select(*got.columns).fetchall()
+    assert collections.Counter(want) == collections.Counter(map(tuple, got.collect()))
+    assert max(r[got.columns.index("n_windows")] for r in want) > 1
+
+
 def test_windows_keep_budget_system_and_masks(spark):
     rows = [(1, 0, "system", "be brief")]
     rows += [(1, i, ("user", "assistant")[i % 2 == 0], f"turn {i} " + "w " * (5 + 3 * i)) for i in range(1, 12)]
