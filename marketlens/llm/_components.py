@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a grouped minimum (combined before the shuffle), an equi-join
-in which the rows of hot nodes are not shuffled, and a distinct. State between
+whose hot nodes adaptive execution can split, and a distinct. State between
 steps is a reliable checkpoint in the shared folder; nothing is collected but
 two sums per step. The number of steps grows with the logarithm of the
 longest path.
@@ -14,35 +14,20 @@ from pyspark.sql import functions as F
 
 from marketlens.llm._shared import shared_folder
 
-HOT_SHARE = 1000  # a node with more than a 1000th of all rows is hot: fewer than 1000 are
 
-
-def _met(seen: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """(u, v, m): every row of ``seen`` (u, v) with the smallest ``m`` of its node.
-
-    The rows of a hot node stay in the tasks they are in: hot nodes are fewer
-    than ``HOT_SHARE``, whatever the size of the graph, and are broadcast. The
-    others are shuffled.
-    """
-    most = max(total // HOT_SHARE, 1)
-    hot = F.broadcast(least.where(F.col("n") > most).select("u", "m"))
-    cold = least.where(F.col("n") <= most).select("u", "m")
-    others = seen.join(hot.select("u"), "u", "left_anti").join(cold, "u")
-    return seen.join(hot, "u").select("u", "v", "m").union(others.select("u", "v", "m"))
-
-
-def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (a, b) with a > b. large: every neighbour above a node meets the
-    node's smallest; else every neighbour below it, and the node itself.
-    ``total``: the number of edges, or an upper bound of it."""
+    node's smallest; else every neighbour below it, and the node itself."""
     if large:
         seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
     else:
         seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    met = _met(seen, least, total)
+    least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # A shuffle of its own: only a join of two plain shuffles has its hot
+    # partitions (a node with very many neighbours) split by adaptive execution.
+    met = seen.join(least.repartition("u"), "u").select("u", "v", "m")
     if large:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -71,7 +56,6 @@ def components(links: DataFrame) -> DataFrame:
         if new == mark or not new[0]:
             break
         mark = new
-        # The large step makes no more edges than it sees (two rows an edge).
-        edges = _stars(_stars(edges, True, 2 * new[0]), False, new[0]).checkpoint()
+        edges = _stars(_stars(edges, True), False).checkpoint()
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(edges.select("b", "b").distinct())
