@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens.plans import Workload, all_reports
 from marketlens.sources import ADAPTER_PARAMS, from_tpch
@@ -14,9 +15,11 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def _shuffled(tables, seed):
     """The same rows, dealt anew and in another order."""
-    from pyspark.sql import functions as F
 
-    deal = lambda df: df.repartition(3 + seed, F.rand(seed)).sortWithinPartitions(F.rand(seed + 1))
+    def deal(df):
+        mixed = lambda salt: F.xxhash64(*df.columns, F.lit(salt))
+        return df.repartition(3 + seed, mixed(seed)).sortWithinPartitions(mixed(-seed))
+
     return replace(tables, **{name: deal(df) for name, df in tables.as_dict().items()})
 
 
