@@ -300,6 +300,80 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == r.lang for r in got if r.held_out]) > 0.97
 
 
+def test_language_pooling_equals_brute_force():
+    """Every byte's probabilities by plain loops over both directions, averaged."""
+    rng = np.random.default_rng(5)
+    units, langs, segment = 3, ["de", "en", "fr"], 5
+
+    def gru():
+        return language_id.GRU(*(rng.normal(0, 0.7, n).astype(np.float32) for n in ((3 * units, 256), (3 * units, units), (3, units))))
+
+    model = language_id.LanguageModel(langs, gru(), gru(), rng.normal(size=3).astype(np.float32), segment)
+    soft = lambda x: x / (1 + abs(x))
+
+    def states(g, data):
+        h, out = np.zeros(units), []
+        for byte in data:
+            a, u = g.inputs[:, byte].astype(float), g.hidden.astype(float) @ h
+            z, r = (0.5 + 0.5 * soft(a[k * units : (k + 1) * units] + u[k * units : (k + 1) * units]) for k in (0, 1))
+            c = soft(a[2 * units :] + u[2 * units :] * r)
+            h = z * h + (1 - z) * c
+            out.append(h)
+        return out
+
+    texts = ["Été, a long text of many segments", "ab", "12 34", None, "", "exact"]
+    best, score = model.predict(texts)
+    for text, lang, value in zip(texts, best, score, strict=True):
+        if not text or not any(map(str.isalpha, text)):
+            assert (lang, value) == ("und", 0)
+            continue
+        raw, sums = text.encode(), np.zeros(3)
+        for lo in range(0, len(raw), segment):
+            part = raw[lo : lo + segment]
+            for f, b in zip(states(model.forward, part), states(model.backward, part[::-1])[::-1], strict=True):
+                logits = model.forward.out @ f + model.backward.out @ b + model.bias
+                sums += np.exp(logits) / np.exp(logits).sum()
+        pooled = sums / sums.sum()
+        assert lang == langs[int(pooled.argmax())] and value == pytest.approx(pooled.max(), abs=1e-5)
+
+
+def test_quality_score_equals_brute_force():
+    """The mean over hand-made features of a text, hashed with Python integers."""
+    from marketlens.llm._shared import _PLACES
+
+    bits, mask, prime = 10, (1 << 64) - 1, 0x100000001B3
+    rng = np.random.default_rng(3)
+    model = quality.QualityModel(rng.normal(size=1 << bits).astype(np.float32), 0.3, bits)
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * factor & mask
+        return x
+
+    bucket = lambda h: (h * 0x9E3779B97F4A7C15 & mask) >> (64 - bits)
+
+    def by_hand(text):
+        found, words, hashes = [], re.split(rb"[\x20\x09-\x0d]+", text.strip(b" \t\n\r\x0b\x0c")), []
+        for w in filter(None, words):
+            for n in (3, 4, 5):
+                for i in range(len(w) - n + 1):
+                    h = n
+                    for byte in w[i : i + n]:
+                        h = (h * prime + byte) & mask
+                    found.append(bucket(h))
+            hashes.append(mix(sum((b + 1) * int(_PLACES[i & 4095]) for i, b in enumerate(w)) & mask))
+            found.append(bucket(hashes[-1]))
+        for a, b in zip(hashes, hashes[1:], strict=False):
+            found.append(bucket(mix(1 if a == b else (a * prime + b) & mask)))
+        mean = float(np.mean([model.log_odds[f] for f in found])) if found else 0.0
+        return 1 / (1 + math.exp(-(mean + 0.3)))
+
+    texts = ["some words some words", "twice twice\tonce\n", "Été à la mer", "", None, "x", "ab cd  abcdef"]
+    want = [by_hand((t or "").encode()) for t in texts]
+    assert model.score(texts).tolist() == pytest.approx(want, abs=1e-5)
+    assert model.score(texts, group_bytes=4).tolist() == pytest.approx(want, abs=1e-5)
+
+
 def test_language_gradients_by_differences():
     rng = np.random.default_rng(0)
     gru = language_id.GRU(*(rng.normal(0, 0.5, s) for s in ((9, 256), (9, 3), (2, 3))))
